@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.llm import op2_token_files, op9_simhash
+from turnweave.llm import op2_token_files, op9_simhash, op10_suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_suffix_dedup.suffix_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files_crc, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_token_files_crc, op9_simhash_near_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
