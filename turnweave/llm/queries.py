@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.llm import op2_token_files, op7_word_table, op9_simhash, op10_suffix_dedup
+from turnweave.llm import op2_token_files, op3_decontam, op5_quality, op7_word_table, op9_simhash, op10_suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,31 @@ def op2_token_files_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_token_files.token_digest(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op3_decontam.held_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+_SHINGLED = """
+    SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+                               ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+    FROM (SELECT {id} AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE {id} IS NOT NULL)"""
+
+OP3_SQL = f"""
+WITH d AS ({_SHINGLED.format(id="doc_id", table="documents")}),
+     b AS ({_SHINGLED.format(id="item_id", table="benchmark")}),
+     n AS (SELECT id, count(*) AS n_shingles FROM b GROUP BY id),
+     h AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_held FROM d JOIN b ON d.s = b.s GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_held, round(n_held / n_shingles, 6) AS containment
+FROM h JOIN n ON n.id = h.item_id WHERE round(n_held / n_shingles, 9) >= 0.8
+"""
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return op5_quality.judged(docs, op5_quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_word_table.bpe_digest(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -36,8 +61,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files_crc, op7_word_table_bpe, op9_simhash_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_token_files_crc, op3_benchmark_decontamination, op5_quality_rules, op7_word_table_bpe, op9_simhash_near_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": OP3_SQL}
