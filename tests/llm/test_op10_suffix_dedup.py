@@ -75,19 +75,24 @@ def test_long_documents_are_cut_into_pieces(monkeypatch, spark):
 
 
 @pytest.mark.parametrize("files", [False, True])
-def test_suffix_order_is_sorted(files, tmp_path, monkeypatch):
+def test_every_column_is_sorted_with_its_common_prefixes(files, tmp_path, monkeypatch):
     if files:
         monkeypatch.setattr(op, "MEMORY_SYMBOLS", 10)
     r = random.Random(9)
-    strings = ["".join(r.choices("ab\x00c", k=r.randrange(20))).encode() for _ in range(40)]
+    strings = ["".join(r.choices("ab\x00c", k=r.randrange(1, 20))).encode() for _ in range(80)]
     size = np.array([len(s) for s in strings])
-    order_, lcp = op.suffix_order(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, str(tmp_path) if files else None)
-    suffixes = [strings[x >> 8][len(strings[x >> 8]) - 255 + (x & 255) :] for x in np.asarray(order_).tolist()]
-    assert len(suffixes) == size.sum() + len(strings)
-    assert suffixes == sorted(suffixes)
-    for i in range(1, len(suffixes)):
-        a, b = suffixes[i - 1], suffixes[i]
-        assert lcp[i] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    mid = np.array([r.randrange(n) for n in size])
+    left = mid.max() - mid
+    columns = set()
+    for column, order, lcp in op.positional_order(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, mid, str(tmp_path) if files else None):
+        assert sorted(order.tolist()) == [i for i in range(80) if left[i] <= column < left[i] + size[i]]
+        suffixes = [strings[i][column - left[i] :] for i in order.tolist()]
+        assert suffixes == sorted(suffixes)
+        for i in range(1, len(suffixes)):
+            a, b = suffixes[i - 1], suffixes[i]
+            assert lcp[i] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        columns.add(column)
+    assert columns == set(range(int((left + size).max())))
 
 
 def test_texts(spark):

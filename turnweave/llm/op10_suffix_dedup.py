@@ -12,9 +12,10 @@ collection that is sorted holds short strings instead, and still every pair of e
    anchor but differ go on to step 3; an anchor with very many different neighbourhoods sends its windows one by one, dealt by
    their own content, so that no anchor fills a task.
 3. The neighbourhoods of a shard are the documents of a collection Burrows-Wheeler transform, built from their last symbols on:
-   each round inserts one symbol per string, moving through the transform, the common-prefix and the order columns in
-   sequence. Past a size these columns are files. Runs with a common prefix of SPAN or more are equal windows; all but the
-   first of a run are removed.
+   each round inserts one symbol per string, re-sorts the strings stably by it and updates the common prefixes of neighbours.
+   Equal windows lie equally far from their anchors, so strings are aligned there and only the current column of the
+   transform is kept (its positional form). The symbols are laid out column by column and read in sequence; past a size they
+   are in a file. Runs with a common prefix of SPAN or more are equal windows; all but the first of a run are removed.
 
 Documents travel as chunks: a few MB of whole texts in one compressed value.
 
@@ -45,9 +46,9 @@ PIECE_WINDOWS = 1 << 22
 PLACE_BITS = 24
 #: Different neighbourhoods of one anchor above which its windows are dealt one by one.
 MANY_CONTEXTS = 2048
-#: Strings that are sorted at once, and symbols above which their columns are files.
-SHARD_STRINGS = 16_384
-MEMORY_SYMBOLS = 8 << 20
+#: Strings that are sorted at once, and symbols above which their columns are in a file.
+SHARD_STRINGS = 65_536
+MEMORY_SYMBOLS = 32 << 20
 LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -87,7 +88,7 @@ def _symbols() -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, kgram: int = KGRAM) -> dict[str, np.ndarray]:
-    """Of documents end to end: doc, first and last window start (absolute), anchor hash, neighbourhood hash, one an anchor."""
+    """Of documents end to end, one an anchor: doc, first and last window start, the anchor's distance from the first, two hashes."""
     # Pieces: documents of span bytes or more; a very long one is cut, with its windows all in one piece or the next.
     doc = np.flatnonzero(np.diff(offsets) >= span)
     windows = np.diff(offsets)[doc] - span + 1
@@ -103,7 +104,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, kgram: int =
         at = np.concatenate([raw[a : a + n] for a, n in zip(base[own].tolist(), size[own].tolist(), strict=True)])
         found.append(_block(at, base[own], size[own], doc[own], span, kgram))
     if not found:
-        return {k: np.zeros(0, t) for k, t in (("doc", np.int64), ("first", np.int64), ("last", np.int64), ("anchor", np.uint64), ("area", np.uint64))}
+        return {k: np.zeros(0, t) for k, t in (("doc", np.int64), ("first", np.int64), ("last", np.int64), ("mid", np.int64), ("anchor", np.uint64), ("area", np.uint64))}
     return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
 
 
@@ -133,7 +134,7 @@ def _block(own: np.ndarray, base: np.ndarray, size: np.ndarray, docs: np.ndarray
     hashed = _mix((sums[a + kgram] - sums[a]) * down[a])
     area = (sums[e + span] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (a - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
     shift = (base - start)[d]
-    return {"doc": docs[d], "first": s + shift, "last": e + shift, "anchor": hashed, "area": _mix(area)}
+    return {"doc": docs[d], "first": s + shift, "last": e + shift, "mid": a - s, "anchor": hashed, "area": _mix(area)}
 
 
 # Collection transform
@@ -147,78 +148,58 @@ def _column(n: int, kind: type, folder: str | None) -> np.ndarray:
         return np.memmap(f.name, kind, "w+", shape=(n,))
 
 
-def suffix_order(raw: np.ndarray, start: np.ndarray, size: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order, lcp) of all suffixes of strings raw[start : start + size] of under 256 bytes.
+def positional_order(raw: np.ndarray, start: np.ndarray, size: np.ndarray, mid: np.ndarray, folder: str | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rounds over strings raw[start : start + size] of under 256 bytes that are aligned at their byte mid.
 
-    order holds string * 256 + 255 - suffix length, the empty suffixes first; lcp[i] is the common prefix of i - 1 and i.
-    Equal suffixes lie in the order of their insertion.
+    Each round goes one column to the left and inserts one symbol of every string that has it. It yields (column, order, lcp):
+    the strings that reach the column in the order of what they hold from it on, and each one's common prefix with the one
+    before. Column 0 is that of the string that reaches furthest left.
     """
     m = len(size)
-    used = np.flatnonzero(np.bincount(raw, minlength=256)) if len(raw) else np.zeros(0, np.int64)
-    code = np.zeros(256, np.uint8)
-    code[used] = np.arange(1, len(used) + 1)  # UTF-8 has under 255 byte values; 0 stands for no symbol yet
-    bwt, lcp, order = np.zeros(m, np.uint8), np.zeros(m, np.uint8), np.arange(m, dtype=np.int64) * 256 + 255
-    string, place = np.arange(m), np.arange(m)
-    for done in range(int(size.max(initial=0))):
-        live = size[string] > done
-        string, place = string[live], place[live]
-        bwt[place] = code[raw[start[string] + size[string] - 1 - done]]
-        n = len(bwt)
-        # Suffixes that go on with one symbol to the left sort by it first and then as they did.
-        by = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[by] = np.arange(n)
-        unset = n - int(np.count_nonzero(bwt))
-        r = rank[place]
-        new = m + r - unset
-        same = lambda x: (x >= unset) & (x < n)
-        before, after = by[np.maximum(r - 1, 0)], by[np.minimum(r + 1, n - 1)]
-        has_before = same(r - 1) & (bwt[before] == bwt[place])
-        has_after = same(r + 1) & (bwt[after] == bwt[place])
-        padded = np.append(lcp, np.uint8(0))
-        at = np.argsort(place)
-
-        def least(lo: np.ndarray, hi: np.ndarray, has: np.ndarray, at: np.ndarray = at, padded: np.ndarray = padded) -> np.ndarray:
-            """1 + the least of padded[lo + 1 .. hi] where it has a neighbour, else 0."""
-            got = np.zeros(len(lo), np.uint8)
-            on = at[has[at]]
-            if len(on):
-                pairs = np.empty(2 * len(on), np.int64)
-                pairs[::2], pairs[1::2] = lo[on] + 1, hi[on] + 1
-                got[on] = np.minimum.reduceat(padded, pairs)[::2] + 1
-            return got
-
-        to_left, to_right = least(before, place, has_before), least(place, after, has_after)
-        grown = n + len(place)
-        files = folder if grown > MEMORY_SYMBOLS else None
-        old = np.ones(grown, bool)
-        old[new] = False
-        wider = []
-        for column, value in ((bwt, np.uint8(0)), (lcp, to_left), (order, string * 256 + 254 - done)):
-            out = _column(grown, column.dtype.type, files)
-            out[old] = column
-            out[new] = value
-            wider.append(out)
-        bwt, lcp, order = wider
-        right = new + 1
-        inside = right < grown
-        lcp[right[inside]] = to_right[inside]
-        lcp[new] = to_left
-        place = new
-    return order, lcp
-
-
-def repeated_windows(raw: np.ndarray, start: np.ndarray, size: np.ndarray, span: int = SPAN, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of every window of span bytes that an earlier string, or the same one further left, has too."""
-    order, lcp = suffix_order(raw, start, size, folder)
-    if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    head = np.flatnonzero(lcp < span)
-    first = np.minimum.reduceat(order, head)
-    repeats = np.flatnonzero(order != np.repeat(first, np.diff(np.append(head, len(order)))))
-    repeats = order[repeats]
-    string = repeats >> 8
-    return string, size[string] - (255 - (repeats & 255))
+    left = int(mid.max(initial=0)) - mid
+    width = int((left + size).max(initial=0))
+    columns = _column(width * m, np.uint8, folder if width * m > MEMORY_SYMBOLS else None).reshape(width, m)
+    string = np.repeat(np.arange(m), size)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    columns[left[string] + within, string] = raw[start[string] + within]
+    by_end = np.argsort(left + size, kind="stable")
+    ends = (left + size)[by_end]
+    begins = np.unique(left)
+    order, lcp = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    for column in range(width - 1, -1, -1):
+        if len(order) and (column + 1) in begins:  # some strings began to the right of here
+            stay = np.flatnonzero(left[order] <= column)
+            if len(stay):
+                lcp = np.minimum.reduceat(lcp[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1]))
+            else:
+                lcp = lcp[:0]
+            order = order[stay]
+        new = by_end[np.searchsorted(ends, column + 1) : np.searchsorted(ends, column + 1, side="right")]
+        order, lcp = np.concatenate([new, order]), np.concatenate([np.zeros(len(new), np.uint8), lcp])
+        if not len(order):
+            continue
+        symbol = columns[column][order]
+        by = np.argsort(symbol, kind="stable")
+        # Neighbours with one symbol had the least common prefix of what lay between them, and now one more.
+        between = np.minimum.reduceat(np.append(lcp, np.uint8(0)), by + 1)
+        symbol, order = symbol[by], order[by]
+        lcp = np.zeros(len(order), np.uint8)
+        lcp[1:] = np.where(symbol[1:] == symbol[:-1], between[:-1] + np.uint8(1), np.uint8(0))
+        yield column, order, lcp
+
+
+def repeated_windows(raw: np.ndarray, start: np.ndarray, size: np.ndarray, mid: np.ndarray, span: int = SPAN, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of every window of span bytes that an earlier string has at the same distance from mid."""
+    left = int(mid.max(initial=0)) - mid
+    strings, offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for column, order, lcp in positional_order(raw, start, size, mid, folder):
+        head = np.flatnonzero(lcp < span)
+        if len(head) < len(order):
+            first = np.minimum.reduceat(order, head)
+            repeats = order[order != np.repeat(first, np.diff(np.append(head, len(order))))]
+            strings.append(repeats)
+            offsets.append(column - left[repeats])
+    return np.concatenate(strings), np.concatenate(offsets)
 
 
 # Exchange
@@ -323,7 +304,7 @@ def _spans(chunks: DataFrame, span: int, kgram: int, shared: int, shard_strings:
             verdict[out[where[bucket]][r["place"]]] = r["verdict"]
         gone, whole, single = (np.flatnonzero(verdict == v) for v in (1, 2, 3))
         first_gone, end_gone = a["first"][gone], a["last"][gone] + span
-        begin, end, key = a["first"][whole], a["last"][whole] + span, a["anchor"][whole]
+        begin, end, key, mid = a["first"][whole], a["last"][whole] + span, a["anchor"][whole], a["mid"][whole]
         if len(single):
             count = a["last"][single] - a["first"][single] + 1
             s = np.sort(np.repeat(a["first"][single] - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
@@ -334,10 +315,11 @@ def _spans(chunks: DataFrame, span: int, kgram: int, shared: int, shard_strings:
             first_gone, end_gone = np.concatenate([first_gone, s[again]]), np.concatenate([end_gone, s[again] + span])
             s, own = s[~again], own[~again]
             begin, end, key = np.concatenate([begin, s]), np.concatenate([end, s + span]), np.concatenate([key, own])
+            mid = np.concatenate([mid, np.zeros(len(s), np.int64)])
         rows = {"kind": [0], "key": [0], "chunk": [chunk], "blob": [pack({"first": first_gone, "end": end_gone})]}
         shard = (key >> np.uint64(8)) % np.uint64(shared)
         by = np.lexsort((begin, shard))
-        begin, end, key = begin[by], end[by], key[by]
+        begin, end, key, mid = begin[by], end[by], key[by], mid[by]
         doc = np.searchsorted(z["offsets"], begin, side="right") - 1
         for k, own in _cut(shard[by], shared):
             s, size = begin[own], (end - begin)[own]
@@ -345,15 +327,15 @@ def _spans(chunks: DataFrame, span: int, kgram: int, shared: int, shard_strings:
             rows["kind"].append(1)
             rows["key"].append(k)
             rows["chunk"].append(chunk)
-            rows["blob"].append(pack({"raw": raw, "size": size.astype(np.uint8), "start": s, "rank": z["rank"][doc[own]], "sub": (key[own] >> np.uint64(32)).astype(np.uint32)}))
+            rows["blob"].append(pack({"raw": raw, "size": size.astype(np.uint8), "mid": mid[own].astype(np.uint8), "start": s, "rank": z["rank"][doc[own]], "sub": (key[own] >> np.uint64(32)).astype(np.uint32)}))
         return pa.Table.from_batches([_rows(**rows)])
 
     def order(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk").to_numpy()
         parts = [unpack(x.as_py()) for x in t.column("blob")]
         part = np.repeat(np.arange(len(parts)), [len(p["size"]) for p in parts])
-        size, start, rank, sub = (np.concatenate([p[k] for p in parts]) for k in ("size", "start", "rank", "sub"))
-        size = size.astype(np.int64)
+        size, mid, start, rank, sub = (np.concatenate([p[k] for p in parts]) for k in ("size", "mid", "start", "rank", "sub"))
+        size, mid = size.astype(np.int64), mid.astype(np.int64)
         raw = np.concatenate([p["raw"] for p in parts])
         at = np.cumsum(size) - size
         groups = sub % np.uint32(-(-len(size) // shard_strings))
@@ -362,7 +344,7 @@ def _spans(chunks: DataFrame, span: int, kgram: int, shared: int, shard_strings:
             for g in range(int(groups.max()) + 1):
                 own = np.flatnonzero(groups == g)
                 own = own[np.lexsort((start[own], chunk[part[own]], rank[own]))]
-                string, offset = repeated_windows(raw, at[own], size[own], span, folder)
+                string, offset = repeated_windows(raw, at[own], size[own], mid[own], span, folder)
                 found.append(np.stack([part[own[string]], start[own[string]] + offset]))
         where = np.concatenate(found, axis=1)
         where = where[:, np.lexsort((where[1], where[0]))]
