@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.llm import op2_token_files, op3_decontam, op5_quality, op7_word_table, op8_warc, op9_simhash, op10_suffix_dedup
+from turnweave.llm import op2_token_files, op3_decontam, op5_quality, op6_html, op7_word_table, op8_warc, op9_simhash, op10_suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_quality.judged(docs, op5_quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_word_table.bpe_digest(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -65,7 +69,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files_crc, op3_benchmark_decontamination, op5_quality_rules, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_token_files_crc, op3_benchmark_decontamination, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
