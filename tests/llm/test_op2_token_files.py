@@ -37,13 +37,14 @@ def test_encode_matches_the_library(tokenizer):
         assert table.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_table_starts_anew_at_its_limit(tokenizer, monkeypatch):
+def test_table_drops_pieces_at_its_limit(tokenizer, monkeypatch):
     monkeypatch.setattr(op, "TABLE_PIECES", 20)
     table = op.PieceTable(PATH)
     for k in range(30):
-        text = " ".join(f"w{k}x{i}" for i in range(15))
+        text = "a " + " ".join([*(f"w{k}x{i}" for i in range(15)), "often", "seen", "often"])
         assert table.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-        assert len(table.index) <= 20 + 15
+        assert len(table.index) <= 20 + 18
+    assert {"often", "seen"} <= table.index.keys()
 
 
 def test_round_trip(spark, tokenizer):

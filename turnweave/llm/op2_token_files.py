@@ -23,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,11 @@ from pyspark.sql import functions as F
 
 from turnweave.llm.common import filesystem, fresh_dir, materialize, quoted, reducers, slices
 
-#: Distinct pieces that a worker keeps; at the limit its table starts anew.
-TABLE_PIECES = 400_000
+#: Distinct pieces that a worker keeps; at the limit the less used ones go.
+TABLE_PIECES = 800_000
+#: White space other than the space, of the splitting pattern and of Python (which has a few more).
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _TABLES: dict[str, PieceTable] = {}
-_UNSAFE = re.compile(r"\s |\s\Z|\A\s| \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -49,6 +51,7 @@ class PieceTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])  # the space of byte-level vocabularies
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.clear()
 
@@ -62,20 +65,52 @@ class PieceTable:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 12, np.int64)  # of piece i; its end is the start of i + 1
+        self.hits = np.zeros(1 << 12, np.int32)  # texts that had piece i since it came
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode pieces; each stands for the piece after a space."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        n, size = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids))
-        while n + len(ids) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        np.cumsum(size, out=self.start[n + 1 : n + 1 + len(ids)])
-        self.start[n + 1 : n + 1 + len(ids)] += self.start[n]
-        end = int(self.start[n + len(ids)])
+        """Encode pieces; each stands for the piece after a space.
+
+        Pieces without white space are encoded many at once, as one text: just their first ids open with the space.
+        """
+        plain = [p for p in pieces if len(p.split()) == 1]
+        for at in range(0, len(plain), 4096):
+            own = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(own), add_special_tokens=False).ids, np.uint32)
+            start = np.flatnonzero(self.opens[ids])
+            if len(start) != len(own):
+                raise ValueError("the vocabulary does not mark the space before a piece")
+            self._add(own, np.diff(start, append=len(ids)), ids)
+        odd = [p for p in pieces if len(p.split()) != 1]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in odd], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(odd, size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
+
+    def _add(self, pieces: list[str], size: np.ndarray, flat: np.ndarray) -> None:
+        n = len(self.index)
+        while n + len(pieces) + 1 > len(self.start):
+            self.start, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.hits))
+        np.cumsum(size, out=self.start[n + 1 : n + 1 + len(pieces)])
+        self.start[n + 1 : n + 1 + len(pieces)] += self.start[n]
+        self.hits[n : n + len(pieces)] = 0
+        end = int(self.start[n + len(pieces)])
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.start[n] : end] = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        self.index.update(zip(pieces, range(n, n + len(ids)), strict=True))
+        self.flat[self.start[n] : end] = flat
+        self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def _shrink(self) -> None:
+        """Keep the most used half at most, of pieces that more than one text had."""
+        n = len(self.index)
+        hits, start, flat = self.hits[:n], self.start, self.flat
+        kept = np.flatnonzero(hits > 1)
+        if len(kept) > TABLE_PIECES // 2:
+            kept = np.sort(kept[np.argsort(-hits[kept], kind="stable")[: TABLE_PIECES // 2]])
+        pieces = list(self.index)
+        pieces = [pieces[i] for i in kept.tolist()]
+        size = start[kept + 1] - start[kept]
+        self.clear()
+        self._add(pieces, size, flat[_places(start[kept], size)])
+        self.hits[: len(kept)] = hits[kept] // 2
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as the tokenizer gives them without its special tokens added."""
@@ -83,26 +118,30 @@ class PieceTable:
             return np.zeros(0, np.uint32)
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+        pieces = text.split(" ")
+        if "" in pieces or any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE):
+            pieces = _CUT.split(text)  # some spaces touch others
         first = np.array(self.tokenizer.encode(pieces[0], add_special_tokens=False).ids, np.uint32)
         if len(pieces) == 1:
             return first
         del pieces[0]
-        get = self.index.get
-        at = list(map(get, pieces))
+        at = list(map(self.index.get, pieces))
         if None in at:
             new = {p for p, i in zip(pieces, at, strict=True) if i is None}
             if len(self.index) + len(new) > TABLE_PIECES:
-                self.clear()
-                new, get = set(pieces), self.index.get
+                self._shrink()
+                new = set(pieces) - self.index.keys()
             self.learn(sorted(new))
-            at = list(map(get, pieces))
+            at = list(map(self.index.get, pieces))
         at = np.array(at, np.int64)
+        self.hits[at] += 1
         start = self.start[at]
-        size = self.start[at + 1] - start
-        total = int(size.sum())
-        where = np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
-        return np.concatenate([first, self.flat[where]])
+        return np.concatenate([first, self.flat[_places(start, self.start[at + 1] - start)]])
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start .. start + size - 1 of every entry, end to end."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
