@@ -72,7 +72,7 @@ class PieceTable:
 
         Pieces without white space are encoded many at once, as one text: just their first ids open with the space.
         """
-        plain = [p for p in pieces if len(p.split()) == 1]
+        plain = [p for p in pieces if p.split() == [p]]
         for at in range(0, len(plain), 4096):
             own = plain[at : at + 4096]
             ids = np.array(self.tokenizer.encode(" " + " ".join(own), add_special_tokens=False).ids, np.uint32)
@@ -80,7 +80,7 @@ class PieceTable:
             if len(start) != len(own):
                 raise ValueError("the vocabulary does not mark the space before a piece")
             self._add(own, np.diff(start, append=len(ids)), ids)
-        odd = [p for p in pieces if len(p.split()) != 1]
+        odd = [p for p in pieces if p.split() != [p]]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in odd], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self._add(odd, size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
