@@ -54,3 +54,18 @@ def test_pieces_decode_with_a_decoder():
 
 def test_empty_table(spark):
     assert op.bpe_digest(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_codes_of_places():
+    place = np.array([0, 1, 0, 2, 3, 3, 3, 4], np.uint32)
+    order, code = op._coded(place, np.bincount(place))
+    back = op._placed(op._unplaned(op._planes(code)), len(order))
+    assert order[back].tolist() == place.tolist()
+    assert order.tolist() == [3, 0, 1, 2, 4]
+
+
+def test_one_exchange_serves_both_uses(spark):
+    df = spark.createDataFrame([(i, f"some words {i}") for i in range(50)], "doc_id long, text string")
+    plan = op.bpe_digest(df, PATH)
+    plan.collect()
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()

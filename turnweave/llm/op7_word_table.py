@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from turnweave.llm.common import gathered, materialize, quoted, reducers
+from turnweave.llm.common import gathered, quoted, reducers
 
 CHUNK_BYTES = 8 << 20
 #: Words that are encoded at once.
@@ -69,12 +69,37 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.binary() if k in ("words", "ids", "blob", "sizes") else pa.int64()) for k, v in columns.items()})
+def _coded(place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of words, codes of places): words by falling count, then those that occur once as they come; these have code 0."""
+    once = count == 1
+    order = np.concatenate([(many := np.flatnonzero(~once))[np.argsort(-count[many], kind="stable")], np.flatnonzero(once)])
+    code = np.zeros(len(count), np.uint32)
+    code[order[: len(many)]] = np.arange(1, len(many) + 1)
+    return order, code[place]
+
+
+def _placed(code: np.ndarray, words: int) -> np.ndarray:
+    """Places in the order of words from their codes."""
+    once = code == 0
+    place = code.astype(np.int64) - 1
+    place[once] = np.arange(words - int(once.sum()), words)
+    return place
+
+
+def _rows(key: list[int], chunk: list[int], mark: list[int], blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(chunk, pa.int64()), pa.array(mark, pa.int64()), pa.array(blob, pa.binary())], names=["key", "chunk", "mark", "blob"])
+
+
+ROWS = "key long, chunk long, mark long, blob binary"
+CHUNK_KEY = 1 << 62
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, owners: int) -> DataFrame:
-    """Written rows of two kinds: owner -1 is a chunk (doc ids, and word positions of each document), others a list of words."""
+    """Rows of two kinds: of key CHUNK_KEY + chunk, the chunk's documents as places of words; of key owner, a list of words.
+
+    mark is a checksum of the chunk's words, by which an answer to other words (of rows that came in another order when a lost
+    task ran again) would be noticed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -87,23 +112,25 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, owners: int) -> DataFra
                 words = (text or b"").split()
                 place.append(np.array([index.setdefault(w, len(index)) for w in words], np.uint32))
                 size.append(len(words))
+            place = np.concatenate(place)
+            order, code = _coded(place, np.bincount(place, minlength=len(index)))
             words = list(index)
-            owner = np.array([zlib.crc32(w) % owners for w in words], np.int64)
+            del index
+            words = [words[j] for j in order.tolist()]
+            owner = np.array([zlib.crc32(w) % owners for w in words], np.uint32)
             by = np.argsort(owner, kind="stable")
-            rank = np.empty(len(by), np.uint32)  # of each word in the order in which owners will answer
-            rank[by] = np.arange(len(by), dtype=np.uint32)
-            place = np.concatenate(place)
             ids = t.column("id").combine_chunks()
             head = np.array([t.num_rows, len(words)], "<i8").tobytes()
-            blob = _squeeze(head + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + ids.is_null().to_numpy(zero_copy_only=False).tobytes() + np.array(size, "<i8").tobytes() + _planes(rank) + _planes(place))
+            blob = _squeeze(head + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + ids.is_null().to_numpy(zero_copy_only=False).tobytes() + np.array(size, "<i8").tobytes() + _planes(owner) + _planes(code))
             chunk = part << 32 | i
             edges = np.searchsorted(owner[by], np.arange(owners + 1))
             own = [k for k in range(owners) if edges[k] < edges[k + 1]]
-            lists = [_squeeze(b"\n".join([words[j] for j in by[edges[k] : edges[k + 1]]])) for k in own]
-            yield _batch(owner=[-1, *own], chunk=[chunk] * (len(own) + 1), blob=[blob, *lists])
+            lists = [b"\n".join([words[j] for j in by[edges[k] : edges[k + 1]].tolist()]) for k in own]
+            mark = zlib.crc32(b"".join(lists))
+            yield _rows([CHUNK_KEY | chunk, *own], [chunk] * (len(own) + 1), [mark] * (len(own) + 1), [blob, *map(_squeeze, lists)])
 
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
-    return materialize(texts.mapInArrow(run, "owner long, chunk long, blob binary"), "words")
+    return texts.mapInArrow(run, ROWS)
 
 
 def _encode(words: list[bytes], tokenizer) -> tuple[np.ndarray, np.ndarray]:
@@ -126,31 +153,44 @@ def encoded(docs: DataFrame, tokenizer_path: str, build, schema: str, id_col: st
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(quoted(text_col).cast("string")))).first()[0] or 0
     owners = reducers(spark, total)
-    rows = _chunks(docs, id_col, text_col, owners)
+    # One exchange by key serves both uses of the rows below, as Spark computes equal exchanges once.
+    rows = _chunks(docs, id_col, text_col, owners).repartition(owners, "key")
 
     def answer(t: pa.Table) -> pa.Table:
         """Encode the distinct words of an owner once; answer each chunk in its list's order."""
-        owner, tokenizer = t.column("owner")[0].as_py(), tokenizer_of(tokenizer_path)
+        owner, tokenizer = t.column("key")[0].as_py(), tokenizer_of(tokenizer_path)
+        if owner >= CHUNK_KEY:
+            return pa.Table.from_batches([_rows([], [], [], [])])
         index: dict[bytes, int] = {}
         places = [np.array([index.setdefault(w, len(index)) for w in _expand(b.as_py()).split(b"\n")], np.int64) for b in t.column("blob")]
         size, flat = _encode(list(index), tokenizer)
         start = np.cumsum(size) - size
-        n = len(places)
-        sizes = [_squeeze(size[p].astype("<u4").tobytes()) for p in places]
-        ids = [_squeeze(gather(start[p], size[p], flat).astype("<u4").tobytes()) for p in places]
-        return pa.Table.from_batches([_batch(chunk=t.column("chunk").combine_chunks(), owner=[owner] * n, sizes=sizes, ids=ids)])
+        blobs = [_squeeze(np.array([owner, len(p)], "<i8").tobytes() + _planes(size[p]) + _planes(gather(start[p], size[p], flat))) for p in places]
+        chunk = t.column("chunk").to_pylist()
+        return pa.Table.from_batches([_rows([CHUNK_KEY | c for c in chunk], chunk, t.column("mark").to_pylist(), blobs)])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or left.column("key")[0].as_py() < CHUNK_KEY:
+            return build(pa.array([], pa.int64()), [])
+        if any(m != left.column("mark")[0].as_py() for m in right.column("mark").to_pylist()):
+            raise RuntimeError("the input gave its rows in another order when it was read again; write it out first")
         data = _expand(left.column("blob")[0].as_py())
         n, distinct = (int(x) for x in np.frombuffer(data, "<i8", 2))
         doc = np.frombuffer(data, "<i8", n, 16)
         null = np.frombuffer(data, bool, n, 16 + 8 * n)
         words = np.frombuffer(data, "<i8", n, 16 + 9 * n)
         at = 16 + 17 * n
-        rank, place = _unplaned(data[at : at + 4 * distinct]), _unplaned(data[at + 4 * distinct :])
-        by = np.argsort(right.column("owner").to_numpy())
-        part = lambda name: np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(_expand(right.column(name)[i].as_py()), "<u4") for i in by.tolist())])
-        size, flat = part("sizes").astype(np.int64), part("ids")
+        owner, place = _unplaned(data[at : at + 4 * distinct]), _placed(_unplaned(data[at + 4 * distinct :]), distinct)
+        answers = []
+        for b in right.column("blob"):
+            data = _expand(b.as_py())
+            k, m = (int(x) for x in np.frombuffer(data, "<i8", 2))
+            answers.append((k, _unplaned(data[16 : 16 + 4 * m]).astype(np.int64), _unplaned(data[16 + 4 * m :])))
+        answers.sort(key=lambda x: x[0])
+        rank = np.empty(distinct, np.int64)  # of each word in the order of the answers
+        rank[np.argsort(owner, kind="stable")] = np.arange(distinct)
+        size = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in answers)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *(x[2] for x in answers)])
         start = (np.cumsum(size) - size)[rank]
         size = size[rank]
         out, first = [], 0
@@ -165,8 +205,8 @@ def encoded(docs: DataFrame, tokenizer_path: str, build, schema: str, id_col: st
             first = last
         return pa.concat_tables(out)
 
-    asked = rows.where("owner >= 0").repartition(owners, "owner").groupBy("owner").applyInArrow(answer, "chunk long, owner long, sizes binary, ids binary")
-    return rows.where("owner < 0").groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(join, schema)
+    asked = rows.groupBy("key").applyInArrow(answer, ROWS)
+    return rows.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(join, schema)
 
 
 class Pieces:
