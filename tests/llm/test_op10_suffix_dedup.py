@@ -95,6 +95,8 @@ def test_every_column_is_sorted_with_its_common_prefixes(files, tmp_path, monkey
     assert columns == set(range(int((left + size).max())))
 
 
-def test_texts(spark):
-    df = spark.createDataFrame([(1, "ab" * 80 + "end"), (2, None)], "doc_id long, text string")
-    assert {r.id: (r.n_removed, r.left) for r in op.suffix_texts(df).collect()} == {1: (158, "abend"), 2: (0, "")}
+def test_texts_keep_the_other_columns(spark):
+    df = spark.createDataFrame([(1, "ab" * 80 + "end", "x", 1.5), (2, None, None, None), (3, "é" * 120, "id", 2.0)], "doc_id long, text string, id string, `a.b` double").select("id", "text", "doc_id", "`a.b`")
+    got = op.suffix_texts(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [("x", "abend", 1, 1.5), (None, None, 2, None), ("id", "é", 3, 2.0)]

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from turnweave.llm.common import gathered, local_path, materialize, pack, quoted, reducers, shared_dir, text_bytes, unpack
 
@@ -205,8 +206,8 @@ def repeated_windows(raw: np.ndarray, start: np.ndarray, size: np.ndarray, mid:
 # Exchange
 
 
-def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, n_docs, n_bytes, blob), written: whole documents in ascending id order inside each."""
+def _chunks(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """(chunk, n_docs, n_bytes, blob, rest), written: whole documents in ascending id order inside each, and their other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -217,10 +218,20 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rank = ids.fill_null(LAST).to_numpy()
             by = np.argsort(rank, kind="stable")
             raw, offsets = text_bytes(t.column("text").combine_chunks().take(pa.array(by)))
+            others = _stream(t.drop_columns(["text"]).take(pa.array(by)))
             blob = pack({"rank": rank[by], "null": ids.is_null().to_numpy(zero_copy_only=False)[by], "raw": raw, "offsets": offsets})
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([part << 32 | i]), "n_docs": pa.array([len(rank)]), "n_bytes": pa.array([len(raw)]), "blob": pa.array([blob], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([part << 32 | i]), "n_docs": pa.array([len(rank)]), "n_bytes": pa.array([len(raw)]), "blob": pa.array([blob], pa.binary()), "rest": pa.array([others], pa.binary())})
 
-    return materialize(docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, "chunk long, n_docs long, n_bytes long, blob binary"), "chunks")
+    own = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"), *[(F.lit(None).cast("string") if c == text_col else quoted(c)).alias(f"of_{i}") for i, c in enumerate(rest)], *[quoted(text_col).isNull().alias("absent")] * bool(rest))
+    return materialize(own.mapInArrow(run, "chunk long, n_docs long, n_bytes long, blob binary, rest binary"), "chunks")
+
+
+def _stream(t: pa.Table) -> bytes:
+    """A table in Arrow's stream format, compressed."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return out.getvalue().to_pybytes()
 
 
 def _entries(z: dict[str, np.ndarray], span: int, kgram: int, buckets: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -372,8 +383,8 @@ def _merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[at], reach[np.append(at[1:] - 1, len(first) - 1)] if len(at) else reach
 
 
-def _apply(chunks: DataFrame, spans: DataFrame, schema: str, build) -> DataFrame:
-    """build(z, doc spans) for every chunk: the rows of a chunk from its documents and their removed ranges, doc by doc."""
+def _apply(chunks: DataFrame, spans: DataFrame, schema: str, build, rest: bool = False) -> DataFrame:
+    """build(z, other columns, doc spans) for every chunk: the rows of a chunk from its documents and their removed ranges, doc by doc."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         z = unpack(left.column("blob")[0].as_py())
@@ -386,9 +397,10 @@ def _apply(chunks: DataFrame, spans: DataFrame, schema: str, build) -> DataFrame
         first, end = _merged(first + stretch, end + stretch)
         doc = np.searchsorted(off + np.arange(len(off)), first, side="right") - 1
         edges = np.searchsorted(doc, np.arange(len(off)))
-        return build(z, first - doc, end - doc, edges)
+        others = pa.ipc.open_stream(left.column("rest")[0].as_py()).read_all() if rest else None
+        return build(z, others, first - doc, end - doc, edges)
 
-    return chunks.select("chunk", "blob").groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.select("chunk", "blob", *["rest"] * rest).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def _kept(z: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
@@ -403,19 +415,19 @@ def _kept(z: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, edges: n
         yield b"".join(left)
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str, span: int, kgram: int, shard_strings: int, many: int) -> tuple[DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, id_col: str, text_col: str, span: int, kgram: int, shard_strings: int, many: int, rest: list[str]) -> tuple[DataFrame, DataFrame]:
     if not 1 < kgram <= span or 2 * span - kgram > 255:
         raise ValueError("kgram must be in 2..span and 2 * span - kgram under 256")
-    chunks = _chunks(docs, id_col, text_col)
+    chunks = _chunks(docs, id_col, text_col, rest)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     return chunks, _spans(chunks, span, kgram, reducers(docs.sparkSession, total), shard_strings, many)
 
 
 def suffix_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, kgram: int = KGRAM, shard_strings: int = SHARD_STRINGS, many: int = MANY_CONTEXTS) -> DataFrame:
     """One row per document: (id_col, n_bytes, n_removed, n_spans, kept_sha256)."""
-    chunks, spans = _prepared(docs, id_col, text_col, span, kgram, shard_strings, many)
+    chunks, spans = _prepared(docs, id_col, text_col, span, kgram, shard_strings, many, [])
 
-    def build(z: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, edges: np.ndarray) -> pa.Table:
+    def build(z: dict[str, np.ndarray], _: None, first: np.ndarray, end: np.ndarray, edges: np.ndarray) -> pa.Table:
         removed = np.concatenate([[0], np.cumsum(end - first)])
         return pa.table(
             {
@@ -432,12 +444,13 @@ def suffix_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def suffix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, kgram: int = KGRAM, shard_strings: int = SHARD_STRINGS, many: int = MANY_CONTEXTS) -> DataFrame:
-    """One row per document: (id, n_removed, left): what is left as text; bytes of a character of which a part was removed are dropped."""
-    chunks, spans = _prepared(docs, id_col, text_col, span, kgram, shard_strings, many)
+    """docs with what is left of each text; bytes of a character of which a part was removed are dropped, null stays null."""
+    chunks, spans = _prepared(docs, id_col, text_col, span, kgram, shard_strings, many, docs.columns)
+    at = docs.columns.index(text_col)
+    schema = StructType([StructField(f"of_{i}", f.dataType if i != at else StringType()) for i, f in enumerate(docs.schema.fields)])
 
-    def build(z: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, edges: np.ndarray) -> pa.Table:
-        removed = np.concatenate([[0], np.cumsum(end - first)])
+    def build(z: dict[str, np.ndarray], others: pa.Table, first: np.ndarray, end: np.ndarray, edges: np.ndarray) -> pa.Table:
         texts = [x.decode("utf-8", "ignore") for x in _kept(z, first, end, edges)]
-        return pa.table({"id": pa.array(z["rank"], mask=z["null"]), "n_removed": removed[edges[1:]] - removed[edges[:-1]], "left": pa.array(texts, pa.string())})
+        return others.drop_columns(["id"]).set_column(at, f"of_{at}", pa.array(texts, pa.string(), mask=others.column("absent").to_numpy())).drop_columns(["absent"])
 
-    return _apply(chunks, spans, "id long, n_removed long, left string", build)
+    return _apply(chunks, spans, schema, build, rest=True).toDF(*docs.columns)

@@ -416,3 +416,16 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     own = docs.select(quoted(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), quoted(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs without those that score at least the threshold, in one pass over them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in slices(batches, text_col, 1 << 20):
+            yield b.filter(pa.array(scorer.score(b.column(names.index(text_col)).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -261,6 +261,18 @@ def bpe_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     return encoded(docs, tokenizer_path, build, "id long, ids array<int>", id_col, text_col)
 
 
+def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: (id, n_tokens, ids array of ints, decoded text)."""
+
+    def build(doc: pa.Array, ids: list[np.ndarray]) -> pa.Table:
+        pieces = pieces_of(tokenizer_path)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        flat = pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32))
+        return pa.table({"id": doc, "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets), flat), "decoded": pa.array([pieces.decode(x).decode() for x in ids], pa.string())})
+
+    return encoded(docs, tokenizer_path, build, "id long, n_tokens long, ids array<int>, decoded string", id_col, text_col).withColumnRenamed("id", id_col)
+
+
 def decoded(encoded_docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded_docs with the decoded text of an array of ids; null ids decode to null."""
     schema = StructType([*encoded_docs.schema.fields, StructField(out_col, StringType())])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.llm import op1_toxicity, op2_token_files, op3_decontam, op5_quality, op6_html, op7_word_table, op8_warc, op9_simhash, op10_suffix_dedup
+from turnweave.llm import op1_toxicity, op2_token_files, op3_decontam, op4_chat, op5_quality, op6_html, op7_word_table, op8_warc, op9_simhash, op10_suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ FROM h JOIN n ON n.id = h.item_id WHERE round(n_held / n_shingles, 9) >= 0.8
 """
 
 
+def op4_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_chat.formatted(_table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return op5_quality.judged(docs, op5_quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -73,8 +77,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_suffix_dedup.suffix_digest(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op4_chat_tool_links, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
