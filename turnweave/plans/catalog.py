@@ -43,11 +43,11 @@ def r6(c: Column | str) -> Column:
 
 def by_class(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """An array as rows (class, value), rounded."""
-    return df.select(*(keys or KEYS), F.posexplode(value).alias("class", "value")).withColumn("value", r6("value"))
+    return df.select(*(keys or KEYS), F.posexplode(value).alias("class", "value")).withColumn("value", F.round("value", 9))
 
 
 def unnested(array: str, source: str, keys: str = "dialogue_id, utterance_id") -> str:
-    return f"SELECT {keys}, CAST(i AS INTEGER) AS class, round(a[i + 1], 6) AS value FROM (SELECT {keys}, {array} AS a, unnest(range(0, len({array}))) AS i FROM {source})"
+    return f"SELECT {keys}, CAST(i AS INTEGER) AS class, round(a[i + 1], 9) AS value FROM (SELECT {keys}, {array} AS a, unnest(range(0, len({array}))) AS i FROM {source})"
 
 
 # Text, order, identifiers
