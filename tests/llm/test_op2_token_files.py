@@ -32,7 +32,7 @@ ODD = ["", None, " ", "  a  b ", "a\n b", "a \nb", "it's  we'll\u00a0x", "x <|en
 def test_encode_matches_the_library(tokenizer):
     table = op.PieceTable.of(PATH)
     rng = random.Random(5)
-    bits = ["a", "the", " ", "  ", "\n", "\t", "'s", "9", "é", "…", "\u00a0", "\u2003", "\x85", "<|endoftext|>", "\x1f", "!?"]
+    bits = ["a", "\nthe", ".\nIt", "end.", "x,", "l'l", "'", "½", "\t\n", "the", " ", "  ", "\n", "\t", "'s", "9", "é", "…", "\u00a0", "\u2003", "\x85", "<|endoftext|>", "\x1f", "!?"]
     for text in [t or "" for t in ODD] + ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(3000)]:
         assert table.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 

@@ -392,7 +392,7 @@ class Scorer:
         if self.model.net is None:
             return np.full(len(texts), self.model.constant)
         docs = [words_of(t) for t in texts]
-        new = {w for d in docs for w in d} - self.index.keys()
+        new = {w for d in docs for w in d if w not in self.index}
         if len(self.index) + len(new) > TABLE_WORDS:
             self.clear()
             new = {w for d in docs for w in d}

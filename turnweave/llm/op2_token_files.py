@@ -8,8 +8,8 @@ table, so no partition waits for another while it is written. Documents lie in a
 partitions. A partition is written under an attempt's own name and renamed when whole, so a task that runs again, or twice at
 once, leaves the same files.
 
-Encoding: a text is cut before single spaces that stand between non-space characters. Byte-level BPE with the usual splitting
-pattern never crosses such a cut, so each distinct piece is encoded once a worker (by the tokenizers library, in a table of
+Encoding: a text is cut before single spaces and newlines that stand between non-space characters. Byte-level BPE with the
+usual splitting pattern never crosses such a cut, so each distinct piece is encoded once a worker (by the tokenizers library, in a table of
 bounded size) and ids are gathered by position. Texts that hold a special token's string are encoded whole.
 
 Defined results: a null text is empty and has just the end id; null ids come first; equal ids are ordered by text; an empty
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,8 @@ from turnweave.llm.common import filesystem, fresh_dir, materialize, quoted, red
 #: Distinct pieces that a worker keeps; at the limit the less used ones go.
 TABLE_PIECES = 800_000
 #: White space other than the space, of the splitting pattern and of Python (which has a few more).
-OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+PUNCTUATION = string.punctuation
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _TABLES: dict[str, PieceTable] = {}
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -51,7 +53,9 @@ class PieceTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])  # the space of byte-level vocabularies
+        named = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.opens_space, self.opens_line = (np.array([n.startswith(c) for n in named]) for c in ("\u0120", "\u010a"))  # byte-level signs of both
+        self.tails: dict[str, np.ndarray] = {}
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.clear()
 
@@ -68,20 +72,43 @@ class PieceTable:
         self.hits = np.zeros(1 << 12, np.int32)  # texts that had piece i since it came
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode pieces; each stands for the piece after a space.
-
-        Pieces without white space are encoded many at once, as one text: just their first ids open with the space.
+        """Take in new pieces. One of letters and closing punctuation is put together from the ids of both, which never merge."""
+        whole, made = [], []
+        for p in pieces:
+            core = p.rstrip(PUNCTUATION)
+            if len(core) < len(p) and core[core[:1] == "\n" :].isalpha():
+                made.append((p, core, p[len(core) :]))
+            else:
+                whole.append(p)
+        cores = {core for _, core, _ in made if core not in self.index}
+        self._encode_new(sorted(cores.union(whole)))
+        if made:
+            for _, _, tail in made:
+                if tail not in self.tails:
+                    self.tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, np.uint32)
+            at = np.array([self.index[core] for _, core, _ in made], np.int64)
+            start, end = self.start[at].tolist(), self.start[at + 1].tolist()
+            ids = [x for a, b, (_, _, tail) in zip(start, end, made, strict=True) for x in (self.flat[a:b], self.tails[tail])]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)).reshape(-1, 2).sum(1)
+            self._add([p for p, _, _ in made], size, np.concatenate(ids))
+
+    def _encode_new(self, pieces: list[str]) -> None:
+        """Pieces that stand for themselves after a space, or, where they open with a newline, without one.
+
+        Those without other white space are encoded many at once, as one text: just their first ids open with space or newline.
         """
-        plain = [p for p in pieces if p.split() == [p]]
-        for at in range(0, len(plain), 4096):
-            own = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(own), add_special_tokens=False).ids, np.uint32)
-            start = np.flatnonzero(self.opens[ids])
-            if len(start) != len(own):
-                raise ValueError("the vocabulary does not mark the space before a piece")
-            self._add(own, np.diff(start, append=len(ids)), ids)
-        odd = [p for p in pieces if p.split() != [p]]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in odd], add_special_tokens=False)]
+        spaced = [p for p in pieces if p.split() == [p]]
+        lined = [p for p in pieces if p[0] == "\n" and p.split() == [p[1:]]]
+        for own, joined, opens in ((spaced, " ".join, self.opens_space), (lined, "".join, self.opens_line)):
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                ids = np.array(self.tokenizer.encode(" " * (own is spaced) + joined(part), add_special_tokens=False).ids, np.uint32)
+                start = np.flatnonzero(opens[ids])
+                if len(start) != len(part):
+                    raise ValueError("the vocabulary does not mark the white space before a piece")
+                self._add(part, np.diff(start, append=len(ids)), ids)
+        odd = [p for p in pieces if p.split() not in ([p], [p[1:]]) or (p[0] != "\n" and p.split() != [p])]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p if p[0] == "\n" else " " + p for p in odd], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self._add(odd, size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
 
@@ -118,9 +145,10 @@ class PieceTable:
             return np.zeros(0, np.uint32)
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = text.split(" ")
-        if "" in pieces or any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE):
-            pieces = _CUT.split(text)  # some spaces touch others
+        # A newline between other characters is a token of its own, and what follows begins anew.
+        pieces = text.replace("\n", " \n").split(" ")
+        if "" in pieces or "\n" in pieces or any(c in text and (f" {c}" in text or f"{c} " in text or f"\n{c}" in text or f"{c}\n" in text) for c in OTHER_SPACE) or "\n " in text:
+            pieces = _CUT.split(text)  # some white space touches other
         first = np.array(self.tokenizer.encode(pieces[0], add_special_tokens=False).ids, np.uint32)
         if len(pieces) == 1:
             return first
@@ -130,7 +158,7 @@ class PieceTable:
             new = {p for p, i in zip(pieces, at, strict=True) if i is None}
             if len(self.index) + len(new) > TABLE_PIECES:
                 self._shrink()
-                new = set(pieces) - self.index.keys()
+                new = {p for p in pieces if p not in self.index}
             self.learn(sorted(new))
             at = list(map(self.index.get, pieces))
         at = np.array(at, np.int64)
