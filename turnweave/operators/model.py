@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.operators.groups import apply_to_groups
+
 FUSIONS = ("softmax", "entropy", "class_reliability", "scalar_reliability", "transformer_reliability")
 PAIRS = ("tt", "at", "vt", "aa", "ta", "va", "vv", "tv", "av")  # from the first modality to the second
 
@@ -267,8 +269,8 @@ def forward(df: DataFrame, weights: Weights, c: ModelConfig, text: str, audio: s
         g = group.sort_values("u", kind="stable")
         rows = lambda name: np.stack([np.asarray(x, float) for x in g[name]])
         out = run_dialogue(rows("t"), rows("a"), rows("v"), g["s"].to_numpy(), shared.value, c, dropped)
-        return pd.DataFrame({"d": g["d"].to_numpy(), "u": g["u"].to_numpy(), "logits": list(out["all"]), **{f"logits_{m}": list(out[m]) for m in "tav"}})
+        return pd.DataFrame({"u": g["u"].to_numpy(), "logits": list(out["all"]), **{f"logits_{m}": list(out[m]) for m in "tav"}})
 
     own = df.select(F.col(dialogue).cast("long").alias("d"), F.col(utterance).cast("long").alias("u"), F.col(speaker).cast("long").alias("s"), F.col(text).alias("t"), F.col(audio).alias("a"), F.col(visual).alias("v"))
-    got = own.groupBy("d").applyInPandas(run, "d long, u long, logits array<double>, logits_t array<double>, logits_a array<double>, logits_v array<double>")
+    got = apply_to_groups(own, "d", run, "d long, u long, logits array<double>, logits_t array<double>, logits_a array<double>, logits_v array<double>")
     return got.withColumnsRenamed({"d": dialogue, "u": utterance})

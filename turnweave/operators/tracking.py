@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnweave.operators.groups import apply_to_groups
+
 
 def ious(boxes: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Intersection over union of each of boxes (n, 4) with one box."""
@@ -43,8 +45,8 @@ def track_clip(clip: pd.DataFrame, threshold: float, max_gap: int) -> pd.DataFra
     ended: list[int] = []
     count, before = 0, None
     for frame, ids, boxes in _frames(clip):
-        if before is not None and frame - before > 1:  # what a frame without boxes would have closed
-            ended += [t for t, last, _ in live if frame - 1 - last > max_gap]
+        if before is not None and frame - before > 1:  # what frames without boxes would have closed, one after another
+            ended += [t for _, t in sorted(((last, t) for t, last, _ in live if frame - 1 - last > max_gap), key=lambda x: x[0])]
             live = [x for x in live if frame - 1 - x[1] <= max_gap]
         free = np.ones(len(ids), bool)
         after = []
@@ -97,19 +99,13 @@ def _flat(detections: DataFrame) -> DataFrame:
 def face_tracks(detections: DataFrame, threshold: float = 0.5, max_gap: int = 1) -> DataFrame:
     """(clip, frame, box_id, track_id, track_order) of every detection."""
 
-    def run(key: tuple, clip: pd.DataFrame) -> pd.DataFrame:
-        return track_clip(clip, threshold, max_gap).assign(clip=key[0])
-
-    return _flat(detections).groupBy("clip").applyInPandas(run, "clip long, frame long, box_id long, track_id long, track_order long")
+    return apply_to_groups(_flat(detections), "clip", lambda clip: track_clip(clip, threshold, max_gap), "clip long, frame long, box_id long, track_id long, track_order long")
 
 
 def chosen_faces(detections: DataFrame, floor: float | None = None) -> DataFrame:
     """(clip, frame, box_id) with one row a frame that has boxes; -1 where none overlaps the last choice enough."""
 
-    def run(key: tuple, clip: pd.DataFrame) -> pd.DataFrame:
-        return choose_clip(clip, floor).assign(clip=key[0])
-
-    return _flat(detections).groupBy("clip").applyInPandas(run, "clip long, frame long, box_id long")
+    return apply_to_groups(_flat(detections), "clip", lambda clip: choose_clip(clip, floor), "clip long, frame long, box_id long")
 
 
 def track_scores(tracks: DataFrame, scores: DataFrame, keys: Sequence[str] = ("clip", "track_id"), shortest: int = 5) -> DataFrame:
