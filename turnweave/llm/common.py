@@ -64,8 +64,6 @@ def reducers(spark: SparkSession, total_bytes: int, per_task: int = 64 << 20) ->
 
 # Chunks: a few MB of whole documents in one compressed value, so that an exchange moves few rows and Python reads arrays.
 
-CHUNK_SCHEMA = "chunk long, n_docs long, n_bytes long, blob binary"
-
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
     """Named arrays in one zstd-compressed value."""
