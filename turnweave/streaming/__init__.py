@@ -1,0 +1 @@
+"""Streams: the expressions of turnweave.functions hold for streaming DataFrames as they are; there are no stateful operators."""
