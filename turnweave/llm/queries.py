@@ -33,7 +33,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
-_SHINGLED = """
+_SHINGLED = r"""
     SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
                                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
     FROM (SELECT {id} AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE {id} IS NOT NULL)"""
