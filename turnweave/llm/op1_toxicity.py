@@ -39,7 +39,7 @@ E_WORD, E_CHAR, H_CHAR, H_WORD, ATTEND = 4, 4, 4, 8, 8
 MAX_DOCS = 3000
 EPOCHS, STEPS, BATCH = 3, 48, 256  # epochs before and after windows are picked anew; more where they would be fewer steps
 TABLE_WORDS = 200_000
-WINDOWS_AT_ONCE = 4096
+WINDOWS_AT_ONCE = 1024
 
 
 def words_of(text: str | None) -> list[str]:
@@ -188,6 +188,13 @@ class Net:
         p = self.p
         return np.concatenate([inputs @ p["wfw"] + p["wfb"], inputs @ p["wbw"] + p["wbb"]], 1)
 
+    def table_of(self, words: list[str], block: int = 4096) -> np.ndarray:
+        """projected() of many words, some at a time."""
+        out = np.empty((len(words), 6 * H_WORD), np.float32)
+        for i in range(0, len(words), block):
+            out[i : i + block] = self.projected(self.word_inputs(words[i : i + block])[0])
+        return out
+
     def fast_logits(self, table: np.ndarray, at: np.ndarray) -> np.ndarray:
         """logits() from rows of projected()."""
         p, wide = self.p, 3 * H_WORD
@@ -289,11 +296,11 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     at, owner = _windows([len(d) for d in docs], flat)
     prior = np.array([0.0, *(max(net.p["word"][net.vocabulary[w] + 2, 0] if w in net.vocabulary else 0.0, float(by_unit[units[w]].max())) for w in words[1:])])
     ranking = prior[at].max(0)
+    del units, unit, seen, prior  # the driver's memory is bounded by max_docs texts; tables of their words go early
     optimise = Adam(net.p, 0.01)
     for mined in (False, True):
         if mined:
-            table = net.projected(np.concatenate([net.word_inputs(words[i : i + 4096])[0] for i in range(0, len(words), 4096)]))
-            ranking = net.fast_logits(table, at)
+            ranking = net.fast_logits(net.table_of(words), at)
         for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(BATCH, len(docs))))):
             top = _top(ranking, owner, len(docs))
             other = np.unique(r.integers(0, at.shape[1], len(docs)))
@@ -307,9 +314,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
                 used, place = np.unique(at[:, picked[own]], return_inverse=True)
                 _, g = net.step([words[k] for k in used.tolist()], place.reshape(WINDOW, -1), label[own].astype(np.float32), weight[own].astype(np.float32))
                 optimise(g)
-    table = net.projected(np.concatenate([net.word_inputs(words[i : i + 4096])[0] for i in range(0, len(words), 4096)]))
     logit = np.full(len(docs), -np.inf)
-    np.maximum.at(logit, owner, net.fast_logits(table, at).astype(np.float64))
+    np.maximum.at(logit, owner, net.fast_logits(net.table_of(words), at).astype(np.float64))
     return Model(net, *_calibrate(logit, y))
 
 
