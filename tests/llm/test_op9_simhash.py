@@ -100,3 +100,59 @@ def test_keep_first_keeps_one_of_each_group(spark):
 @pytest.mark.parametrize("text", ["", "a", "a b", "a b c", "a b c d " * 50])
 def test_fingerprint(text):
     assert int.from_bytes(op.fingerprint(text.encode()), "big") == brute_fingerprint(text)
+
+
+def jaccard_groups(rows):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    root = op.Forest(len(rows))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root.link(np.array([i for i, _ in pairs], int), np.array([j for _, j in pairs], int))
+    return root.root
+
+
+def edited(seed=5):
+    r = random.Random(seed)
+    common = "this line stands in very many of the texts that we have here".split()
+    rows = []
+    for i in range(150):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([1, 4, 8, 9, 40, 120, 400]))] + (common if i % 2 else [])
+        rows.append((i, " ".join(words)))
+        for k in range(r.randrange(4) if i % 3 else 0):
+            own = list(words)
+            for _ in range(max(1, len(own) // r.choice([25, 40, 55, 80]))):
+                own[r.randrange(len(own))] = f"x{r.randrange(99)}"
+            rows.append((1000 + 10 * i + k, "\n".join(own)))
+    base = [f"g{i}" for i in range(200)]
+    for k in range(120):  # a large group of near copies
+        own = list(base)
+        for _ in range(r.randrange(5)):
+            own[r.randrange(len(own))] = f"y{k}"
+        rows.append((5000 + k, " ".join(own)))
+    return rows + [(6000, None), (6001, ""), (6002, " \t"), (6003, "One two"), (6004, "one  TWO"), (6005, "É"), (6006, "é"), (6007, rows[0][1])]
+
+
+@pytest.mark.parametrize("least, few", [(op.COMMON_LEAST, op.FEW), (10**9, 2)])
+def test_keep_first_matches_brute_force_jaccard(spark, monkeypatch, least, few):
+    monkeypatch.setattr(op, "COMMON_LEAST", least)
+    monkeypatch.setattr(op, "FEW", few)
+    rows = edited()
+    root = jaccard_groups(rows)
+    least_of = {}
+    for (d, _), g in zip(rows, root.tolist(), strict=True):
+        least_of[g] = min(least_of.get(g, d), d)
+    want = sorted(least_of.values())
+    assert sorted(r.doc_id for r in op.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()) == want
+
+
+def test_similar_sets_are_exact():
+    r = random.Random(8)
+    sets = [np.unique(np.array(r.sample(range(12), r.randrange(13)), np.uint64)) for _ in range(300)]
+    own = [set(s.tolist()) for s in sets]
+    forest = op.Forest(len(sets))
+    i, j = zip(*[(i, j) for i in range(300) for j in range(i) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])], strict=True)
+    forest.link(np.array(i), np.array(j))
+    assert op.similar_sets(sets).tolist() == forest.root.tolist()

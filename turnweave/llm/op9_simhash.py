@@ -201,11 +201,232 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Near copies for a stage: Jaccard similarity of sets of five-word shingles.
+
+COPY_WORDS = 5
+#: Similar is JACCARD[0] / JACCARD[1] and more.
+JACCARD = (4, 5)
+#: Bits by which the 128-bit fingerprints of similar sets may differ; at 0.8 they differ in 19 on average, with a deviation of 4.
+COPY_RADIUS = 38
+#: Documents whose shingles are counted for the order of shingles, and how many of the most common are told apart.
+ORDER_DOCS, COMMON, COMMON_LEAST = 20_000, 200_000, 8
+#: Documents of one shingle up to which pairs are compared by offset instead of a tree.
+FEW = 48
+
+
+def shingle_set(text: bytes, words: int = COPY_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a shorter text is one shingle, one without words has none."""
+    from xxhash import xxh64_digest
+
+    own = text.lower().split()
+    if len(own) <= words:
+        hashes = xxh64_digest(b" ".join(own), 42) if own else b""
+    else:
+        joined = b" ".join(own)
+        start = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1, out=start[1:])
+        n = len(own) - words + 1
+        hashes = b"".join([xxh64_digest(joined[a:b], 42) for a, b in zip(start[:n].tolist(), (start[words:] - 1).tolist(), strict=True)])
+    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+
+
+def set_fingerprint(own: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes in two words, the second of the hashes mixed anew."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(own), 1 << 14):
+        h = own[at : at + (1 << 14)]
+        mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        ones += np.unpackbits(np.stack([h, mixed ^ (mixed >> np.uint64(32))], 1).view(np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(own)).view(np.uint64)
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, that some of the documents of texts(node, text) often share, and their ranks, rare ones first.
+
+    They only order shingles, so that lists are short; any order finds every similar pair.
+    """
+    n = texts.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 4 << 20):
+            own = [shingle_set(t.encode()) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["h"])
+
+    some = texts.where(F.pmod("node", F.lit(max(1, n // ORDER_DOCS))) == 0).dropDuplicates(["node"]).select("text")
+    counted = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_LEAST)
+    t = counted.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h = t.column("h").to_numpy().view(np.uint64)
+    rank = np.arange(len(h), 0, -1)
+    by = np.argsort(h)
+    return h[by], rank[by]
+
+
+def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set in the global order: so many that two similar sets share one of them at least."""
+    if not len(own):
+        return np.zeros(1, np.uint64)  # texts without words meet in one list
+    m = len(own) - -(-JACCARD[0] * len(own) // JACCARD[1]) + 1
+    h, rank = common
+    if not len(h):
+        return own[:m]
+    at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+    return own[np.lexsort((own, np.where(h[at] == own, rank[at], 0)))[:m]]
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
+
+
+def _sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes that sets of enough similarity can have."""
+    return (JACCARD[1] * a >= JACCARD[0] * b) & (JACCARD[1] * b >= JACCARD[0] * a)
+
+
+def near_sets(fp: np.ndarray, size: np.ndarray, forest: Forest) -> None:
+    """Link all of a list that are within COPY_RADIUS and of fitting sizes, by a vantage-point tree."""
+    everything = np.arange(len(fp))
+    stack = [(everything, everything)]
+    while stack:
+        p, q = stack.pop()
+        if not len(p) or not len(q):
+            continue
+        d = _apart(fp[p], fp[p[len(p) // 2]])
+        mu = int(np.median(d))
+        near = d <= mu
+        if len(p) <= LEAF or near.all():
+            step = max(1, (PAIRS_AT_ONCE >> 2) // len(p))
+            for at in range(0, len(q), step):
+                own = q[at : at + step]
+                i, j = np.nonzero((_apart(fp[own][:, None], fp[p][None, :]) <= COPY_RADIUS) & _sized(size[own][:, None], size[p][None, :]))
+                forest.link(own[i], p[j])
+            continue
+        dq = _apart(fp[q], fp[p[len(p) // 2]])
+        stack += [(p[near], q[dq - COPY_RADIUS <= mu]), (p[~near], q[dq + COPY_RADIUS > mu])]
+
+
+def list_links(h: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links, a spanning forest of a long list's, between nodes with near fingerprints; rows sorted by shingle and node."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+    h, node, fp, size = h[new], node[new], fp[new], size[new]
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    length = np.diff(np.r_[start, len(h)])
+    u, v = [], []
+    at = np.flatnonzero(np.repeat((length > 1) & (length <= FEW), length))
+    for k in range(1, FEW):
+        at = at[at + k < len(h)]
+        at = at[h[at] == h[at + k]]
+        if not len(at):
+            break
+        near = at[(_apart(fp[at], fp[at + k]) <= COPY_RADIUS) & _sized(size[at], size[at + k])]
+        u.append(node[near])
+        v.append(node[near + k])
+    for s, n in zip(start[length > FEW].tolist(), length[length > FEW].tolist(), strict=True):
+        forest = Forest(n)
+        near_sets(fp[s : s + n], size[s : s + n], forest)
+        linked = np.flatnonzero(forest.root != np.arange(n))
+        u.append(node[s : s + n][linked])
+        v.append(node[s : s + n][forest.root[linked]])
+    empty = np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([np.concatenate([empty, *u]), np.concatenate([empty, *v])]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def similar_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """Smallest position that similar sets link each set to, by exact Jaccard similarity."""
+    a, b = JACCARD
+    size = np.array(list(map(len, sets)), np.int64)
+    words, token = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    ends = np.cumsum(size)
+    root = np.arange(len(sets))
+    held = np.zeros(len(words) + 1, bool)
+    left = np.arange(len(sets))  # not reached yet
+    flat, begins = token, ends - size
+    while len(left):
+        first, queue = left[0], [left[0]]
+        keep = np.ones(len(left), bool)
+        keep[0] = False
+        while True:
+            if not keep.all():
+                flat = flat[np.repeat(keep, size[left])]
+                left = left[keep]
+                begins = np.cumsum(size[left]) - size[left]
+            if not queue or not len(left):
+                break
+            x = queue.pop()
+            own = token[ends[x] - size[x] : ends[x]]
+            held[own] = True
+            total = np.r_[0, np.cumsum(held[flat])]
+            both = total[begins + size[left]] - total[begins]
+            held[own] = False
+            near = b * both >= a * (size[left] + size[x] - both)
+            root[left[near]] = first
+            queue += left[near].tolist()
+            keep = ~near
+    return root
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group): the rows of docs; rows of one group are linked by texts whose shingle sets have Jaccard 0.8 or more.
+
+    Candidates share a shingle of their prefixes and have near fingerprints, searched by a vantage-point tree where a shingle
+    has many documents. Each candidate component is then compared exactly; a group is the hash of one of its texts.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    common = common_shingles(texts)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 20):
+            own = [shingle_set(t.encode()) for t in b.column(1).to_pylist()]
+            first = [prefix(s, common) for s in own]
+            n = list(map(len, first))
+            fp = np.stack([set_fingerprint(s) for s in own]).repeat(n, axis=0).view(np.int64)
+            columns = [np.concatenate(first).view(np.int64), np.repeat(b.column(0).to_numpy(), n), fp[:, 0].copy(), fp[:, 1].copy(), np.repeat([len(s) for s in own], n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "fp", "more", "size"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = list_links(rows[0], rows[1], np.stack(rows[2:4], 1).view(np.uint64), rows[4])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [c.to_numpy() for c in b.columns]
+            kept = [np.concatenate(x) for x in zip(kept, rows, strict=True)] if kept else rows
+            cut = int(np.searchsorted(kept[0], kept[0][-1]))  # the last list may go on
+            if cut:
+                yield found([x[:cut] for x in kept])
+                kept = [x[cut:] for x in kept]
+        if kept:
+            yield found(kept)
+
+    def verify(t: pa.Table) -> pa.Table:
+        nodes = t.column("node").to_numpy()
+        root = similar_sets([shingle_set(x.encode()) for x in t.column("text").to_pylist()])
+        return pa.table({"node": nodes, "group": nodes[root]})
+
+    probes = texts.mapInArrow(probe, "h long, node long, fp long, more long, size long")
+    edges = probes.repartition(reducers(spark, 0), "h").sortWithinPartitions("h", "node").mapInArrow(search, "u long, v long")
+    stars = components(edges)
+    candidates = stars.union(stars.select("root", "root")).distinct()
+    chosen = texts.join(candidates, "node").groupBy("root", "node").agg(F.first("text").alias("text"))
+    groups = materialize(chosen.groupBy("root").applyInArrow(verify, "node long, group long"), "groups")
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"))
+    return rows.join(groups, "node", "left").select("id", F.coalesce("group", "node").alias("group"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: that with its smallest id.
+    """docs with one document of each group of near copies (see near_copies): that with its smallest id.
 
     Rows that repeat one id count as one document and stay or go together; rows without an id stay.
     """
-    groups = near_duplicates(docs, id_col, text_col).where(quoted(id_col).isNotNull())
-    gone = groups.groupBy(quoted(id_col)).agg(F.bool_or(quoted(id_col) == F.col("component_id")).alias("stays")).where("not stays").drop("stays")
+    rows = materialize(near_copies(docs, id_col, text_col), "copies")
+    least = rows.groupBy("group").agg(F.min("id").alias("least"))
+    gone = rows.where("id IS NOT NULL").join(least, "group").groupBy("id").agg(F.bool_or(F.col("id") == F.col("least")).alias("stays")).where("not stays").select(F.col("id").alias(id_col))
     return docs.join(gone, id_col, "left_anti")
