@@ -95,3 +95,11 @@ def test_real_pages_match_a_plain_reading(spark):
         body = re.search(r"<article>(.*?)(</article>|\Z)", p.html, re.S)[1]
         want = " ".join(html_lib.unescape(re.sub(r"<[^>]*>", " ", body)).split())
         assert (got[p.page_id].text, got[p.page_id].n_chars, got[p.page_id].url) == (want, len(want), p.url)
+
+
+def test_blocks_of_a_copied_article_are_not_template():
+    own = "<html><body><article><h1>Copied</h1><p>first</p><h2>Its own part</h2><ul><li>one</li><li>two</li></ul><p>last</p></article><div>Site line</div></body></html>"
+    other = lambda i: f"<html><body><article><h1>Story {i}</h1><p>text {i}</p></article><div>Site line</div></body></html>"
+    template = op.induce([own] * 10 + [other(i) for i in range(12)])
+    assert op.extract(own, template) == "Copied first Its own part one two last"
+    assert op.extract(other(50), template) == "Story 50 text 50"

@@ -253,7 +253,7 @@ def matching(a: list, b: list) -> tuple[int, list]:
     return best[-1][-1] + 1, pairs[::-1]
 
 
-# Templates: [signature, constant digest or "", kids, pages that have the node].
+# Templates: [signature, constant digest or "", kids, different articles whose pages have the node].
 
 
 def _fresh(o: list) -> list:
@@ -283,7 +283,10 @@ def induce(pages: list[str]) -> list | None:
     template, seen = None, set()
     for html in pages:
         root = parse(html)
-        seen.add(_digest(blocks(articles(root)[0])))
+        article = _digest(blocks(articles(root)[0]))
+        if article in seen:  # a node counts the articles that it stands beside, not their copies
+            continue
+        seen.add(article)
         o = outline([root])
         if template is None:
             template = _fresh(o)
