@@ -103,3 +103,11 @@ def test_blocks_of_a_copied_article_are_not_template():
     template = op.induce([own] * 10 + [other(i) for i in range(12)])
     assert op.extract(own, template) == "Copied first Its own part one two last"
     assert op.extract(other(50), template) == "Story 50 text 50"
+
+
+def test_a_rare_layout_of_a_large_host_is_learned(spark):
+    common = lambda i: f"<body><article><p>story {i}</p></article></body>"
+    rare = lambda i: f"<body><section><p>Text {i} of the gallery</p></section><div>Pictures may be resold</div></body>"
+    rows = [(i, "http://h/", common(i)) for i in range(200)] + [(1000 + i, "http://h/", rare(i)) for i in range(6)] + [(2000 + i, "http://h/", common(0)) for i in range(300)]
+    got = {r.page_id: r.text for r in op.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {p: re.search("story [0-9]+|Text [0-9]+ of the gallery", h)[0] for p, _, h in rows}

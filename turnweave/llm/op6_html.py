@@ -1,8 +1,9 @@
 """Main text of HTML pages by wrapper induction.
 
-1. Of every host up to SAMPLE pages (those with the least hash of their id) are parsed into trees, in which neighbouring
-   paragraphs, list items and the like with one signature (tag and class names) are one repeated node, and aligned one after another with the host's template by simple
-   tree matching. Aligned nodes whose text is the same on all pages become template; the others are slots.
+1. All pages of a host, one of every different article, are parsed into trees, in which neighbouring paragraphs, list items and
+   the like with one signature (tag and class names) are one repeated node, and aligned one after another with the host's
+   template by simple tree matching; a large host is dealt to salts, whose templates are merged the same way. Aligned nodes
+   whose text is the same on all pages become template; the others are slots.
 2. Every page is aligned with its host's template. Nodes that hold a template's constant text are dropped. Of the slots, those
    that vary but are not the article by what they are (menus, headers, footers, asides, forms, notices, adverts, comments) are
    dropped too. The article is the <article> with the most text, else <main>, else the body.
@@ -21,16 +22,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm.common import materialize, quoted, slices
 
-SAMPLE = 32
 DISTINCT = 4
 BROADCAST_BYTES = 16 << 20
 SALTS = 32
@@ -261,8 +261,8 @@ def _fresh(o: list) -> list:
 
 
 def _merge(t: list, o: list, pairs: list) -> None:
-    """Bring an outline into a template along their matching; nodes that it adds stay where they stood among matched ones."""
-    t[3] += 1
+    """Bring a template into another along their matching; nodes that it adds stay where they stood among matched ones."""
+    t[3] += o[3]
     if t[1] != o[1]:
         t[1] = ""
     at = {j: (i, sub) for i, j, sub in pairs}
@@ -274,25 +274,33 @@ def _merge(t: list, o: list, pairs: list) -> None:
             done = i + 1
             _merge(t[2][i], k, sub)
         elif len(t[2]) < 2 * MAX_KIDS:
-            kids.append(_fresh(k))
+            kids.append(k)
     t[2] = kids + t[2][done:]
 
 
-def induce(pages: list[str]) -> list | None:
-    """The template of pages of one host, or None if their articles are too few or too alike."""
-    template, seen = None, set()
-    for html in pages:
-        root = parse(html)
-        article = _digest(blocks(articles(root)[0]))
-        if article in seen:  # a node counts the articles that it stands beside, not their copies
-            continue
-        seen.add(article)
-        o = outline([root])
+def of_page(html: str) -> tuple[str, list]:
+    """Digest of a page's article, and the page as a template of one."""
+    root = parse(html)
+    return _digest(blocks(articles(root)[0])), _fresh(outline([root]))
+
+
+def merged(parts: Iterable[list]) -> list:
+    """One template of several, of different articles each."""
+    template = None
+    for part in parts:
         if template is None:
-            template = _fresh(o)
+            template = part
         else:
-            _merge(template, o, matching(template, o)[1])
-    return template if len(seen) >= DISTINCT else None
+            _merge(template, part, matching(template, part)[1])
+    return template
+
+
+def induce(pages: list[str]) -> list | None:
+    """The template of pages of one host, or None if their articles are too few or too alike."""
+    own: dict[str, list] = {}
+    for html in pages:  # a node counts the articles that it stands beside, not their copies
+        own.setdefault(*of_page(html))
+    return merged(own.values()) if len(own) >= DISTINCT else None
 
 
 def constant(template: list, o: list, pairs: list, skip: set[int]) -> None:
@@ -317,21 +325,28 @@ def extract(html: str | None, template: list | None) -> str:
     return " ".join(t for n in articles(root) for t in blocks(n, skip))
 
 
-def templates(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, template): JSON templates, one a host that has one; from at most `sample` pages of each."""
-    by = Window.partitionBy("host").orderBy("dice", "page", "html")
-    # Spark limits each partition's rows of a host before the exchange, so a large host does not fill a task.
-    chosen = pages.where("html IS NOT NULL").select("host", "page", "html", F.xxhash64("page", "html").alias("dice")).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= sample)
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, template): JSON templates, one a host that has one; from one page of every different article."""
+
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "html", 4 << 20):
+            got = [of_page(h) for h in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for d, _ in got], pa.string()), pa.array([json.dumps(t) for _, t in got], pa.string())], names=["host", "article", "outline"])
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("nth").to_pylist(), t.column("html").to_pylist(), strict=True))
-        got = induce([h for _, h in rows])
-        return pa.table({"host": t.column("host")[:1], "template": pa.array([json.dumps(got)], pa.string())} if got else {"host": pa.array([], pa.string()), "template": pa.array([], pa.string())})
+    def merge(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("part").to_pylist(), t.column("outline").to_pylist(), strict=True))
+        return pa.table({"host": t.column("host")[:1], "template": pa.array([json.dumps(merged(json.loads(o) for _, o in rows))], pa.string()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
 
-    return chosen.select("host", "nth", "html").groupBy("host").applyInArrow(run, "host string, template string")
+    each = pages.where("html IS NOT NULL").select("host", "html").mapInArrow(outlines, "host string, article string, outline string")
+    articles_of = each.groupBy("host", "article").agg(F.min("outline").alias("outline"))
+    # In two steps: a large host's articles are dealt to salts, whose templates are merged.
+    salted = articles_of.select("host", F.pmod(F.xxhash64("article"), F.lit(SALTS)).alias("salt"), F.col("article").alias("part"), "outline", F.lit(1).cast("long").alias("n"))
+    parts = salted.groupBy("host", "salt").applyInArrow(lambda t: merge(t).append_column("salt", t.column("salt")[:1]), "host string, template string, n long, salt long")
+    whole = parts.select("host", F.col("salt").cast("string").alias("part"), F.col("template").alias("outline"), "n").groupBy("host").applyInArrow(merge, "host string, template string, n long")
+    return whole.where(F.col("n") >= DISTINCT).select("host", "template")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: (id_col, url_col, text, n_chars)."""
     host = F.coalesce(F.lower(F.regexp_extract(quoted(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     own = pages.select(quoted(id_col).cast("long").alias("page"), quoted(url_col).cast("string").alias("url"), quoted(html_col).cast("string").alias("html"), host.alias("host"))
@@ -348,7 +363,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts.append(extract(html, held.get(template)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page", "url", "text", "n_chars"])
 
-    known = materialize(templates(own, sample), "templates")
+    known = materialize(templates(own), "templates")
     if (known.agg(F.sum(F.octet_length("template"))).first()[0] or 0) <= BROADCAST_BYTES:
         joined = own.join(F.broadcast(known), "host", "left")
     else:  # many hosts: a large one is spread over salts
