@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -19,7 +20,8 @@ def tokenizer():
 
 def brute(tokenizer, rows):
     start, out = 0, []
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    tie = lambda t: int.from_bytes(xxhash.xxh64_digest((t or "").encode(), 42), "big", signed=True)
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1]))):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -37,6 +39,24 @@ def test_encode_matches_the_library(tokenizer):
         assert table.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_texts_together_are_texts_alone(tokenizer):
+    rng = random.Random(6)
+    bits = ["a", "\nthe", ".\nIt", "end.", "x,", " ", "  ", "\n", "\t", "9", "é", "\u00a0", "<|endoftext|>", "\0", "\x1f", "word", " word", " of", " it."]
+    texts = [*ODD, *("".join(rng.choices(bits, k=rng.randrange(0, 30))) for _ in range(2000))]
+    table = op.PieceTable(PATH)
+    for at in range(0, len(texts), 300):
+        own = texts[at : at + 300]
+        size, ids = table.encode_all(op.pa.array(own))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in own]
+    assert [x.tolist() for x in table.encode_all(op.pa.array([], op.pa.string()))] == [[], []]
+
+
+def test_plan_cuts_by_ranges(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert 0 < op.text_size(docs, "text") < 10_000_000
+    assert op.text_size(spark.createDataFrame([("é",), (None,)], "text string"), "text") == 2
+
+
 def test_table_drops_pieces_at_its_limit(tokenizer, monkeypatch):
     monkeypatch.setattr(op, "TABLE_PIECES", 20)
     table = op.PieceTable(PATH)

@@ -62,6 +62,18 @@ def reducers(spark: SparkSession, total_bytes: int, per_task: int = 64 << 20) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // per_task), 1)
 
 
+def text_size(docs: DataFrame, text_col: str) -> int:
+    """Bytes of a column of texts, for the size of an exchange: twice the files' size, without a scan, where docs comes from files."""
+    total = 0
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName().split(" ")[0] not in ("LogicalRelation", "Relation"):
+            return docs.agg(F.sum(F.octet_length(quoted(text_col).cast("string")))).first()[0] or 0
+        total += int(str(leaf.stats().sizeInBytes()))
+    return 2 * total
+
+
 # Chunks: a few MB of whole documents in one compressed value, so that an exchange moves few rows and Python reads arrays.
 
 

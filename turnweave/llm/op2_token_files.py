@@ -9,11 +9,13 @@ partitions. A partition is written under an attempt's own name and renamed when
 once, leaves the same files.
 
 Encoding: a text is cut before single spaces and newlines that stand between non-space characters. Byte-level BPE with the
-usual splitting pattern never crosses such a cut, so each distinct piece is encoded once a worker (by the tokenizers library, in a table of
-bounded size) and ids are gathered by position. Texts that hold a special token's string are encoded whole.
+usual splitting pattern never crosses such a cut, so the pieces of some MB of texts are reduced to distinct ones by Arrow, each is
+encoded once a worker (by the tokenizers library, in a table of bounded size), and ids are gathered by position. Texts that hold
+a special token's string, or a zero character, are encoded whole.
 
-Defined results: a null text is empty and has just the end id; null ids come first; equal ids are ordered by text; an empty
-table gives no rows. Extra input columns are ignored.
+Defined results: a null text is empty and has just the end id; null ids come first; equal ids are ordered by the
+XXH64 of their texts; an empty
+table gives no rows. Extra input columns, also of clashing names, are ignored. Very long texts are encoded whole, alone.
 """
 
 from __future__ import annotations
@@ -28,18 +30,24 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import filesystem, fresh_dir, materialize, quoted, reducers, slices
+from turnweave.llm.common import filesystem, fresh_dir, materialize, quoted, reducers, slices, text_size
 
 #: Distinct pieces that a worker keeps; at the limit the less used ones go.
 TABLE_PIECES = 800_000
-#: White space other than the space, of the splitting pattern and of Python (which has a few more).
+#: Bytes of texts that are cut and looked up together.
+BATCH_BYTES = 8 << 20
 PUNCTUATION = string.punctuation
-OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: White space other than the space and the newline, of the splitting pattern and of Python (which has a few more).
+OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: White space that touches a space or newline or an end of the text, so that not every space and newline is a cut.
+TOUCHING = rf"^[ \n]|[ \n]\z|[ \n][ \n{OTHER_SPACE}]|[{OTHER_SPACE}][ \n]"
+CUTS = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+CUT = "\0"
 _TABLES: dict[str, PieceTable] = {}
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class PieceTable:
@@ -80,8 +88,8 @@ class PieceTable:
                 made.append((p, core, p[len(core) :]))
             else:
                 whole.append(p)
-        cores = {core for _, core, _ in made if core not in self.index}
-        self._encode_new(sorted(cores.union(whole)))
+        cores = dict.fromkeys(core for _, core, _ in made if core not in self.index)
+        self._encode_new(list(cores | dict.fromkeys(whole)))
         if made:
             for _, _, tail in made:
                 if tail not in self.tails:
@@ -97,8 +105,15 @@ class PieceTable:
 
         Those without other white space are encoded many at once, as one text: just their first ids open with space or newline.
         """
-        spaced = [p for p in pieces if p.split() == [p]]
-        lined = [p for p in pieces if p[0] == "\n" and p.split() == [p[1:]]]
+        lined = [p for p in pieces if p[0] == "\n"]
+        spaced = [p for p in pieces if p[0] != "\n"] if lined else pieces
+        odd: list[str] = []
+        if len("".join(spaced).split(None, 1)) > 1 or len(("".join(spaced)).strip()) < sum(map(len, spaced)):
+            odd += [p for p in spaced if p.split() != [p]]
+            spaced = [p for p in spaced if p.split() == [p]]
+        if len("".join(lined).split()) != len(lined) or sum(map(len, "".join(lined).split())) != sum(map(len, lined)) - len(lined):
+            odd += [p for p in lined if p.split() != [p[1:]]]
+            lined = [p for p in lined if p.split() == [p[1:]]]
         for own, joined, opens in ((spaced, " ".join, self.opens_space), (lined, "".join, self.opens_line)):
             for at in range(0, len(own), 4096):
                 part = own[at : at + 4096]
@@ -107,10 +122,13 @@ class PieceTable:
                 if len(start) != len(part):
                     raise ValueError("the vocabulary does not mark the white space before a piece")
                 self._add(part, np.diff(start, append=len(ids)), ids)
-        odd = [p for p in pieces if p.split() not in ([p], [p[1:]]) or (p[0] != "\n" and p.split() != [p])]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p if p[0] == "\n" else " " + p for p in odd], add_special_tokens=False)]
+        self._add(odd, *self._whole([p if p[0] == "\n" else " " + p for p in odd]))
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids end to end) of texts, each by the tokenizer alone."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._add(odd, size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
+        return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
 
     def _add(self, pieces: list[str], size: np.ndarray, flat: np.ndarray) -> None:
         n = len(self.index)
@@ -141,30 +159,66 @@ class PieceTable:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as the tokenizer gives them without its special tokens added."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        # A newline between other characters is a token of its own, and what follows begins anew.
-        pieces = text.replace("\n", " \n").split(" ")
-        if "" in pieces or "\n" in pieces or any(c in text and (f" {c}" in text or f"{c} " in text or f"\n{c}" in text or f"{c}\n" in text) for c in OTHER_SPACE) or "\n " in text:
-            pieces = _CUT.split(text)  # some white space touches other
-        first = np.array(self.tokenizer.encode(pieces[0], add_special_tokens=False).ids, np.uint32)
-        if len(pieces) == 1:
-            return first
-        del pieces[0]
-        at = list(map(self.index.get, pieces))
-        if None in at:
-            new = {p for p, i in zip(pieces, at, strict=True) if i is None}
+        return self.encode_all(pa.array([text], pa.large_string()))[1]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids end to end) of texts; null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring(texts, CUT)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        whole = whole.to_numpy(zero_copy_only=False)
+        touching = pc.match_substring_regex(texts, TOUCHING).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pc.replace_substring(texts, "\n", CUT + "\n"), " ", CUT)
+        if (whole | touching).any():
+            own = texts.to_pylist()
+            cut = cut.to_pylist()
+            for i in np.flatnonzero(whole | touching).tolist():
+                cut[i] = "" if whole[i] else CUTS.sub(CUT, own[i])
+            cut = pa.array(cut, pa.large_string())
+        # The first piece of a text stands alone; what follows is looked up.
+        pieces = pc.split_pattern(cut, CUT)
+        edges = pieces.offsets.to_numpy()
+        coded = pieces.values.dictionary_encode()
+        place, known = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        opening = np.zeros(len(place), bool)
+        opening[edges[:-1]] = True
+        inner = np.zeros(len(known), bool)
+        inner[place[~opening]] = True
+        at = self._looked_up(known, inner)
+        first = np.unique(place[opening])
+        size, flat = self._whole([known[i] for i in first.tolist()])
+        # Starts and sizes by distinct piece: those of inner ones lie in the table, those of opening ones after it.
+        end = int(self.start[len(self.index)])
+        begin, n = self.start[at[place]], (self.start[np.minimum(at + 1, len(self.start) - 1)] - self.start[at])[place]
+        where = np.searchsorted(first, place[opening])
+        begin[opening], n[opening] = end + (np.cumsum(size) - size)[where], size[where]
+        ids = np.concatenate([self.flat[:end], flat])[_places(begin, n)]
+        total = np.add.reduceat(np.append(n, 0), edges[:-1]) if len(texts) else np.zeros(0, np.int64)
+        if not whole.any():
+            return total, ids
+        alone = np.flatnonzero(whole)
+        size, flat = self._whole([own[i] for i in alone.tolist()])
+        begin, n = np.cumsum(total) - total, total
+        begin[alone], n[alone] = len(ids) + np.cumsum(size) - size, size
+        return n, np.concatenate([ids, flat])[_places(begin, n)]
+
+    def _looked_up(self, known: list[str], wanted: np.ndarray) -> np.ndarray:
+        """Places in the table of the wanted ones of known pieces; 0 of the others."""
+        at = np.zeros(len(known), np.int64)
+        own = np.flatnonzero(wanted)
+        pieces = [known[i] for i in own.tolist()]
+        got = list(map(self.index.get, pieces))
+        if None in got:
+            new = [p for p, i in zip(pieces, got, strict=True) if i is None]
             if len(self.index) + len(new) > TABLE_PIECES:
                 self._shrink()
-                new = {p for p in pieces if p not in self.index}
-            self.learn(sorted(new))
-            at = list(map(self.index.get, pieces))
-        at = np.array(at, np.int64)
-        self.hits[at] += 1
-        start = self.start[at]
-        return np.concatenate([first, self.flat[_places(start, self.start[at + 1] - start)]])
+                new = [p for p in pieces if p not in self.index]
+            self.learn(new)
+            got = list(map(self.index.get, pieces))
+        at[own] = got
+        self.hits[at[own]] += 1
+        return at
 
 
 def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -175,12 +229,11 @@ def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write docs as token files below folder; returns (part, n_docs, n_null, n_tokens, base_tokens), a row per written partition.
 
-    The ranges of ids that partitions hold come from the id column alone, so the texts are moved once.
+    Partitions are ranges of (id, hash of the text), so one id with very many rows is split too; only such keys are sampled.
     """
-    spark = docs.sparkSession
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = reducers(spark, size)
+    texts = texts.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    n = reducers(docs.sparkSession, text_size(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,18 +247,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         total = docs = nulls = 0
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(names["tokens"][0]) as out:
-            for b in slices(batches, "text", 4 << 20):
-                ends = []
-                for text in b.column(1).to_pylist():
-                    ids = table.encode(text or "")
-                    if end_id is not None:
-                        ids = np.append(ids, np.uint32(end_id))
-                    out.write(ids.astype(kind).tobytes())
-                    total += len(ids)
-                    ends.append(total)
+            for b in slices(batches, "text", BATCH_BYTES):
+                size, ids = table.encode_all(b.column(1))
+                ends = np.cumsum(size)
+                if end_id is not None:
+                    ids = np.insert(ids, ends, np.uint32(end_id))
+                    ends += np.arange(1, len(ends) + 1)
+                out.write(ids.astype(kind).tobytes())
                 docs += len(ends)
                 nulls += b.column(0).null_count
-                offsets.append(np.array(ends, np.int64))
+                offsets.append(ends + total)
+                total += len(ids)
                 own_ids.append(b.column(0).fill_null(0).to_numpy())
         for name, arrays in (("offsets", offsets), ("docs", own_ids)):
             with fs.open_output_stream(names[name][0]) as out:
@@ -219,26 +271,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             for own, _ in names.values():
                 fs.delete_file(own)
 
-    bounds = _bounds(texts, n)
-    if len(bounds) <= 128:  # few enough to look up in a row's own expression, without a second read of the texts for a sample
-        part = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<long>"), lambda x: x < F.col("id")))
-        dealt = texts.repartitionById(n, F.greatest(part, F.lit(0)).cast("int"))
-    else:
-        dealt = texts.repartitionByRange(n, "id", "text")
-    parts = materialize(dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, "part int, n_docs long, n_null long, n_tokens long"), "parts")
+    dealt = texts.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    parts = materialize(dealt.mapInArrow(run, "part int, n_docs long, n_null long, n_tokens long"), "parts")
     # One row a partition: the prefix sums run over a table whose size is the number of partitions.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return parts.select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base_tokens"))
 
 
-def _bounds(texts: DataFrame, n: int) -> list[int]:
-    """n - 1 ascending ids that part the rows evenly, from the id column alone."""
-    if n < 2:
-        return []
-    got = texts.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000)).first()[0]
-    return sorted(set(got or []))
-
-
 def read_token_files(parts: DataFrame, folder: str, wide: bool, doc_batch: int = 4096) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document in the files, read through memory maps.
 
