@@ -1,20 +1,24 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, trained in numpy.
 
-A text is lower-cased and cut into words (runs of letters and digits, in pieces of at most PIECE characters). A word's input is
+A text is lower-cased and cut into words: runs of letters and digits, and runs of other signs, in pieces of at most PIECE
+characters, so that all but white space is read. A word's input is
 its embedding next to what a small bidirectional network with attention pooling makes of its characters, each given as the
 hashed strings of two to four characters that end there. A second such network reads windows of WINDOW words that overlap by
 half, and a document's logit is the largest of all its windows', so no part of a text is left out. A final scale and shift of
 the logit are fitted on the training documents.
 
-Training sees the whole texts of at most `max_docs` labelled documents, half of them toxic where there are as many, chosen by
-the hash of their ids; this bound holds for training alone. Embeddings start from how each word
+Training sees the whole texts of at most `max_docs` labelled documents of at most `max_bytes` in all, half of them toxic where
+there are as many, taken in the order of the hash of their ids; these bounds hold for training alone. Embeddings start from how each word
 and character string goes with the labels of the training documents. Windows that the network thinks most toxic of each
 document are trained on, with some others. The label of a document, its language, source and id are no inputs of its score.
 
 Scoring keeps what it has computed for distinct words in a table of bounded size; scores do not depend on it.
 
 Defined results: a null text is empty; an empty text is one window of padding and gets its score; repeated rows and null ids
-each give a row; with labels of one kind only, or none, all scores are that kind's share (or 0); an empty table gives no rows.
+each give a row (an id that repeats is trained on once, with its least text, and toxic if any of its labels is); a score of
+exactly 0.5 is toxic; with labels of one kind only, or none, all scores are that kind's share (or 0); an empty table gives no
+rows. Very long texts are scored in all their windows, some at a time. Extra columns of any name are ignored by scored() and
+kept by without_toxic().
 """
 
 from __future__ import annotations
@@ -32,11 +36,12 @@ from pyspark.sql import functions as F
 from turnweave.llm.common import quoted, slices
 
 WINDOW, STRIDE, PIECE = 32, 16, 12
-WORD = re.compile(r"[^\W_]{1,%d}" % PIECE)
+WORD = re.compile(r"[^\W_]{1,%d}|(?:[^\w\s]|_){1,%d}" % (PIECE, PIECE))
 BUCKETS = 1 << 16
 VOCABULARY = 8192
 E_WORD, E_CHAR, H_CHAR, H_WORD, ATTEND = 4, 4, 4, 8, 8
 MAX_DOCS = 3000
+MAX_BYTES = 32 << 20
 EPOCHS, STEPS, BATCH = 3, 48, 256  # epochs before and after windows are picked anew; more where they would be fewer steps
 TABLE_WORDS = 200_000
 WINDOWS_AT_ONCE = 1024
@@ -362,13 +367,26 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(quoted(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, exclude=held_out) -> Model:
-    """Train on the driver from at most max_docs labelled documents that `exclude` does not name; half toxic where there are as many."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, exclude=held_out) -> Model:
+    """Train on the driver from labelled documents that `exclude` does not name, within both bounds; half toxic where there are as many.
+
+    Sizes come to the driver first, at most max_docs numbers, and texts only of the documents that fit.
+    """
     own = labels.where(quoted(id_col).isNotNull() & quoted(label_col).isNotNull()).where(~exclude(id_col)).groupBy(quoted(id_col).alias("id")).agg(F.max(quoted(label_col)).cast("int").alias("label"))
     kinds = [own.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(max_docs // 2) for k in (0, 1)]
     chosen = F.broadcast(kinds[0].union(kinds[1]))  # at most max_docs rows of two numbers
-    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("t")).join(chosen, "id").collect()
-    rows.sort(key=lambda x: (zlib.crc32(str(x["id"]).encode()), x["id"], x["t"] or ""))
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("t")).join(chosen, "id")
+    size = {r["id"]: r["n"] for r in texts.groupBy("id").agg(F.max(F.octet_length("t")).alias("n")).collect()}
+    order = lambda i: (zlib.crc32(str(i).encode()), i)
+    fitting, total = [], 0
+    for i in sorted(size, key=order):
+        total += size[i] or 0
+        if total <= max_bytes:
+            fitting.append(i)
+    if len(fitting) < len(size):
+        texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fitting], docs.select(quoted(id_col).alias("id")).schema)), "id")
+    rows = texts.groupBy("id").agg(F.min("t").alias("t"), F.first("label").alias("label")).collect()
+    rows.sort(key=lambda x: order(x["id"]))
     return train([x["t"] for x in rows], [x["label"] for x in rows])
 
 
@@ -428,10 +446,12 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
     """docs without those that score at least the threshold, in one pass over them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    at = names.index(text_col)
+    plain = docs.toDF(*[f"of_{i}" for i in range(len(names))])  # names with dots are not looked up in what follows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in slices(batches, text_col, 1 << 20):
-            yield b.filter(pa.array(scorer.score(b.column(names.index(text_col)).to_pylist()) < threshold))
+        for b in slices(batches, f"of_{at}", 1 << 20):
+            yield b.filter(pa.array(scorer.score(b.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
