@@ -210,6 +210,8 @@ JACCARD = (4, 5)
 COPY_RADIUS = 38
 #: Documents whose shingles are counted for the order of shingles, and how many of the most common are told apart.
 ORDER_DOCS, COMMON, COMMON_LEAST = 20_000, 200_000, 8
+#: Shingles of a set by which it meets others, at most.
+PREFIX = 16
 #: Documents of one shingle up to which pairs are compared by offset instead of a tree.
 FEW = 48
 
@@ -263,15 +265,22 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a set in the global order: so many that two similar sets share one of them at least."""
+    """The first shingles of a set in the global order, by which it meets others.
+
+    Similar sets share one of the first fifth and one more. A set with three times as many uncommon shingles as that gives PREFIX of
+    them: a similar set has half of the two sets' uncommon ones at least, so that both miss each other with a chance of
+    0.5 ** PREFIX at most (0.2 ** PREFIX without common ones).
+    """
     if not len(own):
         return np.zeros(1, np.uint64)  # texts without words meet in one list
     m = len(own) - -(-JACCARD[0] * len(own) // JACCARD[1]) + 1
     h, rank = common
     if not len(h):
-        return own[:m]
+        return own[: min(m, PREFIX)]
     at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-    return own[np.lexsort((own, np.where(h[at] == own, rank[at], 0)))[:m]]
+    rank = np.where(h[at] == own, rank[at], 0)
+    free = own[rank == 0]
+    return free[: min(m, PREFIX)] if len(free) >= 3 * m else own[np.lexsort((own, rank))[:m]]
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
