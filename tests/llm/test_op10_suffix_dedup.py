@@ -76,8 +76,7 @@ def test_long_documents_are_cut_into_pieces(monkeypatch, spark):
 
 @pytest.mark.parametrize("files", [False, True])
 def test_every_column_is_sorted_with_its_common_prefixes(files, tmp_path, monkeypatch):
-    if files:
-        monkeypatch.setattr(op, "MEMORY_SYMBOLS", 10)
+    monkeypatch.setattr(op, "LAID_STRINGS", 7)
     r = random.Random(9)
     strings = ["".join(r.choices("ab\x00c", k=r.randrange(1, 20))).encode() for _ in range(80)]
     size = np.array([len(s) for s in strings])

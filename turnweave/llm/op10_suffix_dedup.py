@@ -8,19 +8,22 @@ collection that is sorted holds short strings instead, and still every pair of e
 1. Each window of SPAN bytes picks the KGRAM-byte string in it with the least hash (its anchor). Equal windows pick equal
    anchors at equal offsets. The windows that pick one occurrence of an anchor are consecutive; the bytes they cover are its
    neighbourhood.
-2. Anchors are exchanged as hashes. A neighbourhood equal to an earlier one is removed as a whole. Neighbourhoods that share an
+2. Anchors are exchanged as hashes. A neighbourhood equal to an earlier one (by 96 bits of hashes, of the anchor and of all its
+   bytes; windows of one chunk that go one by one, by 64) is removed as a whole. Neighbourhoods that share an
    anchor but differ go on to step 3; an anchor with very many different neighbourhoods sends its windows one by one, dealt by
    their own content, so that no anchor fills a task.
 3. The neighbourhoods of a shard are the documents of a collection Burrows-Wheeler transform, built from their last symbols on:
    each round inserts one symbol per string, re-sorts the strings stably by it and updates the common prefixes of neighbours.
    Equal windows lie equally far from their anchors, so strings are aligned there and only the current column of the
-   transform is kept (its positional form). The symbols are laid out column by column and read in sequence; past a size they
-   are in a file. Runs with a common prefix of SPAN or more are equal windows; all but the first of a run are removed.
+   transform is kept (its positional form). The symbols are laid out column by column in a file, which is read in sequence (in
+   memory where the shared folder has no plain files). Runs with a common prefix of SPAN or more are equal windows; all but the
+   first of a run are removed.
 
 Documents travel as chunks: a few MB of whole texts in one compressed value.
 
 Defined results: a null text is empty; null ids are later than all others; rows that repeat an id are documents of their own,
-ordered by their place in the input; an empty table gives no rows. Extra input columns are ignored.
+ordered by their place in the input (ties of strings fall to the earlier one); an empty table gives no rows. A very long text
+is a chunk of its own and is hashed piece by piece. suffix_texts keeps extra columns of any name, suffix_digest ignores them.
 """
 
 from __future__ import annotations
@@ -41,15 +44,16 @@ from turnweave.llm.common import gathered, local_path, materialize, pack, quoted
 SPAN = 100
 KGRAM = 32
 CHUNK_BYTES = 8 << 20
-BLOCK_BYTES = 1 << 20
-PIECE_WINDOWS = 1 << 22
+#: Bytes that are hashed at once, and windows of a piece of a very long document: arrays of 64 bits a byte stay small.
+BLOCK_BYTES = 1 << 18
+PIECE_WINDOWS = 1 << 18
 #: Low bits of a key that hold a place in a block; the same for every block, so that ties fall alike everywhere.
 PLACE_BITS = 24
 #: Different neighbourhoods of one anchor above which its windows are dealt one by one.
 MANY_CONTEXTS = 2048
-#: Strings that are sorted at once, and symbols above which their columns are in a file.
+#: Strings that are sorted at once, and strings that are laid out in columns at once.
 SHARD_STRINGS = 65_536
-MEMORY_SYMBOLS = 32 << 20
+LAID_STRINGS = 2048
 LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -73,7 +77,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and inverse powers, modulo 2^64, n of each."""
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.ones(size, np.uint64)
             have = 1
@@ -159,10 +163,12 @@ def positional_order(raw: np.ndarray, start: np.ndarray, size: np.ndarray, mid:
     m = len(size)
     left = int(mid.max(initial=0)) - mid
     width = int((left + size).max(initial=0))
-    columns = _column(width * m, np.uint8, folder if width * m > MEMORY_SYMBOLS else None).reshape(width, m)
-    string = np.repeat(np.arange(m), size)
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    columns[left[string] + within, string] = raw[start[string] + within]
+    columns = _column(width * m, np.uint8, folder).reshape(width, m)
+    for at in range(0, m, LAID_STRINGS):
+        n = size[at : at + LAID_STRINGS]
+        string = np.repeat(np.arange(at, at + len(n)), n)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        columns[left[string] + within, string] = raw[start[string] + within]
     by_end = np.argsort(left + size, kind="stable")
     ends = (left + size)[by_end]
     begins = np.unique(left)
