@@ -75,3 +75,22 @@ def test_held_out_quality(spark):
 def test_plan_is_native(spark):
     plan = queries.op5_quality_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_fit_reads_statistics_of_labelled_rows_only(spark, tmp_path):
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    docs = spark.createDataFrame([(i, words(60 + i)) for i in range(50)] + [(3, words(60)), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (4, 0), (4, 1)], "doc_id long, quality int")
+    seen = []
+    whole = op.learn
+    try:
+        op.learn = lambda rows: seen.append(rows) or whole(rows)
+        op.fit(docs, labels)
+    finally:
+        op.learn = whole
+    assert sorted((f["n_words"], y) for f, y in seen[0]) == [(64.0, 0)]  # document 3 counts with its empty row, which fails the base test
+    chosen = F.broadcast(labels.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("label")))
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(chosen, "id")
+    plan = op.statistics(texts, "t", ("id", "label")).groupBy("id").agg(F.min(F.struct(*op.BASE)))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in below

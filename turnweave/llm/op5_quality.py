@@ -6,8 +6,10 @@ conjunction of thresholds by information gain on two thirds of them, is pruned o
 It comes out as one ordered conditional expression.
 
 Defined results: a null or wordless text has zero statistics and fails the base test; labels without a value or without a
-document are left out; a document with several labels counts once, with the least; with no labels of either kind the list is
-empty and keeps what passes the base test; an empty table gives no rows; repeated rows each get a row.
+document are left out; a document with several labels counts once, with the least, and one with several rows with its least
+statistics; a value on a threshold is on its upper side; with no labels of either kind the list is empty and keeps what passes
+the base test; an empty table gives no rows; repeated rows each get a row. Very long texts are read whole, as one row's arrays.
+Extra columns, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ MAX_RULES = 12
 MAX_CONDITIONS = 4
 MAX_CUTS = 64
 MIN_PRECISION = 0.6
+#: The base test: fewest words, and most words in repeated windows in percent.
+MIN_WORDS, MAX_REPEAT = 50, 50
 WORD = r"[^\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -62,7 +66,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
 #: What thresholds are set on: name, numerator, denominator (None: the number itself).
@@ -181,9 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from at most max_rows labelled documents that pass the base test; max_rows bounds what comes to the driver."""
     chosen = labels.where(quoted(id_col).isNotNull() & quoted(label_col).isNotNull()).groupBy(quoted(id_col).alias("id")).agg(F.min(quoted(label_col)).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("t")).join(F.broadcast(chosen), "id")  # at most max_rows rows of two numbers
-    got = statistics(texts, "t", ("id", "label")).where(~base_failed()).collect()
-    got.sort(key=lambda r: (r["id"] * 2654435761 % 2**32, r["id"], r["n_words"]))
-    return learn([(features_of({c: r[c] for c in BASE}), r["label"]) for r in got])
+    # base_failed is judged here: as a filter it would be pushed below the join, to all documents.
+    least = statistics(texts, "t", ("id", "label")).groupBy("id").agg(F.min(F.struct(*BASE)).alias("s"), F.first("label").alias("label"))
+    got = [(r["id"], r["s"].asDict(), r["label"]) for r in least.collect()]
+    got = [x for x in got if x[1]["n_words"] >= MIN_WORDS and 100 * x[1]["n_repeat_words"] <= MAX_REPEAT * x[1]["n_words"]]
+    got.sort(key=lambda x: (x[0] * 2654435761 % 2**32, x[0]))
+    return learn([(features_of(s), label) for _, s, label in got])
 
 
 def judged(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
