@@ -2,18 +2,20 @@
 
 Writing: each task streams its records through one gzip stream (a monolithic file, as crawlers leave them). Normalising: that
 file is inflated once, from front to end, record by record; every record becomes a gzip member of its own, and a sidecar index
-gets its key, offset, length and header fields. The monolithic file then goes. Reading: a record is found through the index
-and inflated alone.
+gets its key, offset and length. The monolithic file then goes. Reading: entries of the sidecar indexes are dealt in blocks, so
+that many tasks share a large archive; a record is found through its entry and inflated alone.
 
 Records with equal payloads of at least `min_bytes` bytes: the one with the largest page id is the response, the others revisit
-it. Digests, not payloads, meet in the exchange: each task adds its own largest id a digest first, so a payload that a third of
-all pages share moves as one row a task, and the table of shared digests is joined back salted.
+it. Digests, not payloads, meet in the aggregation: each task adds its own largest id a digest first, so a payload that a third of
+all pages share moves as one row a task. The table of shared digests has a row a digest and is joined back; the pages of a
+digest with very many stand on one side only, so adaptive execution splits them over tasks by size, whatever their ids.
 
 Files are written under an attempt's own name and renamed when whole, so tasks can run again.
 
 Defined results: a null html is an empty payload; an empty payload counts as any other (min_bytes 0); a null page id is written
 without a number and reads back as null, after all others in order; rows that repeat a page id each get a record, and all that
-repeat the largest id of a payload are responses; an empty table gives no rows. Extra input columns are ignored.
+repeat the largest id of a payload are responses; an empty table gives no rows. Extra input columns, also of clashing names, are
+ignored. A very long page is one record, held in memory whole.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import filesystem, fresh_dir, materialize, quoted, slices
+from turnweave.llm.common import filesystem, fresh_dir, materialize, quoted, reducers, slices
 
-SALTS = 16
 BLOCK = 1 << 20
+#: Bytes of a sidecar's entry, and entries that are read back together.
+ENTRY, ENTRIES = 32, 1024
 DATE = "2000-01-01T00:00:00Z"  # records carry no clock, so that a task that runs again writes the same bytes
 INDEX = "file string, page_id long, page_null boolean, offset long, length long, record_type string, payload_digest string, payload_bytes long, refers_to long"
 
@@ -46,7 +49,10 @@ def digest32(payload: bytes) -> str:
 
 
 def _record(kind: str, page: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit keeps the length and digest of the payload but not its bytes."""
+    """One WARC/1.1 record; a revisit keeps the length and digest of the payload but not its bytes.
+
+    The payload is the page alone, without an HTTP exchange, and the type says response as the contract of the query has it.
+    """
     body = payload if kind == "response" else b""
     lines = [
         "WARC/1.1",
@@ -157,9 +163,7 @@ def with_types(pages: DataFrame, id_col: str, html_col: str, url_col: str, min_b
     base = pages.select(quoted(id_col).cast("long").alias("page"), quoted(url_col).cast("string").alias("url"), F.coalesce(quoted(html_col).cast("string"), F.lit("")).alias("html"))
     base = base.select("*", F.sha1(F.encode("html", "UTF-8")).alias("sha"), F.octet_length("html").alias("size"))
     shared = base.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("page").alias("largest"), F.count("*").alias("n")).where("n > 1 AND largest IS NOT NULL").drop("n")
-    salted = shared.select("sha", "largest", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    left = base.withColumn("salt", F.pmod(F.coalesce(F.col("page"), F.lit(0)), F.lit(SALTS)).cast("int"))
-    return left.join(salted, ["sha", "salt"], "left").select("page", "url", "html", F.when((F.col("page").isNull() & F.col("largest").isNotNull()) | (F.col("page") != F.col("largest")), F.col("largest")).alias("refers_to"))
+    return base.join(shared, "sha", "left").select("page", "url", "html", F.when((F.col("page").isNull() & F.col("largest").isNotNull()) | (F.col("page") != F.col("largest")), F.col("largest")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
@@ -210,26 +214,30 @@ def index_bytes(rows: list[tuple]) -> bytes:
     return out.getvalue()
 
 
-def read_archives(index: DataFrame, folder: str, page_batch: int = 256) -> DataFrame:
+def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Read every record back through the sidecar indexes: (page_id, url, html, payload_digest, record_type, payload_bytes, refers_to).
 
     html is null for revisits; payload_bytes and payload_digest of responses are taken from the payload that was read.
     """
+    spark = index.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         for b in batches:
-            for name in b.column(0).to_pylist():
-                with fs.open_input_stream(f"{root}/{name}.idx") as f:
-                    entries = np.frombuffer(f.read(), "<i8").reshape(-1, 4)
+            for name, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with fs.open_input_file(f"{root}/{name}.idx") as f:
+                    f.seek(block * ENTRY * ENTRIES)
+                    entries = np.frombuffer(f.read(ENTRY * ENTRIES), "<i8").reshape(-1, 4)
                 with fs.open_input_file(f"{root}/{name}") as f:
-                    for at in range(0, len(entries), page_batch):
-                        rows = [_read(f, *e) for e in entries[at : at + page_batch].tolist()]
+                    for at in range(0, len(entries), 256):
+                        rows = [_read(f, *e) for e in entries[at : at + 256].tolist()]
                         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
                         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "html", "payload_digest", "record_type", "payload_bytes", "refers_to"])
 
-    files = index.select("file").distinct()
-    return files.mapInArrow(run, "page_id long, url string, html string, payload_digest string, record_type string, payload_bytes long, refers_to long")
+    sizes = index.groupBy("file").agg(F.count("*").alias("n"))
+    blocks = sizes.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / ENTRIES))).alias("block"))
+    dealt = blocks.repartition(reducers(spark, 0), "file", "block")  # by a number, which adaptive execution keeps
+    return dealt.mapInArrow(run, "page_id long, url string, html string, payload_digest string, record_type string, payload_bytes long, refers_to long")
 
 
 def _read(file: BinaryIO, page: int, null: int, offset: int, length: int) -> tuple:
