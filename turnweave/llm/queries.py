@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnweave.llm import op1_toxicity, op2_token_files, op3_decontam, op4_chat, op5_quality, op6_html, op7_word_table, op8_warc, op9_simhash, op10_suffix_dedup
 
@@ -52,6 +53,47 @@ def op4_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_chat.formatted(_table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
 
 
+#: Tools of the derived conversations below.
+TOOLS = {
+    "find": {"type": "object", "required": ["limit", "q"], "properties": {"limit": {"type": "integer", "minimum": 0}, "q": {"type": "string", "pattern": "[02468]$"}}, "additionalProperties": False},
+    "sum": {"type": "object", "required": ["xs"], "properties": {"xs": {"type": "array", "items": {"type": "number"}}}},
+}
+
+
+def chat_tool_links_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results in the places of the table's turns: odd turns call two tools, later even ones answer the first of them.
+
+    Identifiers recur in a conversation; the second call has its arguments as a string and is never answered.
+    """
+    c, t = F.col("conv_id"), F.col("turn")
+    call = F.format_string('{"tool_calls": [{"id": "k%d", "name": "find", "arguments": {"q": "t%d", "limit": %d}}, {"id": "m%d", "name": "sum", "arguments": "{\\"xs\\": [1, %s]}"}]}', t % 3, c, t - 2, t, F.when(t % 4 == 1, "2").otherwise("null"))
+    result = F.format_string('{"tool_call_id": "k%d", "content": "r%d"}', (t - 1) % 3, t)
+    role = F.when(t % 2 == 1, "assistant").when(t > 0, "tool").otherwise("user")
+    made = _table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role"), F.when(t % 2 == 1, call).when(t > 0, result).otherwise(F.lit("hello")).alias("text"))
+    return op4_chat.formatted(made, TOOLS).withColumnRenamed("conv", "conv_id")
+
+
+CHAT_SQL = """
+WITH u AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'assistant' WHEN turn > 0 THEN 'tool' ELSE 'user' END AS role FROM conversations),
+c AS (SELECT conv_id, turn, turn % 3 AS k, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS nth FROM u WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn, (turn - 1) % 3 AS k, row_number() OVER (PARTITION BY conv_id, (turn - 1) % 3 ORDER BY turn) AS nth FROM u WHERE role = 'tool'),
+l AS (SELECT c.conv_id, c.turn AS call_turn, r.turn AS result_turn FROM c JOIN r ON c.conv_id = r.conv_id AND c.k = r.k AND c.nth = r.nth),
+j AS (SELECT u.*, a.result_turn, b.call_turn FROM u LEFT JOIN l AS a ON u.role = 'assistant' AND a.conv_id = u.conv_id AND a.call_turn = u.turn
+      LEFT JOIN l AS b ON u.role = 'tool' AND b.conv_id = u.conv_id AND b.result_turn = u.turn),
+e AS (SELECT *, list_filter([CASE WHEN turn < 2 THEN '"$.limit: minimum 0"' END, CASE WHEN conv_id % 2 = 1 THEN '"$.q: pattern"' END], lambda x: x IS NOT NULL) AS bad FROM j)
+SELECT conv_id, turn, role, CASE WHEN call_turn IS NULL THEN turn ELSE greatest(turn, call_turn) END AS order_turn, CAST(call_turn IS NOT NULL AS INTEGER) AS order_rank,
+  CASE WHEN role = 'assistant' THEN 2 ELSE 0 END AS n_calls, CAST(result_turn IS NOT NULL AS BIGINT) + CAST(call_turn IS NOT NULL AS BIGINT) AS n_linked,
+  CASE role WHEN 'assistant' THEN 2 - CAST(result_turn IS NOT NULL AS BIGINT) WHEN 'tool' THEN 1 - CAST(call_turn IS NOT NULL AS BIGINT) ELSE 0 END AS n_orphans,
+  CASE WHEN role = 'assistant' THEN CAST(len(bad) > 0 AS BIGINT) + CAST(turn % 4 <> 1 AS BIGINT) ELSE 0 END AS n_invalid,
+  CASE role WHEN 'user' THEN '{"content":"hello","role":"user"}'
+    WHEN 'tool' THEN '{"call_turn":' || coalesce(CAST(call_turn AS VARCHAR), 'null') || ',"content":"r' || CAST(turn AS VARCHAR) || '","role":"tool","tool_call_id":"k' || CAST((turn - 1) % 3 AS VARCHAR) || '","tool_name":' || CASE WHEN call_turn IS NULL THEN 'null' ELSE '"find"' END || '}'
+    ELSE '{"content":null,"role":"assistant","tool_calls":[{"arguments":{"limit":' || CAST(turn - 2 AS VARCHAR) || ',"q":"t' || CAST(conv_id AS VARCHAR) || '"},"errors":[' || array_to_string(bad, ',') || '],"id":"k' || CAST(turn % 3 AS VARCHAR)
+      || '","linked":' || CASE WHEN result_turn IS NULL THEN 'false' ELSE 'true' END || ',"name":"find","result_turn":' || coalesce(CAST(result_turn AS VARCHAR), 'null') || '},{"arguments":{"xs":[1,' || CASE WHEN turn % 4 = 1 THEN '2' ELSE 'null' END
+      || ']},"errors":[' || CASE WHEN turn % 4 = 1 THEN '' ELSE '"$.xs[1]: not of type number"' END || '],"id":"m' || CAST(turn AS VARCHAR) || '","linked":false,"name":"sum","result_turn":null}]}' END AS message
+FROM e
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return op5_quality.judged(docs, op5_quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -84,8 +126,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op4_chat_tool_links, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op4_chat_tool_links, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup, chat_tool_links_derived, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL}
+    return {"op3_benchmark_decontamination": OP3_SQL, "chat_tool_links_derived": CHAT_SQL}
