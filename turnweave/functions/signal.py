@@ -3,20 +3,83 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.functions.arrays import let, total
 
 TARGET_DBFS = -20.0
 SILENCE_RMS = 1e-4
+#: Samples above which a waveform is resampled in blocks.
+BLOCK = 1 << 20
 
 
 def mono(channels: Column) -> Column:
     """Mean over an array of equally long channels."""
-    n = F.size(channels)
-    return F.transform(F.sequence(F.lit(0), F.size(channels[0]) - 1), lambda i: total(F.transform(channels, lambda c: F.get(c, i))) / n)
+    return let(channels, lambda own: F.transform(F.sequence(F.lit(0), F.size(own[0]) - 1), lambda i: total(F.transform(own, lambda c: F.get(c, i))) / F.size(own)))
+
+
+def low_pass(up: int, down: int, beta: float = 5.0) -> np.ndarray:
+    """Taps of the resampling filter: a sinc at the lower of both band limits under a Kaiser window, ten zeros a side, with gain `up`."""
+    most = max(up, down)
+    half = 10 * most
+    t = np.arange(-half, half + 1)
+    h = np.sinc(t / most) * np.kaiser(2 * half + 1, beta)
+    return h / h.sum() * up
+
+
+def resampled_wave(x: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """x at the target rate by a polyphase filter: sample m is the sum of taps[half + m * down - k * up] * x[k]."""
+    g = math.gcd(rate, target)
+    up, down = target // g, rate // g
+    if up == down or not len(x):
+        return np.asarray(x, float)
+    h = low_pass(up, down)
+    half = len(h) // 2
+    n = -(-len(x) * up // down)
+    at = np.arange(n) * down
+    reach = half // up + 1  # inputs on each side that a sample can depend on
+    k = (at // up)[:, None] + np.arange(-reach, reach + 2)[None, :]
+    tap = half + at[:, None] - k * up
+    good = (k >= 0) & (k < len(x)) & (tap >= 0) & (tap < len(h))
+    return (np.where(good, h[np.where(good, tap, 0)], 0) * np.asarray(x, float)[np.where(good, k, 0)]).sum(1)
+
+
+def resampled(df: DataFrame, wave: str, rate: str, target: int) -> DataFrame:
+    """df with waveforms at the target rate; those that have it, or none, pass unchanged. A frame and not a column, as what follows
+    uses a waveform inside of lambdas, where Spark cannot call Python."""
+
+    def one(x: object, r: object) -> object:
+        if x is None or pd.isna(r) or int(r) == target:
+            return x
+        x = np.asarray(x, float)
+        return _in_blocks(x, int(r), target) if len(x) > BLOCK else resampled_wave(x, int(r), target)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{wave: [one(x, r) for x, r in zip(b[wave], b[rate], strict=True)]})
+
+    return df.mapInPandas(run, df.schema)
+
+
+def _in_blocks(x: np.ndarray, rate: int, target: int, block: int = 1 << 18) -> np.ndarray:
+    """The same, of inputs some at a time, which overlap by the reach of the filter."""
+    g = math.gcd(rate, target)
+    up, down = target // g, rate // g
+    margin = 10 * max(up, down) // up + 2
+    step = block // down * down or down  # of inputs, so that each block begins on an output sample
+    out = []
+    for at in range(0, len(x), step):
+        first = max(0, at - (-(-margin // down) * down))
+        part = resampled_wave(x[first : at + step + margin], rate, target)
+        begin = (at - first) // down * up
+        want = -(-min(len(x) - at, step) * up // down) if at + step >= len(x) else step // down * up
+        out.append(part[begin : begin + want])
+    return np.concatenate(out)
 
 
 def rms(wave: Column) -> Column:
@@ -58,14 +121,16 @@ def gaussian(key: Column) -> Column:
 
 def noisy(wave: Column, key: Column, snr_db: float) -> Column:
     """White noise at a signal-to-noise ratio; key names the waveform."""
-    level = (rms(wave) + 1e-9) / F.lit(10 ** (snr_db / 20))
-    return let(level, lambda n: F.transform(wave, lambda x, i: x + n * gaussian(F.concat_ws("|", key, i.cast("string")))))
+    sample = lambda x, i, n: x + n * gaussian(F.concat_ws("|", key, i.cast("string")))
+    # let: what is used inside of a lambda is computed once a row, and not once a sample
+    return let(wave, lambda w: let((rms(w) + 1e-9) / F.lit(10 ** (snr_db / 20)), lambda n: F.transform(w, lambda x, i: sample(x, i, n))))
 
 
 def lossy(wave: Column, key: Column, rate: float, packet: int) -> Column:
-    """Whole packets zeroed with a probability; the samples after the last whole packet stay."""
-    whole = F.floor(F.size(wave) / packet) * packet
-    return F.transform(wave, lambda x, i: F.when((i < whole) & (uniform(F.concat_ws("|", key, F.floor(i / packet).cast("string"))) < rate), F.lit(0.0)).otherwise(x))
+    """Whole packets, of a sample at least, zeroed with a probability; the samples after the last whole packet stay."""
+    packet = max(1, packet)
+    gone = lambda i, whole: (i < whole) & (uniform(F.concat_ws("|", key, F.floor(i / packet).cast("string"))) < rate)
+    return let(wave, lambda w: let(F.floor(F.size(w) / packet) * packet, lambda whole: F.transform(w, lambda x, i: F.when(gone(i, whole), F.lit(0.0)).otherwise(x))))
 
 
 def sampled_frames(n: Column, k: int = 16) -> Column:

@@ -61,12 +61,15 @@ def media_path(folder: Column | str, dialogue: Column, utterance: Column, extens
 
 
 def to_seconds(value: Column) -> Column:
-    """Milliseconds as a number, or H:M:S,ms, or M:S; anything else, and null, is 0."""
+    """Milliseconds as a number, or H:M:S,ms, or M:S with whole hours and minutes, or seconds with a comma; anything else, and null, is 0."""
     text = F.trim(value.cast("string"))
     number = text.try_cast("double")
-    parts = F.split(F.replace(text, F.lit(","), F.lit(".")), ":")
+    plain = F.replace(text, F.lit(","), F.lit("."))
+    parts = F.split(plain, ":")
     at = lambda i: F.get(parts, F.lit(i)).try_cast("double")
-    clock = F.when(F.size(parts) == 3, at(0) * 3600 + at(1) * 60 + at(2)).when(F.size(parts) == 2, at(0) * 60 + at(1))
+    whole = lambda i: F.when(F.get(parts, F.lit(i)).rlike(r"^\s*[+-]?\d+\s*$"), at(i))
+    clock = F.when(F.size(parts) == 3, whole(0) * 3600 + whole(1) * 60 + at(2)).when(F.size(parts) == 2, whole(0) * 60 + at(1)).otherwise(plain.try_cast("double"))
+    clock = F.when(~F.isnan(clock), clock)
     return F.coalesce(F.when(number.isNotNull() & ~F.isnan(number), number / 1000), clock, F.lit(0.0))
 
 

@@ -1,31 +1,52 @@
-"""Many small groups through pandas: a bucket of them crosses to Python at once."""
+"""Groups through pandas, one at a time, from partitions that are sorted by key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Buckets a shuffle partition: enough that a bucket is a small part of it.
-BUCKETS = 8
 
 
 def apply_to_groups(df: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """run(rows of one key) for every key, its rows in any order; the key is the first column of the schema and added to the result.
 
-    Keys share buckets by hash; the number of buckets follows the shuffle partitions, which follow the data.
+    Rows are exchanged by key into as many partitions as their size asks for and sorted there, so many small groups cross to
+    pandas in one batch, and no more than a batch and a group is held.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k, group in rows.drop(columns="_bucket").groupby(key, sort=False, dropna=False):
-            got = run(group)
-            got.insert(0, names[0], k)
-            out.append(got)
-        return pd.concat(out)[names]
-
-    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_bucket").applyInPandas(bucket, schema)
+    def of(group: pd.DataFrame) -> pd.DataFrame:
+        got = run(group)
+        got.insert(0, names[0], [group[key].iloc[0]] * len(got))
+        return got[names]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = batch[key]
+            new = (k != k.shift()) & ~(k.isna() & k.shift().isna())
+            starts = np.flatnonzero(new.to_numpy())
+            if held and not _same(held[-1][key].iloc[-1], k.iloc[0]):
+                yield of(pd.concat(held, ignore_index=True))
+                held = []
+            edges = [*starts[starts > 0].tolist(), len(batch)]
+            begin, out = 0, []
+            for end in edges[:-1]:
+                held.append(batch.iloc[begin:end])
+                out.append(of(pd.concat(held, ignore_index=True)))
+                held, begin = [], end
+            if out:
+                yield pd.concat(out)
+            held.append(batch.iloc[begin:])
+        if held:
+            yield of(pd.concat(held, ignore_index=True))
+
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(each, schema)
+
+
+def _same(a: object, b: object) -> bool:
+    return a == b or (pd.isna(a) and pd.isna(b))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.functions.arrays import l2_normalised, total
+from turnweave.functions.arrays import total
+from turnweave.operators.groups import apply_to_groups
+
+#: Anchors whose similarities are held at once.
+BLOCK = 512
 
 
 def nll(log_p: Column, label: Column, weight: Column | None = None) -> Column:
@@ -24,8 +31,6 @@ def kl(log_p: Column, target: Column, classes: int, padded: int = 0, eps: float
     clamped = F.transform(target, lambda t: F.greatest(t, F.lit(eps)))
     scale = F.greatest(total(clamped), F.lit(eps))
     one = total(F.zip_with(clamped, log_p, lambda t, q: (t / scale) * (F.log(t / scale) - q)))
-    import math
-
     return (F.coalesce(F.sum(one), F.lit(0.0)) - padded * math.log(classes)) / F.greatest(F.count("*"), F.lit(1))
 
 
@@ -41,18 +46,36 @@ def epoch_loss(batches: DataFrame, loss: str = "loss", n: str = "n_valid") -> Da
     return batches.agg(F.round(F.sum(F.col(loss) * F.col(n)) / F.sum(n), 4).alias("loss"))
 
 
-def supervised_contrastive(df: DataFrame, batch: str, label: str, views: Sequence[str], keys: Sequence[str], temperature: float = 0.07) -> DataFrame:
+def supervised_contrastive(df: DataFrame, batch: str, label: str, views: Sequence[str], temperature: float = 0.07) -> DataFrame:
     """(batch, loss): rows' views of one label attract, within a batch.
 
-    The pairs of a batch are formed by an equi-join on it, once a batch; batches are bounded by their definition, and all pairs
-    of one are what this loss is. A batch with under two rows has loss 0.
+    A batch's similarities are products of blocks of its vectors, BLOCK anchors at a time, so no pair is a row and memory is
+    linear in the batch. A batch with under two rows has loss 0, and so has one without two views of a label.
     """
-    view = df.select(F.col(batch).alias("b"), F.col(label).alias("y"), F.explode(F.array(*[F.struct(F.concat_ws("|", F.lit(str(i)), *[F.col(k).cast("string") for k in keys]).alias("id"), l2_normalised(F.col(v)).alias("h")) for i, v in enumerate(views)])).alias("v")).select("b", "y", "v.id", "v.h")
-    other = view.select("b", F.col("y").alias("y2"), F.col("id").alias("id2"), F.col("h").alias("h2"))
-    sim = total(F.zip_with("h", "h2", lambda x, y: x * y)) / F.lit(temperature)
-    pairs = view.join(other, "b").where("id <> id2").select("b", "id", (F.col("y") == F.col("y2")).alias("same"), sim.alias("s"))
-    # Similarities are at most 1 / temperature, which keeps the exponentials in range.
-    anchors = pairs.groupBy("b", "id").agg(F.log(F.sum(F.exp(F.col("s") - F.lit(1 / temperature)))).alias("z"), F.sum(F.when(F.col("same"), F.col("s") - F.lit(1 / temperature))).alias("t"), F.count_if("same").alias("n"))
-    each = anchors.where("n > 0").groupBy("b").agg(F.avg(F.col("z") - F.col("t") / F.col("n")).alias("mean"))
-    rows = df.groupBy(F.col(batch).alias("b")).agg(F.count("*").alias("rows"))
-    return rows.join(each, "b", "left").select(F.col("b").alias(batch), F.when(F.col("rows") < 2, 0.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("loss"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        n = len(group)
+        loss = 0.0
+        if n > 1:
+            h = np.concatenate([np.stack(group[f"v{i}"].to_numpy()).astype(float) for i in range(len(views))])
+            h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)
+            y = np.tile(group["y"].to_numpy(), len(views))
+            total, anchors = 0.0, 0
+            for at in range(0, len(h), BLOCK):
+                s = h[at : at + BLOCK] @ h.T / temperature - 1 / temperature  # at most 0, up to rounding
+                own = np.arange(len(s))
+                s[own, own + at] = -np.inf
+                same = y[at : at + BLOCK, None] == y[None, :]
+                same[own, own + at] = False
+                count = same.sum(1)
+                z = np.log(np.exp(s).sum(1))
+                t = np.where(same, s, 0).sum(1)
+                some = count > 0
+                total += float((z[some] - t[some] / count[some]).sum())
+                anchors += int(some.sum())
+            loss = total / anchors if anchors else 0.0
+        return pd.DataFrame({"loss": [loss]})
+
+    kind = df.schema[batch].dataType.simpleString()
+    own = df.select(F.col(batch).alias("b"), F.col(label).alias("y"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(views)])
+    return apply_to_groups(own, "b", run, f"b {kind}, loss double").withColumnRenamed("b", batch)

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.functions.arrays import log_softmax, scaled
+from turnweave.functions.arrays import softmax as column_softmax
 from turnweave.operators.groups import apply_to_groups
 
 FUSIONS = ("softmax", "entropy", "class_reliability", "scalar_reliability", "transformer_reliability")
@@ -42,7 +44,6 @@ class ModelConfig:
     intra_visual: str = ""  # "", "fixed" or "learned": how appearance and geometry are joined
     landmark_projector: bool = False
     dropout_site: str = "input"
-    temperature: float = 1.0
 
     def __post_init__(self) -> None:
         if self.fusion not in FUSIONS or self.dropout_site not in ("input", "representation") or self.intra_visual not in ("", "fixed", "learned"):
@@ -261,16 +262,51 @@ def run_dialogue(text: np.ndarray, audio: np.ndarray, visual: np.ndarray, speake
     return out | logits | {"all": fused}
 
 
-def forward(df: DataFrame, weights: Weights, c: ModelConfig, text: str, audio: str, visual: str, dropped: Sequence[str] = (), dialogue: str = "dialogue_id", utterance: str = "utterance_id", speaker: str = "speaker_index") -> DataFrame:
-    """(dialogue, utterance, logits, logits_t, logits_a, logits_v). The prior and the losses are operators on these columns."""
+def forward(df: DataFrame, weights: Weights, c: ModelConfig, text: str, audio: str, visual: str, dropped: Sequence[str] = (), combos: dict[str, Sequence[str]] | None = None, dialogue: str = "dialogue_id", utterance: str = "utterance_id", speaker: str = "speaker_index") -> DataFrame:
+    """(dialogue, utterance, combo, logits, logits_t, logits_a, logits_v, orthogonality).
+
+    combos: what is dropped by combination; all of them are run on a dialogue while it is there, and each gives its rows.
+    orthogonality is the utterance's part of that loss, null without a disentangler. See outputs() for what else the model gives.
+    """
     shared = df.sparkSession.sparkContext.broadcast(weights)  # of a size that the configuration fixes
+    runs = combos or {"": dropped}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("u", kind="stable")
         rows = lambda name: np.stack([np.asarray(x, float) for x in g[name]])
-        out = run_dialogue(rows("t"), rows("a"), rows("v"), g["s"].to_numpy(), shared.value, c, dropped)
-        return pd.DataFrame({"u": g["u"].to_numpy(), "logits": list(out["all"]), **{f"logits_{m}": list(out[m]) for m in "tav"}})
+        x, parts = (rows("t"), rows("a"), rows("v")), []
+        for combo, gone in runs.items():
+            out = run_dialogue(*x, g["s"].to_numpy(), shared.value, c, gone)
+            parts.append(pd.DataFrame({"u": g["u"].to_numpy(), "combo": combo, "logits": list(out["all"]), **{f"logits_{m}": list(out[m]) for m in "tav"}, "orthogonality": out.get("orthogonality")}))
+        return pd.concat(parts, ignore_index=True).astype({"orthogonality": "float64"})
 
     own = df.select(F.col(dialogue).cast("long").alias("d"), F.col(utterance).cast("long").alias("u"), F.col(speaker).cast("long").alias("s"), F.col(text).alias("t"), F.col(audio).alias("a"), F.col(visual).alias("v"))
-    got = apply_to_groups(own, "d", run, "d long, u long, logits array<double>, logits_t array<double>, logits_a array<double>, logits_v array<double>")
+    got = apply_to_groups(own, "d", run, "d long, u long, combo string, logits array<double>, logits_t array<double>, logits_a array<double>, logits_v array<double>, orthogonality double")
     return got.withColumnsRenamed({"d": dialogue, "u": utterance})
+
+
+def outputs(df: DataFrame, temperature: float = 1.0, logits: str = "logits") -> DataFrame:
+    """df with what the model returns of its logits: log-probabilities by modality and fused, fused probabilities, and all of
+    these again at a temperature, for distillation: log_p_t, log_p_a, log_p_v, log_p, p, kl_log_p_t, kl_log_p_a, kl_log_p_v, kl_p."""
+    hot = 1.0 / float(temperature)
+    names = {"t": f"{logits}_t", "a": f"{logits}_a", "v": f"{logits}_v"}
+    made = {f"log_p_{m}": log_softmax(F.col(n)) for m, n in names.items()}
+    made |= {"log_p": log_softmax(F.col(logits)), "p": column_softmax(F.col(logits))}
+    made |= {f"kl_log_p_{m}": log_softmax(scaled(F.col(n), hot)) for m, n in names.items()}
+    return df.withColumns(made | {"kl_p": column_softmax(F.col(logits), temperature)})
+
+
+def parameter_counts(weights: Weights) -> dict[str, int]:
+    """Numbers of parameters by part, the first piece of their names, and in all."""
+    out: dict[str, int] = {}
+    for name, w in weights.items():
+        part = name.split(".", 1)[0]
+        out[part] = out.get(part, 0) + w.size
+    return out | {"all": sum(w.size for w in weights.values())}
+
+
+def visual_parts(vector: Column, appearance: int, width: int) -> Column:
+    """struct<appearance, geometry> of a visual vector; one of another width is an error."""
+    error = F.raise_error(F.concat(F.lit(f"a visual vector is not of width {width} but "), F.size(vector).cast("string"))).cast("array<double>")
+    right = F.when(F.size(vector) == width, vector).otherwise(error)
+    return F.struct(F.slice(right, 1, appearance).alias("appearance"), F.slice(right, appearance + 1, width - appearance).alias("geometry"))

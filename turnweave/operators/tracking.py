@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnweave.functions.geometry import chi_square
 from turnweave.operators.groups import apply_to_groups
 
 
@@ -70,16 +71,21 @@ def track_clip(clip: pd.DataFrame, threshold: float, max_gap: int) -> pd.DataFra
     return pd.DataFrame([(f, b, t, place[t]) for f, b, t in rows], columns=["frame", "box_id", "track_id", "track_order"]).astype("int64")
 
 
-def choose_clip(clip: pd.DataFrame, floor: float | None, cuts: frozenset[int] = frozenset()) -> pd.DataFrame:
+def choose_clip(clip: pd.DataFrame, floor: float | None, forget_empty: bool = True, forget_rejected: bool = True) -> pd.DataFrame:
     """(frame, box_id): the largest box at first and after a cut, then the one that overlaps the last choice most.
 
-    Below the floor nothing is chosen (-1) and the last choice is forgotten; without a floor something always is. The first of
-    equals wins.
+    Below the floor nothing is chosen (-1); without a floor something always is. The first of equals wins. The last choice is
+    forgotten at a cut, and, as the caller wants, at a frame without boxes (box_id null) or where nothing was chosen.
     """
     rows, last = [], None
+    cuts = set(clip.loc[clip["cut"].astype(bool), "frame"].tolist()) if "cut" in clip else set()
     for frame, ids, boxes in _frames(clip):
         if frame in cuts:
             last = None
+        if np.isnan(boxes).all():
+            rows.append((frame, -1))
+            last = None if forget_empty else last
+            continue
         if last is None:
             best = int(np.argmax((boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])))
         else:
@@ -88,7 +94,10 @@ def choose_clip(clip: pd.DataFrame, floor: float | None, cuts: frozenset[int] =
             if floor is not None and own[best] < floor:
                 best = -1
         rows.append((frame, -1 if best < 0 else int(ids[best])))
-        last = None if best < 0 else boxes[best]
+        if best >= 0:
+            last = boxes[best]
+        elif forget_rejected:
+            last = None
     return pd.DataFrame(rows, columns=["frame", "box_id"]).astype("int64")
 
 
@@ -102,10 +111,23 @@ def face_tracks(detections: DataFrame, threshold: float = 0.5, max_gap: int = 1)
     return apply_to_groups(_flat(detections), "clip", lambda clip: track_clip(clip, threshold, max_gap), "clip long, frame long, box_id long, track_id long, track_order long")
 
 
-def chosen_faces(detections: DataFrame, floor: float | None = None) -> DataFrame:
-    """(clip, frame, box_id) with one row a frame that has boxes; -1 where none overlaps the last choice enough."""
+def chosen_faces(detections: DataFrame, floor: float | None = None, frames: DataFrame | None = None, forget_empty: bool = True, forget_rejected: bool = True) -> DataFrame:
+    """(clip, frame, box_id) with one row a frame; -1 where there is no box or none overlaps the last choice enough.
+
+    frames(clip, frame[, cut]) are the frames that are looked at, in order of their numbers, those without boxes included, with
+    scene cuts as a boolean; by default all frames that have boxes, without cuts.
+    """
+    own = _flat(detections)
+    if frames is not None:
+        cut = F.coalesce(F.col("cut"), F.lit(False)) if "cut" in frames.columns else F.lit(False)
+        own = frames.select(F.col("clip").cast("long"), F.col("frame").cast("long"), cut.alias("cut")).join(own, ["clip", "frame"], "left")
+    return apply_to_groups(own, "clip", lambda clip: choose_clip(clip, floor, forget_empty, forget_rejected), "clip long, frame long, box_id long")
+
 
-    return apply_to_groups(_flat(detections), "clip", lambda clip: choose_clip(clip, floor), "clip long, frame long, box_id long")
+def scene_cuts(histograms: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """histograms(clip, frame, h) with cut: whether the chi-square distance to the clip's frame before is over the threshold."""
+    before = F.lag("h").over(Window.partitionBy("clip").orderBy("frame"))
+    return histograms.withColumn("cut", F.coalesce(chi_square(F.col("h"), before) > threshold, F.lit(False)))
 
 
 def track_scores(tracks: DataFrame, scores: DataFrame, keys: Sequence[str] = ("clip", "track_id"), shortest: int = 5) -> DataFrame:

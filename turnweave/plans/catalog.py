@@ -396,7 +396,7 @@ m AS (SELECT dialogue_id, avg(z - t / n) AS m FROM x WHERE n > 0 GROUP BY 1), c
 SELECT c.dialogue_id, round(CASE WHEN c.n < 2 THEN 0 ELSE coalesce(m, 0) END, 6) AS loss FROM c LEFT JOIN m ON m.dialogue_id = c.dialogue_id"""
 )
 def supcon_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = L.supervised_contrastive(fx.features(spark, sf_dir), "dialogue_id", "label", ["rt", "ra", "rv"], ["utterance_id"])
+    out = L.supervised_contrastive(fx.features(spark, sf_dir), "dialogue_id", "label", ["rt", "ra", "rv"])
     return out.select("dialogue_id", r6("loss").alias("loss"))
 
 

@@ -15,6 +15,8 @@ from turnweave.operators import dialogue as D
 from turnweave.operators import fusion as X
 from turnweave.operators import metrics as M
 from turnweave.operators import model as N
+from turnweave.operators import pooling as P
+from turnweave.operators import tracking as K
 from turnweave.operators.encoders import Encoder, encoded
 from turnweave.sources import transcripts as R
 
@@ -46,21 +48,38 @@ class AudioConfig:
 class VisualConfig:
     frames: int = 16
     face_margin: float = 0.2
-    scene_cut_threshold: float = 0.3
+    scene_cut_threshold: float | None = 0.3  # None: cuts are not looked for
+    iou_floor: float | None = None
+    forget_empty: bool = False
+    forget_rejected: bool = True
     asd_threshold: float = 0.5
-    asd_iou_threshold: float = 0.5
+    full_frame: bool = True  # frames without a face count whole
+    parts: tuple[str, ...] = ("mean",)
+    occlude: float = 0.0
     shard: int = 0
     n_shards: int = 1
 
 
 def split_tables(spark: SparkSession, train: str, dev: str | None, test: str) -> DataFrame:
-    """The splits' utterances in one table, a missing dev split being empty."""
-    parts = {"train": train, "dev": dev, "test": test}
-    dfs = [R.read_utterances(spark, path, name) for name, path in parts.items() if path]
-    out = dfs[0]
-    for df in dfs[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
+    """The splits' utterances in one table; a missing dev split has no rows and the columns of the training split."""
+    first = R.read_utterances(spark, train, "train")
+    out = first.unionByName(R.read_utterances(spark, dev, "dev") if dev else first.limit(0).withColumn("split", F.lit("dev")), allowMissingColumns=True)
+    return out.unionByName(R.read_utterances(spark, test, "test"), allowMissingColumns=True)
+
+
+def degraded_test(utterances: DataFrame, folder: str, extension: str, column: str = "Audio_Path", identity: bool = False) -> DataFrame:
+    """The test rows of (split, Dialogue_ID, Utterance_ID, ...) with media paths, times in seconds and new_id.
+
+    new_id continues after the other splits' ids, so that features of degraded media line up with those of clean ones; with
+    identity it is the row's own id.
+    """
+    test = utterances.where(F.col("split") == "test")
+    own = F.col(column) if column in utterances.columns else None
+    test = R.with_times(test.withColumn(column, T.media_path(folder, F.col("Dialogue_ID"), F.col("Utterance_ID"), extension, own)))
+    if identity:
+        return test.withColumn("new_id", F.col("Dialogue_ID").cast("long"))
+    ids = D.remapped_ids(utterances.select("split", "Dialogue_ID"), "split", "Dialogue_ID").where(F.col("split") == "test")
+    return D.with_new_ids(test, ids.drop("split"), ["Dialogue_ID"])
 
 
 def text_features(utterances: DataFrame, make: Callable[[], Encoder], config: TextConfig = TextConfig()) -> DataFrame:
@@ -70,48 +89,75 @@ def text_features(utterances: DataFrame, make: Callable[[], Encoder], config: Te
     """
     df = D.require_columns(utterances, ["Dialogue_ID", "Utterance_ID", "Utterance", "split"])
     if config.limit:
-        df = D.limited(df, config.limit, ["split", "Dialogue_ID", "Utterance_ID"])
+        df = D.limited_per_split(df, config.limit, ["Dialogue_ID", "Utterance_ID"])
     df = df.withColumn("_d", F.concat_ws("|", "split", "Dialogue_ID"))
     speaker = config.include_speaker and "Speaker" in df.columns
     sentiment = config.sentiment_col if config.sentiment_col in df.columns else None
     df = D.context_text(df, "_d", "Utterance_ID", "Speaker", "Utterance", sentiment, config.context_window, config.context_sep, config.task_prefix, speaker)
     ids = D.remapped_ids(df, "split", "Dialogue_ID")
-    named = df.join(ids, ["split", "Dialogue_ID"]).select("split", F.col("new_id").alias("dialogue_id"), F.col("Utterance_ID").alias("utterance_id"), "context")
+    named = D.with_new_ids(df, ids, ["split", "Dialogue_ID"]).select("split", F.col("new_id").alias("dialogue_id"), F.col("Utterance_ID").alias("utterance_id"), "context")
     return encoded(named, make, "context").drop("context")
 
 
 def audio_features(clips: DataFrame, make: Callable[[], Encoder], config: AudioConfig = AudioConfig(), key: str = "path") -> DataFrame:
     """clips (key, rate, channels) with silent and embedding; clips that are missing, unreadable or silent get zeros.
 
-    Samples of another rate than the target's are an error: resampling is not part of this library.
+    Waveforms are made mono, resampled, cut, padded and levelled; what is not silent then is degraded, and not levelled again.
     """
-    rate = config.target_sr
-    mono = S.mono(F.col("channels"))
-    if config.degradation == "noise":
-        mono = S.noisy(mono, F.col(key), config.snr_db)
-    elif config.degradation == "packet_loss":
-        mono = S.lossy(mono, F.col(key), config.rate, int(rate * config.packet_ms / 1000))
-    elif config.degradation:
+    if config.degradation not in ("", "noise", "packet_loss"):
         raise ValueError("degradation is noise or packet_loss")
-    right = F.when(F.col("rate") != rate, F.raise_error(F.lit("a clip has another sampling rate")).cast("array<double>")).otherwise(mono)
-    known = F.col("channels").isNotNull()
-    df = clips.withColumn("_p", F.when(known, S.prepared(right, rate, config.max_seconds)))
-    if config.missing_policy == "error":
-        df = df.withColumn("_p", F.when(known, F.col("_p")).otherwise(F.raise_error(F.lit("a clip is missing")).cast("struct<samples:array<double>,silent:boolean>")))
-    df = df.select(*[c for c in clips.columns if c != "channels"], F.coalesce("_p.silent", F.lit(True)).alias("silent"), F.col("_p.samples").alias("_wave"))
+    known = F.col("channels").isNotNull() & F.col("rate").isNotNull()
+    waves = clips.withColumn("_wave", F.when(known, S.mono(F.col("channels")))).drop("channels")
+    df = prepared_waves(S.resampled(waves, "_wave", "rate", config.target_sr), "_wave", key, config)
     return encoded(df, make, "_wave", skip=F.col("silent")).drop("_wave")
 
 
+def prepared_waves(df: DataFrame, wave: str, key: str, config: AudioConfig) -> DataFrame:
+    """df with silent, and the waveform at the target rate prepared and then, unless silent, degraded; missing ones are null and silent."""
+    known = F.col(wave).isNotNull()
+    missing = "struct<samples:array<double>,silent:boolean>"
+    absent = F.raise_error(F.lit("a clip is missing")).cast(missing) if config.missing_policy == "error" else F.lit(None).cast(missing)
+    p = df.withColumn("_p", F.when(known, S.prepared(F.col(wave), config.target_sr, config.max_seconds)).otherwise(absent))
+    samples, name = F.col("_p.samples"), F.col(key).cast("string")
+    if config.degradation == "noise":
+        samples = S.noisy(samples, name, config.snr_db)
+    elif config.degradation == "packet_loss":
+        samples = S.lossy(samples, name, config.rate, int(config.target_sr * config.packet_ms / 1000))
+    silent = F.coalesce(F.col("_p.silent"), F.lit(True))
+    return p.withColumn("silent", silent).withColumn(wave, F.when(silent, F.col("_p.samples")).otherwise(samples)).drop("_p")
+
+
+def visual_features(clips: DataFrame, detections: DataFrame, measured: DataFrame, width: int, config: VisualConfig = VisualConfig(), histograms: DataFrame | None = None, speakers: DataFrame | None = None) -> DataFrame:
+    """(clip, embedding): pooled measurements of the sampled frames of clips(clip, first, end), zeros where there are none.
+
+    measured(clip, frame, box_id, feat) has what an extractor gave for each box of a frame, and for the whole frame as box -1.
+    speakers(clip, frame, box_id), where given, names the speaking face; else faces are chosen by overlap, with scene cuts from
+    histograms(clip, frame, h) of the sampled frames. Frames without a face count whole or, without full_frame, not at all.
+    """
+    n = F.col("end") - F.col("first")
+    at = F.transform(S.sampled_frames(n, config.frames), lambda i: F.col("first") + i)
+    frames = clips.where(F.pmod(F.xxhash64("clip"), F.lit(config.n_shards)) == config.shard).select("clip", F.explode(at).alias("frame"))
+    if speakers is not None:
+        chosen = frames.join(speakers, ["clip", "frame"], "left").select("clip", "frame", F.coalesce("box_id", F.lit(-1)).cast("long").alias("box_id"))
+    else:
+        seen = frames
+        if histograms is not None and config.scene_cut_threshold is not None:
+            seen = K.scene_cuts(frames.join(histograms, ["clip", "frame"]), config.scene_cut_threshold).select("clip", "frame", "cut")
+        chosen = K.chosen_faces(detections, config.iou_floor, seen, config.forget_empty, config.forget_rejected)
+    used = chosen if config.full_frame else chosen.where("box_id >= 0")
+    got = used.join(measured, ["clip", "frame", "box_id"])
+    return P.pooled_or_zeros(clips, got, ["clip"], "feat", "frame", config.parts, width * len(config.parts)).withColumnRenamed("pooled", "embedding")
+
+
 def combo_sweep(features: DataFrame, weights: N.Weights, config: N.ModelConfig, text: str, audio: str, visual: str, va: dict[int, tuple[float, float]] | None = None, alpha: float = 0.0, tau: float = 0.5) -> DataFrame:
     """(combo, n, accuracy, weighted_f1) of the model over the seven modality subsets."""
-    out = None
-    for combo, active in X.COMBOS.items():
-        got = N.forward(features, weights, config, text, audio, visual, [m for m in "TAV" if m not in active])
-        if alpha > 0 and va:
-            got = X.circumplex_prior(got, "logits", va, alpha, tau).drop("logits").withColumnRenamed("corrected", "logits")
-        own = got.join(features.select("dialogue_id", "utterance_id", "label"), ["dialogue_id", "utterance_id"]).select(F.lit(combo).alias("combo"), "label", argmax(F.col("logits")).alias("pred"))
-        out = own if out is None else out.unionByName(own)
-    return M.summary(M.cells(out, ["combo"]), ["combo"])
+    dropped = {combo: [m for m in "TAV" if m not in active] for combo, active in X.COMBOS.items()}
+    got = N.forward(features, weights, config, text, audio, visual, combos=dropped)
+    if alpha > 0 and va:
+        got = got.withColumn("_run", F.concat_ws("|", "combo", F.col("dialogue_id").cast("string")))
+        got = X.circumplex_prior(got, "logits", va, alpha, tau, "_run").drop("logits", "_run").withColumnRenamed("corrected", "logits")
+    own = got.join(features.select("dialogue_id", "utterance_id", "label"), ["dialogue_id", "utterance_id"]).select("combo", "label", argmax(F.col("logits")).alias("pred"))
+    return M.summary(M.cells(own, ["combo"]), ["combo"])
 
 
 def corpus_text(spark: SparkSession, transcripts: str | list[str], evaluations: str | list[str], config: TextConfig = TextConfig()) -> DataFrame:
