@@ -1,60 +1,72 @@
-"""Helpers shared by the training-data operators: durable intermediate tables and document chunks."""
+"""Helpers shared by the training-data operators: files, memory of Python workers, and document chunks."""
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import io
-import shutil
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN = "/tmp/checkpoints/turnweave"
+from turnweave.storage import fresh_dir, local_path, materialize, quoted, shared_dir
 
+__all__ = ["fresh_dir", "local_path", "materialize", "quoted", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, else one of our own (single-machine tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{_OWN}"
-    return base.rstrip("/")
+def filesystem(path: str):
+    """(pyarrow filesystem, path inside it) of a shared path, for files that Spark has no format for."""
+    from pyarrow import fs
 
+    if path.startswith("file:") or path.startswith("/"):
+        return fs.LocalFileSystem(), local_path(path)
+    return fs.FileSystem.from_uri(path)
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; local ones are removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tw-{name}-{uuid.uuid4().hex}"
-    if path.startswith(("file:", "/")):
-        atexit.register(shutil.rmtree, local_path(path), ignore_errors=True)
-    return path
 
+def trim() -> None:
+    """Give freed memory back to the machine: Python workers live on between tasks, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if release is not None:
+        release(0)
 
-def local_path(path: str) -> str:
-    """A file: URI as a plain path."""
-    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
+def trimming(run: Callable) -> Callable:
+    """A function over batches that trims when it ends."""
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, is not computed again."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
 
+    return wrapped
 
-def filesystem(path: str):
-    """(pyarrow filesystem, path inside it) of a shared path, for files that Spark has no format for."""
-    from pyarrow import fs
 
-    if path.startswith("file:") or path.startswith("/"):
-        return fs.LocalFileSystem(), local_path(path)
-    return fs.FileSystem.from_uri(path)
+def trimmed(run: Callable) -> Callable:
+    """A function of a group that trims when it ends."""
+
+    def wrapped(t: pa.Table) -> pa.Table:
+        try:
+            return run(t)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trimmed_pair(run: Callable) -> Callable:
+    """A function of two groups that trims when it ends."""
 
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            trim()
 
-def quoted(name: str) -> Column:
-    """A top-level column by its exact name, dots and all."""
-    return F.col(f"`{name.replace('`', '``')}`")
+    return wrapped
 
 
 def reducers(spark: SparkSession, total_bytes: int, per_task: int = 64 << 20) -> int:

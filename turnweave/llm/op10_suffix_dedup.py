@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from turnweave.llm.common import gathered, local_path, materialize, pack, quoted, reducers, shared_dir, text_bytes, unpack
+from turnweave.llm.common import gathered, local_path, materialize, pack, quoted, reducers, shared_dir, text_bytes, trimmed, trimmed_pair, trimming, unpack
 
 SPAN = 100
 KGRAM = 32
@@ -229,7 +229,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> Dat
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([part << 32 | i]), "n_docs": pa.array([len(rank)]), "n_bytes": pa.array([len(raw)]), "blob": pa.array([blob], pa.binary()), "rest": pa.array([others], pa.binary())})
 
     own = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"), *[(F.lit(None).cast("string") if c == text_col else quoted(c)).alias(f"of_{i}") for i, c in enumerate(rest)], *[quoted(text_col).isNull().alias("absent")] * bool(rest))
-    return materialize(own.mapInArrow(run, "chunk long, n_docs long, n_bytes long, blob binary, rest binary"), "chunks")
+    return materialize(own.mapInArrow(trimming(run), "chunk long, n_docs long, n_bytes long, blob binary, rest binary"), "chunks")
 
 
 def _stream(t: pa.Table) -> bytes:
@@ -371,11 +371,11 @@ def _spans(chunks: DataFrame, span: int, kgram: int, shared: int, shard_strings:
     base = shared_dir(spark)
     scratch = local_path(base) if base.startswith(("file:", "/")) else None  # a store without plain files: columns stay in memory
     held = chunks.select("chunk", "blob")
-    sent = held.mapInArrow(send, "bucket long, chunk long, blob binary")
-    judged = sent.repartition(shared, "bucket").groupBy("bucket").applyInArrow(judge, "chunk long, bucket long, blob binary")
+    sent = held.mapInArrow(trimming(send), "bucket long, chunk long, blob binary")
+    judged = sent.repartition(shared, "bucket").groupBy("bucket").applyInArrow(trimmed(judge), "chunk long, bucket long, blob binary")
     kind = "kind int, key long, chunk long, blob binary"
-    told = materialize(held.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(strings, kind), "strings")
-    sorted_ = told.where("kind = 1").repartition(shared, "key").groupBy("key").applyInArrow(order, kind)
+    told = materialize(held.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(trimmed_pair(strings), kind), "strings")
+    sorted_ = told.where("kind = 1").repartition(shared, "key").groupBy("key").applyInArrow(trimmed(order), kind)
     return told.where("kind = 0").unionByName(sorted_).select("chunk", "blob")
 
 
@@ -406,7 +406,7 @@ def _apply(chunks: DataFrame, spans: DataFrame, schema: str, build, rest: bool =
         others = pa.ipc.open_stream(left.column("rest")[0].as_py()).read_all() if rest else None
         return build(z, others, first - doc, end - doc, edges)
 
-    return chunks.select("chunk", "blob", *["rest"] * rest).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.select("chunk", "blob", *["rest"] * rest).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(trimmed_pair(run), schema)
 
 
 def _kept(z: dict[str, np.ndarray], first: np.ndarray, end: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import quoted, slices
+from turnweave.llm.common import quoted, slices, trimming
 
 WINDOW, STRIDE, PIECE = 32, 16, 12
 WORD = re.compile(r"[^\W_]{1,%d}|(?:[^\w\s]|_){1,%d}" % (PIECE, PIECE))
@@ -439,7 +439,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     own = docs.select(quoted(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), quoted(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return own.mapInArrow(trimming(run), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -454,4 +454,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
         for b in slices(batches, f"of_{at}", 1 << 20):
             yield b.filter(pa.array(scorer.score(b.column(at).to_pylist()) < threshold))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(trimming(run), plain.schema).toDF(*names)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from turnweave.llm.common import gathered, quoted, reducers
+from turnweave.llm.common import gathered, quoted, reducers, trimmed, trimmed_pair, trimming
 
 CHUNK_BYTES = 8 << 20
 #: Words that are encoded at once.
@@ -130,7 +130,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, owners: int) -> DataFra
             yield _rows([CHUNK_KEY | chunk, *own], [chunk] * (len(own) + 1), [mark] * (len(own) + 1), [blob, *map(_squeeze, lists)])
 
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, ROWS)
+    return texts.mapInArrow(trimming(run), ROWS)
 
 
 def _encode(words: list[bytes], tokenizer) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +205,8 @@ def encoded(docs: DataFrame, tokenizer_path: str, build, schema: str, id_col: st
             first = last
         return pa.concat_tables(out)
 
-    asked = rows.groupBy("key").applyInArrow(answer, ROWS)
-    return rows.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(join, schema)
+    asked = rows.groupBy("key").applyInArrow(trimmed(answer), ROWS)
+    return rows.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(trimmed_pair(join), schema)
 
 
 class Pieces:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import materialize, quoted, reducers, slices
+from turnweave.llm.common import materialize, quoted, reducers, slices, trimmed, trimming
 
 RADIUS = 3
 HALF_RADIUS = 1
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = b"".join(fingerprint((t or "").encode(), words, seed) for t in b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], ["id", "fp"])
 
-    return docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text")).mapInArrow(trimming(run), "id long, fp long")
 
 
 def vantage_points(n: int) -> list[int]:
@@ -163,7 +163,7 @@ def links(nodes: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
 
     dealt = nodes.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
     count = reducers(spark, 0)
-    return dealt.repartition(max(count, min(2 << levels, 4096)), "shard").groupBy("shard").applyInArrow(search, "u long, v long")
+    return dealt.repartition(max(count, min(2 << levels, 4096)), "shard").groupBy("shard").applyInArrow(trimmed(search), "u long, v long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -420,12 +420,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         root = similar_sets([shingle_set(x.encode()) for x in t.column("text").to_pylist()])
         return pa.table({"node": nodes, "group": nodes[root]})
 
-    probes = texts.mapInArrow(probe, "h long, node long, fp long, more long, size long")
-    edges = probes.repartition(reducers(spark, 0), "h").sortWithinPartitions("h", "node").mapInArrow(search, "u long, v long")
+    probes = texts.mapInArrow(trimming(probe), "h long, node long, fp long, more long, size long")
+    edges = probes.repartition(reducers(spark, 0), "h").sortWithinPartitions("h", "node").mapInArrow(trimming(search), "u long, v long")
     stars = components(edges)
     candidates = stars.union(stars.select("root", "root")).distinct()
     chosen = texts.join(candidates, "node").groupBy("root", "node").agg(F.first("text").alias("text"))
-    groups = materialize(chosen.groupBy("root").applyInArrow(verify, "node long, group long"), "groups")
+    groups = materialize(chosen.groupBy("root").applyInArrow(trimmed(verify), "node long, group long"), "groups")
     rows = docs.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"))
     return rows.join(groups, "node", "left").select("id", F.coalesce("group", "node").alias("group"))
 
