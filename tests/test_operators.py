@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnweave.functions import arrays as A
 from turnweave.functions import geometry as G
+from turnweave.functions import pixels as PX
 from turnweave.functions import signal as S
 from turnweave.functions import text as T
 from turnweave.operators import dialogue as D
@@ -21,6 +22,8 @@ from turnweave.operators import model as N
 from turnweave.operators import pooling as P
 from turnweave.operators import tracking as K
 from turnweave.operators.encoders import HashEncoder, encoded
+from turnweave.operators.groups import apply_to_groups
+from turnweave.operators.ranks import numbered
 from turnweave.plans import pipelines
 from turnweave.sources import sinks
 from turnweave.sources import transcripts as R
@@ -80,6 +83,49 @@ def test_columns_shards_and_missing(spark):
         D.missing_policy(left, right, ["k"], "v", 2, "error").collect()
 
 
+def test_numbers_ids_and_datasets(spark):
+    r = np.random.default_rng(4)
+    rows = [(None if k == 3 else k, int(v)) for k, v in zip(r.integers(0, 4, 300).tolist(), r.permutation(300).tolist(), strict=True)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(5)
+    seen: dict = {}
+    for k, v in sorted(rows, key=lambda x: x[1]):
+        seen.setdefault(k, []).append(v)
+    assert {(x.k, x.v, x.i) for x in numbered(df, ["v"], "i", ["k"]).collect()} == {(k, v, i) for k, own in seen.items() for i, v in enumerate(own)}
+    assert [x.i for x in numbered(df, ["v"], "i").orderBy("v").collect()] == list(range(300)) and numbered(df.limit(0), ["v"], "i").collect() == []
+    ids = spark.createDataFrame([(1, 10)], "k int, new_id long")
+    assert D.with_new_ids(spark.createDataFrame([(1, "a")], "k int, x string"), ids, ["k"]).first().new_id == 10
+    with pytest.raises(Exception, match="no id for 2"):
+        D.with_new_ids(spark.createDataFrame([(2, "a")], "k int, x string"), ids, ["k"]).collect()
+    keys = spark.createDataFrame([(1, "test"), (2, "train")], "dialogue_id long, split string")
+    part = lambda name, rows: spark.createDataFrame(rows, f"dialogue_id long, utterance_id long, {name} string")
+    parts = {"a": part("a", [(1, 0, "x"), (1, 1, "y"), (2, 0, "z")]), "b": part("b", [(1, 0, "u"), (1, 1, None)])}
+    assert sorted(map(tuple, D.dialogue_dataset(keys, parts, "test").collect())) == [(1, 0, "x", "u"), (1, 1, "y", None)]
+    with pytest.raises(Exception, match="no b of 2/0"):
+        D.dialogue_dataset(keys, parts, "train").collect()
+
+
+def test_groups_are_whole_across_batches(spark):
+    rows = [(i % 7 if i % 50 else None, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = apply_to_groups(df, "k", lambda g: pd.DataFrame({"n": [len(g)], "s": [int(g["v"].sum())]}), "k int, n long, s long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want: dict = {}
+    for k, v in rows:
+        want.setdefault(k, []).append(v)
+    assert {(r.k, r.n, r.s) for r in got} == {(k, len(v), sum(v)) for k, v in want.items()} and len(got) == len(want)
+
+
+def test_limits_hold_in_each_split(spark):
+    df = spark.createDataFrame([(s, d, 0) for s in ("train", "dev", "test") for d in range(5)], "split string, d int, u int")
+    assert {r.split: r["count"] for r in D.limited_per_split(df, 2, ["d", "u"]).groupBy("split").count().collect()} == {"train": 2, "dev": 2, "test": 2}
+    assert D.limited_per_split(df, 0, ["d"]).count() == 15
+    plan = D.limited_per_split(df, 2, ["d", "u"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 # Arrays, fusion, prior
 
 
@@ -222,40 +268,44 @@ def test_pooling(spark):
     assert {r.clip: r.pooled for r in tok.collect()} == {"a": [1, 4, 3, 4], "b": [7, 8, 0, 0]}
 
 
-def brute_tracks(frames, threshold, max_gap):
-    """Frame by frame, gaps included, as the rule reads."""
-    live, ended, made, out = [], [], 0, []
-    for f in range(max(frames) + 1):
-        boxes = frames.get(f, [])
-        taken, hit = set(), set()
-        for t in live:
-            best, at = 0.0, -1
-            for i, b in enumerate(boxes):
-                if i not in taken and (v := float(K.ious(np.array([b]), np.array(t["box"]))[0])) > best:
-                    best, at = v, i
-            if at >= 0 and best >= threshold:
-                t["box"], t["last"] = boxes[at], f
-                taken.add(at)
-                hit.add(t["id"])
-                out.append((f, at, t["id"]))
-        keep = [t for t in live if t["id"] in hit or f - t["last"] <= max_gap]
-        ended += [t["id"] for t in live if t not in keep]
-        live = keep
-        for i, b in enumerate(boxes):
-            if i not in taken:
-                live.append({"id": made, "box": b, "last": f})
-                out.append((f, i, made))
-                made += 1
-    order = ended + [t["id"] for t in live]
-    return sorted((f, i, t, order.index(t)) for f, i, t in out)
-
-
-@settings(max_examples=40, deadline=None)
+def check_tracks(frames, rows, threshold, max_gap):
+    """That a result is what the rule says, read off the result: who was free, who took what, who began, who ended when."""
+    of_box = {(f, b): t for f, b, t, _ in rows}
+    assert len(rows) == len(of_box) == sum(map(len, frames.values()))
+    held = {}
+    for f, b, t, _ in sorted(rows):
+        assert (t, f) not in held
+        held[t, f] = b
+    begun = 0
+    last = {}
+    for f in sorted(frames):
+        free = set(range(len(frames[f])))
+        for t in sorted(last):
+            if f - 1 - last[t] > max_gap:
+                assert (t, f) not in held
+                continue
+            reach = {i: float(K.ious(np.array([frames[f][i]]), np.array(frames[last[t]][held[t, last[t]]]))[0]) for i in free}
+            good = {i: v for i, v in reach.items() if v >= threshold and v > 0}
+            if (t, f) in held:
+                assert held[t, f] == min(i for i, v in good.items() if v == max(good.values()))
+                free.discard(held[t, f])
+                last[t] = f
+            else:
+                assert not good
+        for i in sorted(free):
+            assert of_box[f, i] == begun
+            last[begun] = f
+            begun += 1
+    ends = {t: (f + max_gap + 1 if f + max_gap + 1 <= max(frames) else math.inf, t) for t, f in last.items()}
+    assert {t: o for _, _, t, o in rows} == {t: i for i, t in enumerate(sorted(ends, key=ends.get))}
+
+
+@settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(0, 14), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=4), min_size=1), st.integers(0, 3), st.sampled_from([0.1, 0.3, 0.5]))
-def test_tracks_match_brute_force(frames, gap, threshold):
+def test_tracks_follow_the_rule(frames, gap, threshold):
     frames = {f: [[x, y, x + 4, y + 4] for x, y in b] for f, b in frames.items()}
     clip = pd.DataFrame([(f, i, *b) for f, bs in frames.items() for i, b in enumerate(bs)], columns=["frame", "box_id", "x1", "y1", "x2", "y2"])
-    assert sorted(map(tuple, K.track_clip(clip, threshold, gap).to_numpy().tolist())) == brute_tracks(frames, threshold, gap)
+    check_tracks(frames, [tuple(map(int, r)) for r in K.track_clip(clip, threshold, gap).to_numpy()], threshold, gap)
 
 
 def test_face_choice_and_best_track(spark):
@@ -263,6 +313,13 @@ def test_face_choice_and_best_track(spark):
     df = spark.createDataFrame([(*r[:3], *map(float, r[3:])) for r in rows], "clip long, frame long, box_id long, x1 double, y1 double, x2 double, y2 double").select("clip", "frame", "box_id", G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("box"))
     pick = lambda floor: [r.box_id for r in K.chosen_faces(df, floor).orderBy("frame").collect()]
     assert pick(0.3) == [1, 1, -1, 1] and pick(None) == [1, 1, 0, 0]
+    frames = spark.createDataFrame([(1, f, f == 1) for f in range(5)], "clip long, frame long, cut boolean")
+    at = lambda **k: [r.box_id for r in K.chosen_faces(df, 0.3, frames, **k).orderBy("frame").collect()]
+    assert at() == [1, 0, -1, 1, -1]  # the cut at 1 takes the largest, which 2 does not overlap
+    assert at(forget_rejected=False) == [1, 0, -1, -1, -1]
+    holes = df.where("frame <> 1")
+    assert [r.box_id for r in K.chosen_faces(holes, 0.3, frames.drop("cut"), forget_empty=False).orderBy("frame").collect()] == [1, -1, -1, 1, -1]
+    assert [r.box_id for r in K.chosen_faces(holes, 0.3, frames.drop("cut")).orderBy("frame").collect()] == [1, -1, 0, -1, -1]
     tracks = K.face_tracks(df, 0.3)
     scores = K.track_scores(tracks, spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.6)], "clip long, track_id long, p double"), shortest=1)
     got = K.speaker_boxes(spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "clip long, frame long"), df, tracks, scores, 0.5).orderBy("frame").collect()
@@ -317,6 +374,59 @@ def test_forward_and_sweep(spark):
     assert {r.combo for r in sweep} == set(X.COMBOS) and all(r.n == 12 for r in sweep)
 
 
+def test_model_parts(spark):
+    c = N.ModelConfig(text=2, audio=2, visual=2, hidden=4, heads=2, classes=3, speakers=2, disentangle=True)
+    counts = N.parameter_counts(N.seeded_weights(c))
+    assert counts["all"] == sum(v for k, v in counts.items() if k != "all") and counts["head"] == 4 * (4 * 3 + 3)
+    rows = [(1, u, u % 2, [0.1 * u, 1.0], [0.5, 0.2], [0.3, u / 7]) for u in range(3)]
+    f = spark.createDataFrame(rows, "dialogue_id long, utterance_id long, speaker_index int, t array<double>, a array<double>, v array<double>")
+    got = N.outputs(N.forward(f, N.seeded_weights(c), c, "t", "a", "v", combos={"all": [], "T": ["A", "V"]}), 3.0).collect()
+    assert len(got) == 6 and all(r.orthogonality >= 0 for r in got)
+    for r in got:
+        z = np.array(r.logits)
+        assert r.p == pytest.approx(N.softmax(z).tolist()) and r.kl_p == pytest.approx(N.softmax(z / 3).tolist()) and np.exp(r.kl_log_p_a) == pytest.approx(N.softmax(np.array(r.logits_a) / 3).tolist())
+    alone = {r.utterance_id: r.logits for r in N.forward(f, N.seeded_weights(c), c, "t", "a", "v", ["A", "V"]).collect()}
+    assert all(alone[r.utterance_id] == pytest.approx(r.logits) for r in got if r.combo == "T")
+    with pytest.raises(Exception, match="width"):
+        f.select(N.visual_parts(F.col("t"), 2, 5)).collect()
+
+
+@pytest.mark.parametrize("rate, target", [(24_000, 16_000), (44_100, 16_000), (8_000, 16_000), (48_000, 16_000), (16_000, 16_000)])
+def test_resampling_is_a_filtered_comb(rate, target):
+    x = np.random.default_rng(0).standard_normal(3000)
+    g = math.gcd(rate, target)
+    up, down = target // g, rate // g
+    comb = np.zeros(len(x) * up)
+    comb[::up] = x
+    h = S.low_pass(up, down) if up != down else np.ones(1)
+    want = np.convolve(comb, h)[len(h) // 2 :][::down][: -(-len(x) * up // down)]
+    assert S.resampled_wave(x, rate, target) == pytest.approx(want)
+    assert S._in_blocks(x, rate, target, 700) == pytest.approx(want)
+    tone = np.sin(np.arange(4000) * 2 * math.pi * 300 / rate)
+    got = S.resampled_wave(tone, rate, target)[200:-200]
+    assert got == pytest.approx(np.sin((np.arange(len(got)) + 200) * 2 * math.pi * 300 / target), abs=2e-2)
+
+
+def test_pixels():
+    frame = np.random.default_rng(1).integers(0, 256, (9, 12, 3)).astype(np.uint8)
+    flat = np.full((9, 12), 77, np.uint8)
+    assert (PX.blurred(flat, 2.0) == 77).all() and PX.blurred(frame, 1.0).std() < frame.std() and PX.blurred(frame, 1.0).dtype == np.uint8
+    w = PX.gaussian_kernel(1.0)
+    line = np.arange(12.0)[None, :] ** 2
+    want = [sum(w[k + len(w) // 2] * line[0, 11 - abs(11 - abs(i + k))] for k in range(-(len(w) // 2), len(w) // 2 + 1)) for i in range(12)]
+    assert PX.blurred(line, 1.0)[0] == pytest.approx(want)
+    hidden = PX.occluded(frame, 2, 1, 8, 7, 0.5)
+    assert (hidden[4:7, 2:8] == 0).all() and (np.delete(hidden, range(4, 7), 0) == np.delete(frame, range(4, 7), 0)).all()
+    assert (PX.occluded(frame, 0, 0, 3, 3, 0.01)[2, :3] == 0).all()
+    assert PX.crop(frame, 0, 0, 4).shape == (224, 224, 3) and (PX.crop(frame, 0, 0, 4)[:100, :100] == 110).all()
+    a, b, c = 0.3, -0.4, 0.2
+    rx = np.array([[1, 0, 0], [0, math.cos(a), -math.sin(a)], [0, math.sin(a), math.cos(a)]])
+    ry = np.array([[math.cos(b), 0, math.sin(b)], [0, 1, 0], [-math.sin(b), 0, math.cos(b)]])
+    rz = np.array([[math.cos(c), -math.sin(c), 0], [math.sin(c), math.cos(c), 0], [0, 0, 1]])
+    assert PX.pose_angles(rz @ ry @ rx) == pytest.approx([math.degrees(x) for x in (b, a, c)])
+    assert PX.pose_angles(ry @ np.eye(3) if False else np.array([[0, 0, 1], [0, 1, 0], [-1, 0, 0]]))[0] == pytest.approx(90)
+
+
 # Sources, sinks, pipelines
 
 

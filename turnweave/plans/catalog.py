@@ -25,6 +25,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 KEYS = ("dialogue_id", "utterance_id")
+# Fixed values of the SQL, written out here and not taken from the code under test.
+SQL_VA = {0: (0.00, 0.00), 1: (0.40, 0.67), 2: (-0.64, 0.60), 3: (-0.63, -0.27), 4: (0.76, 0.48), 5: (-0.60, 0.35), 6: (-0.43, 0.67)}
+SQL_COMBOS = {"T": "T", "A": "A", "V": "V", "T+A": "TA", "T+V": "TV", "A+V": "AV", "T+A+V": "TAV"}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -52,7 +55,7 @@ def unnested(array: str, source: str, keys: str = "dialogue_id, utterance_id") -
 
 # Text, order, identifiers
 
-_SEG = "CASE WHEN speaker IS NOT NULL THEN speaker || ': ' || coalesce(utterance, '') ELSE coalesce(utterance, '') END"
+_SEG = "CASE WHEN speaker <> '' THEN speaker || ': ' || coalesce(utterance, '') ELSE coalesce(utterance, '') END"
 
 
 @query(f"WITH {U_SQL} SELECT dialogue_id, utterance_id, array_to_string(list({_SEG}) OVER (PARTITION BY dialogue_id ORDER BY utterance_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ' [SEP] ') AS context FROM u")
@@ -73,7 +76,7 @@ def context_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.context_text(f, sentiment="sentiment", k=3, sep=" | ").select(*KEYS, "context")
 
 
-@query(f"WITH {U_SQL} SELECT dialogue_id, utterance_id, translate(coalesce(utterance, '') || chr(146) || chr(160) || chr(129) || chr(128), '{T.MOJIBAKE}', '{T.REPAIRED}') AS fixed FROM u")
+@query(f"WITH {U_SQL} SELECT dialogue_id, utterance_id, coalesce(utterance, '') || chr(8217) || ' ' || chr(129) || chr(8364) AS fixed FROM u")
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.concat(F.coalesce("utterance", F.lit("")), F.lit("\x92\xa0\x81\x80"))
     return fx.utterances(spark, sf_dir).select(*KEYS, T.repair_mojibake(broken).alias("fixed"))
@@ -160,7 +163,7 @@ def missing_policy_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _va_case(axis: int, last: int = 6) -> str:
-    return "CASE label " + " ".join(f"WHEN {k} THEN {v[axis]}::DOUBLE" for k, v in X.SEVEN_CLASS_VA.items() if k <= last) + " END"
+    return "CASE label " + " ".join(f"WHEN {k} THEN {v[axis]}::DOUBLE" for k, v in SQL_VA.items() if k <= last) + " END"
 
 
 @query(
@@ -227,9 +230,9 @@ PRIOR_SQL = (
     FUSED_SQL
     + f""", p1 AS (SELECT *, {softmax_sql("z")} AS p FROM fused),
 q1 AS (SELECT *, coalesce(lag(p) OVER (PARTITION BY dialogue_id ORDER BY utterance_id), [{", ".join(["1.0::DOUBLE / 7"] * 7)}]) AS q FROM p1),
-e1 AS (SELECT *, {" + ".join(f"p[{k + 1}] * {v[0]}::DOUBLE" for k, v in X.SEVEN_CLASS_VA.items())} AS hx, {" + ".join(f"p[{k + 1}] * {v[1]}::DOUBLE" for k, v in X.SEVEN_CLASS_VA.items())} AS hy,
-              {" + ".join(f"q[{k + 1}] * {v[0]}::DOUBLE" for k, v in X.SEVEN_CLASS_VA.items())} AS tx, {" + ".join(f"q[{k + 1}] * {v[1]}::DOUBLE" for k, v in X.SEVEN_CLASS_VA.items())} AS ty FROM q1),
-d1 AS (SELECT *, sqrt((hx - tx) * (hx - tx) + (hy - ty) * (hy - ty)) AS moved, [{", ".join(f"-sqrt(({v[0]}::DOUBLE - tx) * ({v[0]}::DOUBLE - tx) + ({v[1]}::DOUBLE - ty) * ({v[1]}::DOUBLE - ty)) / 0.5::DOUBLE" for v in X.SEVEN_CLASS_VA.values())}] AS far FROM e1),
+e1 AS (SELECT *, {" + ".join(f"p[{k + 1}] * {v[0]}::DOUBLE" for k, v in SQL_VA.items())} AS hx, {" + ".join(f"p[{k + 1}] * {v[1]}::DOUBLE" for k, v in SQL_VA.items())} AS hy,
+              {" + ".join(f"q[{k + 1}] * {v[0]}::DOUBLE" for k, v in SQL_VA.items())} AS tx, {" + ".join(f"q[{k + 1}] * {v[1]}::DOUBLE" for k, v in SQL_VA.items())} AS ty FROM q1),
+d1 AS (SELECT *, sqrt((hx - tx) * (hx - tx) + (hy - ty) * (hy - ty)) AS moved, [{", ".join(f"-sqrt(({v[0]}::DOUBLE - tx) * ({v[0]}::DOUBLE - tx) + ({v[1]}::DOUBLE - ty) * ({v[1]}::DOUBLE - ty)) / 0.5::DOUBLE" for v in SQL_VA.values())}] AS far FROM e1),
 corrected AS (SELECT *, list_transform(range(1, 8), lambda i: z[i] + 0.5::DOUBLE * moved * (far[i] - ln(list_sum(list_transform(far, lambda x: exp(x)))))) AS c FROM d1),
 pred AS (SELECT dialogue_id, utterance_id, CAST(label AS INTEGER) AS label, CAST(list_position(c, list_max(c)) - 1 AS INTEGER) AS pred FROM corrected)"""
 )
@@ -315,7 +318,7 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.report(M.cells(predicted(spark, sf_dir))).select("row", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-_COMBOS_SQL = "combos AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in X.COMBOS) + "]) AS combo, unnest([" + ", ".join(f"'{v}'" for v in X.COMBOS.values()) + "]) AS act)"
+_COMBOS_SQL = "combos AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in SQL_COMBOS) + "]) AS combo, unnest([" + ", ".join(f"'{v}'" for v in SQL_COMBOS.values()) + "]) AS act)"
 
 
 def _dropped(m: str, c: str) -> str:
@@ -460,7 +463,17 @@ def packet_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("clip", r6(A.total(S.lossy(F.col("wave"), F.col("clip").cast("string"), 0.3, 20))).alias("left_over"))
 
 
-@query()
+def _chance(key: str) -> str:
+    return f"(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+_KEY = "CAST(clip AS VARCHAR) || '|' || CAST(frame AS VARCHAR) || '|"
+
+
+@query(
+    f"""WITH {FRAMES_SQL}, n AS (SELECT clip, v / 500 AS x, sqrt(-2 * ln(1 - {_chance(_KEY + "a'")})) * cos(2 * pi() * {_chance(_KEY + "b'")}) AS g FROM fr)
+SELECT clip, round((sqrt(avg(x * x)) + 1e-9) / pow(10.0::DOUBLE, 0.5::DOUBLE) * sqrt(avg(g * g)) / sqrt(avg(x * x)), 6) AS noise_share FROM n GROUP BY clip"""
+)
 def noise_at_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = fx.waves(spark, sf_dir).withColumn("noisy", S.noisy(F.col("wave"), F.col("clip").cast("string"), 10.0))
     return w.select("clip", r6(S.rms(F.zip_with("noisy", "wave", lambda a, b: a - b)) / S.rms(F.col("wave"))).alias("noise_share"))
@@ -545,8 +558,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from turnweave.plans import catalog_more, catalog_sources  # noqa: F401  (they register theirs)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from turnweave.functions import text as T
 from turnweave.operators.dialogue import numbered_dialogues, ranked_utterances, require_columns
 
-# The line formats.
-TRANSCRIPT_LINE = r"^(\S+)\s+\[\d+\.\d+-\d+\.\d+\]:\s*(.*)"
+# The line formats; (?s) as a NEL inside a line is a character to be repaired.
+TRANSCRIPT_LINE = r"(?s)^(\S+)\s+\[\d+\.\d+-\d+\.\d+\]:\s*(.*)"
 EVALUATION_LINE = r"^\[(\d+\.\d+)\s*-\s*(\d+\.\d+)\]\s+(\S+)\s+(\w+)\s+\[\s*([\d.]+)\s*,\s*([\d.]+)\s*,\s*([\d.]+)\s*\]"
 TIMING_LINE = r"^\[(\d+\.\d+)\s*-\s*(\d+\.\d+)\]\s+(\S+)\s+(\w+)"
 UTTERANCE_SCHEMA = "Dialogue_ID int, Utterance_ID int, Utterance string, Speaker string, Sentiment string, StartTime string, EndTime string"
