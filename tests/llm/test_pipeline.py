@@ -77,3 +77,28 @@ def test_every_stage_matches_brute_force_on_its_own_input(spark, tmp_path):
                 ids = t.encode(v[1] or "", add_special_tokens=False).ids
                 assert after[k] == (k, len(ids), ids, t.decode(ids, skip_special_tokens=False))
     assert np.array_equal(sorted(r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), sorted(after))
+
+
+def test_stages_keep_columns_of_any_name_and_hold_odd_rows(spark, tmp_path):
+    word = lambda i: f"w{i * 7919 % 9973:x}"
+    text = lambda a, n: " ".join(word(a * 1000 + k) for k in range(n))
+    rows = [(1, text(1, 60), "x"), (1, text(2, 60), "y"), (None, text(3, 60), None), (None, None, "z"), (4, None, "u"), (5, "", "v"), (6, text(1, 60), "copy"), (7, "é" * 30_000, "long"), (8, "é" * 30_000 + "ü", "long"), (9, "vileword " + text(9, 40), "t"), (10, text(4, 80), "item")]
+    rows += [(100 + i, ("vileword " if i % 2 else "") + text(20 + i, 30), "l") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "source", "cast(length(text) as long) AS n_chars", "'e' AS lang", "1 AS `a.b`", "2 AS id", "3 AS h", "4 AS `group`", "5 AS node", "6 AS of_0", "7 AS w", "8 AS chunk", "9 AS doc", "'q' AS t").repartition(3)
+    spark.createDataFrame([(100 + i, 1, i % 2) for i in range(20)] + [(999, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, text(4, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    gone = {"toxicity": set(), "simhash_near_dedup": {6, 5}, "suffix_dedup": set(), "decontamination": {10}}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path)).collect()
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.collect() == []
+        ids = [r.doc_id for r in got]
+        if name == "bpe":
+            assert sorted(ids, key=str) == sorted((r[0] for r in rows), key=str)
+            continue
+        assert none.columns == docs.columns == list(got[0].__fields__)
+        assert {(r["a.b"], r["id"], r["h"], r["group"], r["node"], r["of_0"], r["w"], r["chunk"], r["doc"], r["t"]) for r in got} == {(1, 2, 3, 4, 5, 6, 7, 8, 9, "q")}
+        assert ids.count(None) == 2
+        if name != "toxicity":
+            assert set(ids) == {r[0] for r in rows} - gone[name], name
+            assert ids.count(1) == 2
