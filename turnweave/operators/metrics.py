@@ -77,3 +77,9 @@ def early_stop(epochs: DataFrame, patience: int, epoch: str = "epoch", score: st
     stop = e.agg(F.min(F.when(F.col("i") - F.col("at") >= patience, F.col(epoch))).alias("stopped_at"))
     until = e.crossJoin(F.broadcast(stop)).where(F.col("stopped_at").isNull() | (F.col(epoch) <= F.col("stopped_at")))
     return until.where("new IS NOT NULL").agg(F.max(F.struct("i", epoch, score)).alias("x"), F.max("stopped_at").alias("stopped_at")).select(F.col(f"x.{epoch}").alias("best_epoch"), F.col(f"x.{score}").alias("best"), "stopped_at")
+
+
+def timing(steps: DataFrame, seconds: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, seconds, n, ms_each) of steps with the seconds that each took."""
+    total = F.sum(seconds)
+    return steps.groupBy(*keys).agg(total.alias("seconds"), F.count("*").alias("n"), (1000 * total / F.greatest(F.count("*"), F.lit(1))).alias("ms_each"))

@@ -17,6 +17,7 @@ from turnweave.operators import metrics as M
 from turnweave.operators import model as N
 from turnweave.operators import pooling as P
 from turnweave.operators import tracking as K
+from turnweave.operators.encoders import HashEncoder, encoded
 from turnweave.plans import catalog as C
 from turnweave.plans import fixtures as fx
 from turnweave.plans import pipelines as W
@@ -301,3 +302,35 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = N.outputs(f, 2.0)
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("output"), F.col(n).alias("a")) for n in _NAMES]))
     return out.select(*KEYS, rows.alias("o")).select("o.output", *KEYS, F.posexplode("o.a").alias("class", "value")).withColumn("value", F.round("value", 6))
+
+
+_PAIR = "2 * 16 + 6 * (16 * 16 + 16) + 2 * 16"
+_COUNTS = {"speakers": "(9 + 1) * 16", "in": "3 * 14 * 16", **{p: _PAIR for p in ("tt", "at", "vt", "aa", "ta", "va", "vv", "tv", "av")}, "reduce": "3 * (3 * 16 * 16 + 16)", "head": "4 * (16 * 7 + 7)", "rel": "3 * ((16 + 7) * 128 + 128 + 128 * 7 + 7)"}
+
+
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS part, CAST({v} AS BIGINT) AS n" for k, v in _COUNTS.items()) + ") SELECT * FROM c UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM c")
+def parameter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = N.ModelConfig(text=14, audio=14, visual=14, hidden=16, heads=2, classes=7, fusion="class_reliability")
+    return spark.createDataFrame(list(N.parameter_counts(N.seeded_weights(config)).items()), "part string, n long")
+
+
+@query("WITH p AS (SELECT unnest(range(0, 24)) AS place), c AS (SELECT place, unnest(range(0, 16)) AS k FROM p) SELECT place, k, round(CASE WHEN k % 2 = 0 THEN sin(place * exp(-k * ln(10000.0::DOUBLE) / 16)) ELSE cos(place * exp(-(k - 1) * ln(10000.0::DOUBLE) / 16)) END, 9) AS value FROM c")
+def positional_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = N.positions(24, 16)
+    return spark.createDataFrame([(i, k, round(float(v), 9)) for i, row in enumerate(x) for k, v in enumerate(row)], "place long, k long, value double")
+
+
+_BYTE = "CAST('0x' || substr(sha256('0|''' || utt_str_id || ''''), 2 * i + 1, 2) AS INTEGER) / 128.0::DOUBLE - 1"
+
+
+@query(f"WITH {U_SQL}, i AS (SELECT utt_str_id, utterance_id, unnest(range(0, 6)) AS i FROM u) SELECT utt_str_id, CAST(i AS INTEGER) AS class, round(CASE WHEN utterance_id % 5 = 0 THEN 0 ELSE {_BYTE} END, 9) AS value FROM i")
+def encoder_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An encoder over batches of rows; skipped rows get zeros."""
+    u = fx.utterances(spark, sf_dir).select("utt_str_id", "utterance_id")
+    return by_class(encoded(u, lambda: HashEncoder(6), "utt_str_id", skip=F.col("utterance_id") % 5 == 0), "embedding", "utt_str_id")
+
+
+@query("SELECT user_id AS run, round(sum(value), 6) AS seconds, count(*) AS n, round(1000 * sum(value) / count(*), 4) AS ms_each FROM events GROUP BY 1")
+def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = M.timing(fx.table(spark, sf_dir, "events").withColumnRenamed("user_id", "run"), "value", ["run"])
+    return t.select("run", r6("seconds").alias("seconds"), "n", F.round("ms_each", 4).alias("ms_each"))
