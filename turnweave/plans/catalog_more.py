@@ -208,7 +208,7 @@ def track_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.track_scores(e, e.where("event_id % 3 = 0"), shortest=3).select("clip", "track_id", r6("score").alias("score"))
 
 
-@query("WITH e AS (SELECT event_id, event_id % 50 AS first, event_id % 50 + 1 + event_id % 40 AS \"end\" FROM events) SELECT event_id, list_sum(a) AS total, a[1] AS first, a[16] AS last FROM (SELECT *, list_transform(range(16), lambda i: first + i * (\"end\" - 1 - first) // 15) AS a FROM e)")
+@query("WITH e AS (SELECT event_id, event_id % 50 AS first, event_id % 50 + 1 + event_id % 40 AS \"end\" FROM events) SELECT event_id, CAST(list_sum(a) AS BIGINT) AS total, a[1] AS first, a[16] AS last FROM (SELECT *, list_transform(range(16), lambda i: first + i * (\"end\" - 1 - first) // 15) AS a FROM e)")
 def occlusion_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     a = fx.table(spark, sf_dir, "events").select(i, S.occlusion_frames(i % 50, i % 50 + 1 + i % 40).alias("a"))
