@@ -17,7 +17,7 @@ Scoring keeps what it has computed for distinct words in a table of bounded size
 Defined results: a null text is empty; an empty text is one window of padding and gets its score; repeated rows and null ids
 each give a row (an id that repeats is trained on once, with its least text, and toxic if any of its labels is); a score of
 exactly 0.5 is toxic; with labels of one kind only, or none, all scores are that kind's share (or 0); an empty table gives no
-rows. Very long texts are scored in all their windows, some at a time. Extra columns of any name are ignored by scored() and
+rows. A very long text is scored in all its windows, and held whole meanwhile. Extra columns of any name are ignored by scored() and
 kept by without_toxic().
 """
 
@@ -274,34 +274,38 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     if len(set(labels)) < 2:
         return Model(None, constant=float(y.mean()) if len(y) else 0.0)
     r = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
     n1, n0 = int(y.sum()), int((1 - y).sum())
 
-    seen = [Counter(), Counter()]
+    # Documents as numbers of distinct words: the driver's memory is bounded by max_docs and max_bytes, and strings are large.
+    index: dict[str, int] = {"": 0}
+    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
+    words = list(index)
+    del index
+    seen = np.zeros((2, len(words)), np.int32)
     unit = np.zeros((2, BUCKETS))
-    units: dict[str, np.ndarray] = {}
-    for words, label in zip(docs, labels, strict=True):
-        own = set(words)
-        seen[label].update(own)
-        found = [units[w] if w in units else units.setdefault(w, np.unique(char_units([w]))) for w in own]
-        if found:
-            unit[label, np.unique(np.concatenate(found))] += 1
-    both = [w for w, n in (seen[0] + seen[1]).items() if n > 2]
-    lean = _lean(np.array([seen[1][w] for w in both], float), np.array([seen[0][w] for w in both], float), n1, n0) if both else np.zeros(0)
-    chosen = sorted(range(len(both)), key=lambda i: (-abs(lean[i]), both[i]))[:VOCABULARY]
-    net = Net.fresh({both[i]: k for k, i in enumerate(chosen)}, seed)
+    units: list[np.ndarray | None] = [None] * len(words)
+    for ids, label in zip(docs, labels, strict=True):
+        own = np.unique(ids)
+        seen[label, own] += 1
+        for i in own.tolist():
+            if units[i] is None:
+                units[i] = np.unique(char_units([words[i]])).astype(np.int32)
+        if len(own):
+            unit[label, np.unique(np.concatenate([units[i] for i in own.tolist()]))] += 1
+    both = np.flatnonzero(seen.sum(0) > 2)
+    lean = _lean(seen[1, both].astype(float), seen[0, both].astype(float), n1, n0) if len(both) else np.zeros(0)
+    named = [words[i] for i in both.tolist()]
+    chosen = sorted(range(len(named)), key=lambda i: (-abs(lean[i]), named[i]))[:VOCABULARY]
+    net = Net.fresh({named[i]: k for k, i in enumerate(chosen)}, seed)
     net.p["word"][2:, 0] = np.clip(lean[chosen] / 4, -3, 3)
     by_unit = np.clip(_lean(unit[1], unit[0], n1, n0) / 4, -3, 3)
     net.p["unit"][:, 0] = np.where(unit.sum(0) > 2, by_unit, 0)
 
     # Windows of all training documents, over one list of distinct words.
-    index: dict[str, int] = {"": 0}
-    flat = np.array([index.setdefault(w, len(index)) for words in docs for w in words], np.int64)
-    words = list(index)
-    at, owner = _windows([len(d) for d in docs], flat)
-    prior = np.array([0.0, *(max(net.p["word"][net.vocabulary[w] + 2, 0] if w in net.vocabulary else 0.0, float(by_unit[units[w]].max())) for w in words[1:])])
-    ranking = prior[at].max(0)
-    del units, unit, seen, prior  # the driver's memory is bounded by max_docs texts; tables of their words go early
+    at, owner = _windows([len(d) for d in docs], np.concatenate(docs))
+    prior = np.array([0.0, *(max(net.p["word"][net.vocabulary[w] + 2, 0] if w in net.vocabulary else 0.0, float(by_unit[u].max())) for w, u in zip(words[1:], units[1:], strict=True))])
+    ranking = np.concatenate([prior[at[:, i : i + WINDOWS_AT_ONCE]].max(0) for i in range(0, at.shape[1], WINDOWS_AT_ONCE)])
+    del units, unit, seen, prior, named
     optimise = Adam(net.p, 0.01)
     for mined in (False, True):
         if mined:
@@ -347,16 +351,17 @@ def _windows(sizes: list[int], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(positions in the word list as (WINDOW, windows), owner of each window); short texts are padded with position 0."""
     starts, owner, short = [], [], []
     base = 0
-    padded = np.append(flat, 0)
+    padded = np.append(flat, np.int32(0))
     for i, n in enumerate(sizes):
         own = window_starts(n)
         starts += [base + s for s in own]
         owner += [i] * len(own)
         short += [n if n < WINDOW else WINDOW] * len(own)
         base += n
-    at = np.array(starts, np.int64)[None, :] + np.arange(WINDOW)[:, None]
-    inside = np.arange(WINDOW)[:, None] < np.array(short, np.int64)[None, :]
-    return np.where(inside, padded[np.where(inside, at, len(flat))], 0), np.array(owner, np.int64)
+    step = np.arange(WINDOW, dtype=np.int32)[:, None]
+    at = np.array(starts, np.int32)[None, :] + step
+    np.putmask(at, step >= np.array(short, np.int32)[None, :], len(flat))
+    return padded[at], np.array(owner, np.int64)
 
 
 # Spark
@@ -421,7 +426,7 @@ class Scorer:
             self.clear()
             new = {w for d in docs for w in d}
         self._learn(sorted(new))
-        flat = np.array([i for d in docs for i in map(self.index.__getitem__, d)], np.int64)
+        flat = np.array([i for d in docs for i in map(self.index.__getitem__, d)], np.int32)
         at, owner = _windows([len(d) for d in docs], flat)
         logit = np.full(len(docs), -np.inf)
         np.maximum.at(logit, owner, self.model.net.fast_logits(self.table, at).astype(np.float64))
