@@ -532,8 +532,7 @@ def best_track_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def face_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    detections = fx.boxes(spark, sf_dir).select("clip", F.floor(F.col("frame") / 3).alias("frame"), (F.col("frame") % 3).alias("box_id"), "box")
-    return K.chosen_faces(detections, floor=0.3)
+    return K.chosen_faces(fx.whole_boxes(spark, sf_dir), floor=0.3)
 
 
 @query()

@@ -238,18 +238,22 @@ def speaker_box_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OVERLAP = "(greatest(0, least(b.v, last.v) + 50 - greatest(b.v, last.v)) * greatest(0, least(b.k, last.k) + 50 - greatest(b.k, last.k)))"
 
 
-@query(
-    f"""WITH RECURSIVE {FRAMES_SQL}, g AS (SELECT clip, frame // 3 AS frame, list({{'id': frame % 3, 'v': floor(v), 'k': k}} ORDER BY frame) AS boxes, (clip + frame // 3) % 11 = 0 AS cut, (clip + frame // 3) % 5 = 4 AS blank FROM fr GROUP BY ALL),
+def _choice_sql(cut: str, blank: str) -> str:
+    return f"""WITH RECURSIVE {FRAMES_SQL}, g AS (SELECT clip, frame // 3 AS frame, list({{'id': frame % 3, 'v': floor(v), 'k': k}} ORDER BY frame) AS boxes, {cut} AS cut, {blank} AS blank FROM fr GROUP BY ALL),
 c AS (SELECT clip, CAST(-1 AS BIGINT) AS frame, CAST(-1 AS BIGINT) AS id, CAST(NULL AS STRUCT(id BIGINT, v DOUBLE, k DOUBLE)) AS last FROM (SELECT DISTINCT clip FROM g)
   UNION ALL SELECT clip, frame, CASE WHEN best IS NULL THEN -1 ELSE best.id END, best FROM (
     SELECT clip, f2 AS frame, CASE WHEN blank THEN NULL WHEN last IS NULL OR cut THEN boxes[1] ELSE list_filter([boxes[list_position(s, list_max(s))]], lambda b: list_max(s) >= 0.3)[1] END AS best
     FROM (SELECT c.clip, c.last, g.frame AS f2, g.boxes, g.cut, g.blank, list_transform(g.boxes, lambda b: {_OVERLAP.replace("last.", "c.last.")} / (5000 - {_OVERLAP.replace("last.", "c.last.")} + 1e-9)) AS s FROM c JOIN g ON g.clip = c.clip AND g.frame = c.frame + 1)))
 SELECT clip, frame, id AS box_id FROM c WHERE frame >= 0"""
-)
+
+
+C.SQL["face_choice"] = _choice_sql("FALSE", "FALSE")
+
+
+@query(_choice_sql("(clip + frame // 3) % 11 = 0", "(clip + frame // 3) % 5 = 4"))
 def face_choice_with_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces by overlap, with scene cuts and frames without boxes; boxes lie on whole pixels, so that equal areas are equal."""
-    x, y = F.floor(F.get("feat", F.lit(0))), F.get("feat", F.lit(1))
-    f = fx.frames(spark, sf_dir).select("clip", F.floor(F.col("frame") / 3).alias("frame"), (F.col("frame") % 3).alias("box_id"), G.box(x, y, x + 50, y + 50).alias("box"))
+    f = fx.whole_boxes(spark, sf_dir)
     frames = f.select("clip", "frame", ((F.col("clip") + F.col("frame")) % 11 == 0).alias("cut")).distinct()
     return K.chosen_faces(f.where((F.col("clip") + F.col("frame")) % 5 != 4), 0.3, frames)
 
