@@ -15,12 +15,15 @@ def shingles(t):
 
 
 def brute(docs, items):
-    out = set()
+    of: dict = {}
     for d, t in docs:
+        of.setdefault(d, set()).update(shingles(t))
+    out = set()
+    for d, own in of.items():
         for i, x in items:
             s = shingles(x)
-            if d is not None and i is not None and s and round(len(s & shingles(t)) / len(s), 9) >= 0.8:
-                out.add((d, i, len(s), len(s & shingles(t))))
+            if d is not None and i is not None and s and round(len(s & own) / len(s), 9) >= 0.8:
+                out.add((d, i, len(s), len(s & own)))
     return out
 
 
@@ -71,3 +74,11 @@ def test_plan_is_native(spark, cases):
 
 def test_query_matches_sql(spark):
     same(spark, queries.op3_benchmark_decontamination, queries.OP3_SQL, "/root/testdata/sf0.01")
+
+
+def test_rows_of_one_id_count_together(spark):
+    words = [f"w{i}" for i in range(30)]
+    docs = [(1, " ".join(words[:17])), (1, " ".join(words[13:])), (2, " ".join(words[:17])), (1, None)]
+    items = [(0, " ".join(words))]
+    got = op.held_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc, r.item, r.n_shingles, r.n_held) for r in got} == brute(docs, items) == {(1, 0, 26, 26)}

@@ -12,8 +12,10 @@ loses no pair, while only a fifth of an item is indexed. Candidates are counted
 Documents are never exchanged for the search. The sketches are broadcast while they are under BROADCAST_SHINGLES, which is
 checked; beyond it the probes are exchanged by shingle hash, which Spark splits where it is skewed.
 
-Defined results: null texts hold nothing; repeated rows of a document count once, by the union of their shingles only where
-ids are equal; items with equal texts are items of their own; null ids are left out of pairs; empty tables give no pairs.
+Defined results: null texts hold nothing; rows of one document id count together, by the union of their shingles; items with equal
+texts are items of their own; an item of fewer than five words is one shingle, which only a document of the same words has; a
+containment of exactly the threshold counts; null ids are left out of pairs; empty tables give no pairs. Very long texts are read
+whole, as one row's arrays. Extra columns, also of clashing names, are ignored by held_items() and kept by without_items().
 """
 
 from __future__ import annotations
@@ -67,8 +69,8 @@ def held_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     wanted = pairs.join(items.where(quoted(item_id).isNotNull()).select(quoted(item_id).alias("item"), F.array_distinct(shingles_of(words_of(quoted(item_text)), n)).alias("of_item")).distinct(), "item")
     texts = docs.where(quoted(doc_id).isNotNull()).select(quoted(doc_id).alias("doc"), quoted(text_col).alias("t"))
     found = texts.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", shingles_of(words_of(F.col("t")), n).alias("of_doc")).join(wanted, "doc")
-    held = found.select("doc", "item", F.size("of_item").alias("n_shingles"), F.size(F.array_intersect("of_item", "of_doc")).alias("n_held"))
-    best = held.groupBy("doc", "item").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_held").alias("n_held"))
+    held = found.select("doc", "item", F.size("of_item").alias("n_shingles"), F.explode(F.array_intersect("of_item", "of_doc")).alias("s"))
+    best = held.groupBy("doc", "item").agg(F.max("n_shingles").alias("n_shingles"), F.count_distinct("s").alias("n_held"))
     ratio = F.col("n_held") / F.col("n_shingles")
     return best.where(F.round(ratio, 9) >= threshold).select("doc", "item", F.col("n_shingles").cast("long"), F.col("n_held").cast("long"), F.round(ratio, 6).alias("containment"))
 

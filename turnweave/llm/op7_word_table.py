@@ -11,7 +11,8 @@ Decoding joins the ids to the pieces of the vocabulary (whose size the tokenizer
 to the file's decoder; without one, pieces are joined by a space, as the library does.
 
 Defined results: a null text is empty; a text without words has no ids and decodes to an empty text; repeated rows and null ids
-each give a row; an empty table gives no rows. Extra input columns are ignored.
+each give a row; an empty table gives no rows. A very long text is a chunk of its own. Extra input columns, also of clashing names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from turnweave.llm.common import gathered, quoted, reducers, trimmed, trimmed_pair, trimming
+from turnweave.llm.common import gathered, quoted, reducers, text_size, trimmed, trimmed_pair, trimming
 
 CHUNK_BYTES = 8 << 20
 #: Words that are encoded at once.
@@ -151,8 +152,7 @@ def gather(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
 def encoded(docs: DataFrame, tokenizer_path: str, build, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of build(ids or None, list of id arrays), called for every few documents; the ids are those of the library."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(quoted(text_col).cast("string")))).first()[0] or 0
-    owners = reducers(spark, total)
+    owners = reducers(spark, text_size(docs, text_col))
     # One exchange by key serves both uses of the rows below, as Spark computes equal exchanges once.
     rows = _chunks(docs, id_col, text_col, owners).repartition(owners, "key")
 
