@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 def apply_to_groups(df: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """run(rows of one key) for every key, its rows in any order; the key is the first column of the schema and added to the result.
 
-    Rows are exchanged by key into as many partitions as their size asks for and sorted there, so many small groups cross to
-    pandas in one batch, and no more than a batch and a group is held.
+    Rows are exchanged by key into the session's shuffle partitions and sorted there, so many small groups cross to pandas in one
+    batch, and no more than a batch and a group is held. The number is explicit as adaptive execution goes by bytes, and what is
+    done with a group here costs far more than its bytes.
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
@@ -45,7 +47,7 @@ def apply_to_groups(df: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.Da
         if held:
             yield of(pd.concat(held, ignore_index=True))
 
-    return df.repartition(key).sortWithinPartitions(key).mapInPandas(each, schema)
+    return df.repartition(n, key).sortWithinPartitions(key).mapInPandas(each, schema)
 
 
 def _same(a: object, b: object) -> bool:
