@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import op1_toxicity, op2_token_files, op3_decontam, op4_chat, op5_quality, op6_html, op7_word_table, op8_warc, op9_simhash, op10_suffix_dedup
+from turnweave.llm import op1_toxicity, op2_token_files, op3_decontam, op4_chat, op5_quality, op6_html, op7_word_table, op8_warc, op9_simhash, op10_suffix_dedup, op11_ball_tree, op12_exponion, op13_string_kernel
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +119,19 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_suffix_dedup.suffix_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_ball_tree.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_exponion.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_string_kernel_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return op13_string_kernel.identified(docs, op13_string_kernel.fit(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,7 +139,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op4_chat_tool_links, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup, chat_tool_links_derived, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op4_chat_tool_links, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup, op11_ball_tree_clusters, op12_exponion_codes, op13_string_kernel_languages, chat_tool_links_derived, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
