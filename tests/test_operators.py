@@ -418,13 +418,6 @@ def test_pixels():
     hidden = PX.occluded(frame, 2, 1, 8, 7, 0.5)
     assert (hidden[4:7, 2:8] == 0).all() and (np.delete(hidden, range(4, 7), 0) == np.delete(frame, range(4, 7), 0)).all()
     assert (PX.occluded(frame, 0, 0, 3, 3, 0.01)[2, :3] == 0).all()
-    assert PX.crop(frame, 0, 0, 4).shape == (224, 224, 3) and (PX.crop(frame, 0, 0, 4)[:100, :100] == 110).all()
-    a, b, c = 0.3, -0.4, 0.2
-    rx = np.array([[1, 0, 0], [0, math.cos(a), -math.sin(a)], [0, math.sin(a), math.cos(a)]])
-    ry = np.array([[math.cos(b), 0, math.sin(b)], [0, 1, 0], [-math.sin(b), 0, math.cos(b)]])
-    rz = np.array([[math.cos(c), -math.sin(c), 0], [math.sin(c), math.cos(c), 0], [0, 0, 1]])
-    assert PX.pose_angles(rz @ ry @ rx) == pytest.approx([math.degrees(x) for x in (b, a, c)])
-    assert PX.pose_angles(ry @ np.eye(3) if False else np.array([[0, 0, 1], [0, 1, 0], [-1, 0, 0]]))[0] == pytest.approx(90)
 
 
 # Sources, sinks, pipelines

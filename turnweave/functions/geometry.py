@@ -29,13 +29,13 @@ def centre(b: Column) -> Column:
     return F.struct(((b["x1"] + b["x2"]) / 2).alias("x"), ((b["y1"] + b["y2"]) / 2).alias("y"))
 
 
-def with_margin(b: Column, margin: float, width: int, height: int) -> Column:
+def with_margin(b: Column, margin: float, width: int | Column, height: int | Column) -> Column:
     """A box grown by a share of its sides (of one pixel at least), outwards to whole pixels, inside the frame."""
     mx, my = margin * F.greatest(F.lit(1.0), b["x2"] - b["x1"]), margin * F.greatest(F.lit(1.0), b["y2"] - b["y1"])
     return _pixels(F.greatest(F.lit(0), F.floor(b["x1"] - mx)), F.greatest(F.lit(0), F.floor(b["y1"] - my)), F.least(F.lit(width), F.ceil(b["x2"] + mx)), F.least(F.lit(height), F.ceil(b["y2"] + my)))
 
 
-def with_margin_truncated(b: Column, margin: float, width: int, height: int) -> Column:
+def with_margin_truncated(b: Column, margin: float, width: int | Column, height: int | Column) -> Column:
     """The variant of the action-unit and occlusion paths: no least side, truncation towards zero."""
     mx, my = margin * (b["x2"] - b["x1"]), margin * (b["y2"] - b["y1"])
     cut = lambda c: c.cast("long")

@@ -88,5 +88,32 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", (F.get("feat", F.lit(0)) / 500).alias("x")))), lambda s: s["x"]).alias("wave"))
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, frame, width, height, pixels): a grey frame of 12 by 9 for every third event."""
+    base = F.floor(F.get("feat", F.lit(0))) + 7 * F.col("frame")
+    row = lambda i: F.floor(i / 12)
+    value = lambda i: (base + 3 * (i % 12) + 5 * row(i) * row(i)) % 256
+    digits = F.transform(F.sequence(F.lit(0), F.lit(107)), lambda i: F.lpad(F.hex(value(i).cast("long")), 2, "0"))
+    third = frames(spark, sf_dir).where("frame % 3 = 0").withColumn("frame", F.floor(F.col("frame") / 3))
+    return third.select("clip", "frame", F.lit(12).alias("width"), F.lit(9).alias("height"), F.unhex(F.array_join(digits, "")).alias("pixels"))
+
+
+def picture_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, frame, box_id, box): up to three boxes of whole pixels in or beside a picture, none in some."""
+    e, k = F.col("frame"), F.get("feat", F.lit(1)).cast("long")
+    x, y = F.floor(F.get("feat", F.lit(0))) % 13 - 2, k % 9 - 1
+    boxed = frames(spark, sf_dir).select("clip", F.floor(e / 3).alias("frame"), (e % 3).alias("box_id"), G.box(x, y, x + 3 + k % 4, y + 3 + (k + e) % 3).alias("box"))
+    return boxed.where("(clip + frame) % 7 <> 3")
+
+
+PICTURES_SQL = (
+    FRAMES_SQL
+    + """, pic AS (SELECT clip, frame // 3 AS frame, CAST(floor(v) AS BIGINT) + 7 * (frame // 3) AS base FROM fr WHERE frame % 3 = 0),
+pix AS (SELECT clip, frame, i % 12 AS x, i // 12 AS y, (base + 3 * (i % 12) + 5 * (i // 12) * (i // 12)) % 256 AS p FROM pic, range(0, 108) AS r(i)),
+xy AS (SELECT clip, frame // 3 AS frame, frame % 3 AS id, CAST(floor(v) AS BIGINT) % 13 - 2 AS x, CAST(k AS BIGINT) % 9 - 1 AS y, 3 + CAST(k AS BIGINT) % 4 AS w, 3 + (CAST(k AS BIGINT) + frame) % 3 AS h FROM fr),
+box AS (SELECT clip, frame, id, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM xy WHERE (clip + frame) % 7 <> 3)"""
+)
+
+
 def softmax_sql(x: str) -> str:
     return f"list_transform({x}, lambda e_1: exp(e_1 - list_max({x})) / list_sum(list_transform({x}, lambda e_2: exp(e_2 - list_max({x})))))"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnweave.functions import geometry as G
+from turnweave.functions import pixels as I
 from turnweave.functions import signal as S
 from turnweave.functions import text as T
 from turnweave.functions.arrays import argmax
@@ -47,19 +49,36 @@ class AudioConfig:
 @dataclass(frozen=True)
 class VisualConfig:
     frames: int = 16
-    face_margin: float = 0.2
     scene_cut_threshold: float | None = 0.3  # None: cuts are not looked for
     iou_floor: float | None = None
-    forget_empty: bool = False
-    forget_rejected: bool = True
-    asd_threshold: float = 0.5
-    full_frame: bool = True  # frames without a face count whole
+    full_frame: bool = True  # frames without a face count whole, and the last face is then forgotten
     parts: tuple[str, ...] = ("mean",)
-    occlude: float = 0.0
     shard: int = 0
     n_shards: int = 1
 
 
+@dataclass(frozen=True)
+class OcclusionConfig:
+    """How an extractor looks at faces whose lower part is hidden; OCCLUSION has that of each extractor."""
+
+    share: float = 0.3
+    frames: int = 16
+    face_margin: float = 0.2
+    iou_floor: float = 0.3
+    scene_cuts: bool = False
+    scene_cut_threshold: float = 0.3
+    full_frame: bool = True  # frames without a face count whole
+    full_frame_if_empty: bool = False  # so do those of which the face's box is empty
+    parts: tuple[str, ...] = ("mean",)
+
+
+OCCLUSION = {
+    "images": OcclusionConfig(full_frame_if_empty=True),
+    "landmarks": OcclusionConfig(parts=("mean", "std", "delta")),
+    "action_units": OcclusionConfig(scene_cuts=True, parts=("mean", "std", "delta")),
+}
+
+
 def split_tables(spark: SparkSession, train: str, dev: str | None, test: str) -> DataFrame:
     """The splits' utterances in one table; a missing dev split has no rows and the columns of the training split."""
     first = R.read_utterances(spark, train, "train")
@@ -132,23 +151,59 @@ def visual_features(clips: DataFrame, detections: DataFrame, measured: DataFrame
 
     measured(clip, frame, box_id, feat) has what an extractor gave for each box of a frame, and for the whole frame as box -1.
     speakers(clip, frame, box_id), where given, names the speaking face; else faces are chosen by overlap, with scene cuts from
-    histograms(clip, frame, h) of the sampled frames. Frames without a face count whole or, without full_frame, not at all.
+    histograms(clip, frame, h) of the sampled frames. Frames without a face count whole, and the face chosen last is forgotten
+    there; without full_frame they do not count, and it is not. A shard has every n_shards-th clip in order of their ids.
     """
     n = F.col("end") - F.col("first")
     at = F.transform(S.sampled_frames(n, config.frames), lambda i: F.col("first") + i)
-    frames = clips.where(F.pmod(F.xxhash64("clip"), F.lit(config.n_shards)) == config.shard).select("clip", F.explode(at).alias("frame"))
+    clips = D.sharded(clips, config.shard, config.n_shards, "clip") if config.n_shards > 1 else clips
+    frames = clips.select("clip", F.explode(at).alias("frame"))
     if speakers is not None:
         chosen = frames.join(speakers, ["clip", "frame"], "left").select("clip", "frame", F.coalesce("box_id", F.lit(-1)).cast("long").alias("box_id"))
     else:
         seen = frames
         if histograms is not None and config.scene_cut_threshold is not None:
             seen = K.scene_cuts(frames.join(histograms, ["clip", "frame"]), config.scene_cut_threshold).select("clip", "frame", "cut")
-        chosen = K.chosen_faces(detections, config.iou_floor, seen, config.forget_empty, config.forget_rejected)
+        chosen = K.chosen_faces(detections, config.iou_floor, seen, config.full_frame, config.full_frame)
     used = chosen if config.full_frame else chosen.where("box_id >= 0")
     got = used.join(measured, ["clip", "frame", "box_id"])
     return P.pooled_or_zeros(clips, got, ["clip"], "feat", "frame", config.parts, width * len(config.parts)).withColumnRenamed("pooled", "embedding")
 
 
+def occlusion_features(
+    clips: DataFrame, frames: DataFrame, detections: DataFrame, measure: Callable[[Column, Column], Column], width: int, config: OcclusionConfig, histograms: DataFrame | None = None, speakers: DataFrame | None = None
+) -> DataFrame:
+    """(clip, embedding): pooled measurements of faces whose lower part is zeroed before they are cut out and measured.
+
+    clips(clip, first, end) tells the frames, of which always config.frames are looked at, some more than once where there are
+    fewer; frames(clip, frame, width, height, pixels) has them, and those that are not there are passed over. speakers(clip, frame,
+    box), where given, has the speaking face's box or null. Else detections(clip, frame, box_id, box) are chosen from by overlap with
+    the last choice, which a frame without boxes or with none that overlaps enough forgets, and so does a scene cut where
+    config.scene_cuts says so, by histograms(clip, frame, h). measure(pixels, width) is an array, or null where nothing was found.
+    """
+    at = F.posexplode(S.occlusion_frames(F.col("first"), F.col("end"), config.frames)).alias("place", "frame")
+    looks = clips.where(F.col("end") > F.col("first")).select("clip", at).join(frames, ["clip", "frame"])
+    if speakers is not None:
+        faces = looks.join(speakers.select("clip", "frame", "box"), ["clip", "frame"], "left")
+    else:
+        seen = looks.select("clip", F.col("place").cast("long").alias("frame"), F.col("frame").alias("_at"))
+        placed = seen.join(detections.withColumnRenamed("frame", "_at"), ["clip", "_at"]).drop("_at")
+        if config.scene_cuts and histograms is not None:
+            seen = K.scene_cuts(seen.join(histograms.withColumnRenamed("frame", "_at"), ["clip", "_at"]), config.scene_cut_threshold).select("clip", "frame", "cut")
+        chosen = K.chosen_faces(placed, config.iou_floor, seen, True, True).where("box_id >= 0")
+        boxes = chosen.join(placed, ["clip", "frame", "box_id"]).select("clip", F.col("frame").alias("place"), "box")
+        faces = looks.join(boxes, ["clip", "place"], "left")
+    grown = faces.withColumn("_b", G.with_margin_truncated(F.col("box"), config.face_margin, F.col("width"), F.col("height")))
+    has, b = F.col("box").isNotNull(), F.col("_b")
+    empty = (b["x2"] <= b["x1"]) | (b["y2"] <= b["y1"])
+    hidden = grown.withColumn("_p", F.when(has, I.occluded_pixels(F.col("pixels"), F.col("width"), b, config.share)).otherwise(F.col("pixels")))
+    if_empty = F.col("_p") if config.full_frame and (config.full_frame_if_empty or speakers is not None) else F.lit(None).cast("binary")
+    used = F.when(~has, F.col("_p") if config.full_frame else F.lit(None).cast("binary")).when(empty, if_empty).otherwise(I.cropped_pixels(F.col("_p"), F.col("width"), b))
+    wide = F.when(has & ~empty, (b["x2"] - b["x1"]).cast("int")).otherwise(F.col("width"))
+    measured = hidden.select("clip", "place", used.alias("_u"), wide.alias("_w")).select("clip", "place", measure(F.col("_u"), F.col("_w")).alias("feat")).where("feat IS NOT NULL")
+    return P.pooled_or_zeros(clips, measured, ["clip"], "feat", "place", config.parts, width * len(config.parts)).withColumnRenamed("pooled", "embedding")
+
+
 def combo_sweep(features: DataFrame, weights: N.Weights, config: N.ModelConfig, text: str, audio: str, visual: str, va: dict[int, tuple[float, float]] | None = None, alpha: float = 0.0, tau: float = 0.5) -> DataFrame:
     """(combo, n, accuracy, weighted_f1) of the model over the seven modality subsets."""
     dropped = {combo: [m for m in "TAV" if m not in active] for combo, active in X.COMBOS.items()}
