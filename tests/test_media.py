@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnweave.functions import pixels as I
+from turnweave.operators import batches as B
 from turnweave.operators import sound as O
 from turnweave.plans import pipelines as W
 from turnweave.sources import frames as V
@@ -221,3 +222,32 @@ def test_occlusion_of_speaking_faces(spark):
     assert got[1][0] == pytest.approx(np.mean(total)) and got[2] == [sum(p), sum(p[8:])] and got[3] == got[4] == [0.0, 0.0]
     none = W.occlusion_features(clips, frames, frames.limit(0), I.total_brightness, 2, dataclasses.replace(config, full_frame=False), speakers=speakers).collect()
     assert {r.clip: r.embedding for r in none} == {1: [14.0, 0.0], 2: [0.0] * 2, 3: [0.0] * 2, 4: [0.0] * 2}
+
+
+# Batches and tokens
+
+
+def test_padded_batches(spark):
+    rows = [(d, u, [float(d), float(u)] if u != 1 else None, None if u == 2 else d, u % 2) for d, n in ((1, 3), (2, 1), (3, 5), (4, 1), (5, 2)) for u in range(0, 2 * n, 2 if d == 3 else 1) if u < n or d == 3]
+    df = spark.createDataFrame(rows, "dialogue_id long, utterance_id long, v array<double>, label int, speaker_index int")
+    got = sorted(B.padded_batches(df, 2, ["v"]).collect(), key=lambda r: r.batch)
+    assert [(r.batch, r.longest, r.dialogue_id, r.length) for r in got] == [(0, 1, [2, 4], [1, 1]), (1, 3, [5, 1], [2, 3]), (2, 5, [3], [5])]
+    assert got[1].mask == [[1, 1, 0], [1, 1, 1]] and got[1].speaker_index == [[0, 1, 2], [0, 1, 0]] and got[1].label == [[5, 5, 0], [1, 1, 0]]
+    assert got[1].v == [[[5.0, 0.0], [0.0, 0.0], [0.0, 0.0]], [[1.0, 0.0], [0.0, 0.0], [1.0, 2.0]]]
+    plain = B.padded_batches(df, 3, ["v"], labels=(), speaker=None, by_length=False).collect()
+    assert sorted((r.batch, r.dialogue_id) for r in plain) == [(0, [1, 2, 3]), (1, [4, 5])] and "label" not in plain[0].asDict()
+    assert B.padded_batches(df.limit(0), 2, ["v"]).collect() == []
+
+
+def test_pieces_and_truncation(spark):
+    vocabulary = spark.createDataFrame([("un", 10), ("##aff", 11), ("##able", 12), ("una", 13), ("##ffable", 14), ("a", 15), ("##a", 16), (",", 17), ("été", 18)], "piece string, id long")
+    texts = [(1, "unaffable"), (2, None), (3, ""), (4, "a, aa été"), (5, "b unb"), (6, "a " * 300), (7, "a" * 101), (8, "aaaa aaaa aaaa"), (None, "a"), (9, "a" * 100)]
+    df = spark.createDataFrame(texts, "k long, t string")
+    got = {r.k: (r.ids, r.n_tokens, r.truncated) for r in B.token_ids(df, ["k"], "t", vocabulary, 1, 2, 3, 12).collect()}
+    assert got[1] == ([2, 13, 14, 3], 4, False)
+    assert got[2] == got[3] == ([2, 3], 2, False)
+    assert got[4][0] == [2, 15, 17, 15, 16, 18, 3]
+    assert got[5][0] == [2, 1, 1, 3]  # no piece for b, at the front or in a word
+    assert got[6] == ([2, *[15] * 10, 3], 12, True) and got[7][0] == [2, 1, 3]
+    assert got[8] == ([2, 15, 16, 16, 16, 15, 16, 16, 16, 15, 16, 3], 12, True)
+    assert got[None][0] == [2, 15, 3] and got[9][2] and len(got) == len(texts)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from turnweave.functions import geometry as G
 from turnweave.functions import pixels as I
+from turnweave.operators import batches as B
 from turnweave.operators import sound as O
 from turnweave.operators import tracking as K
 from turnweave.plans import catalog as C
 from turnweave.plans import fixtures as fx
 from turnweave.plans import pipelines as W
 from turnweave.plans.catalog import by_class, query, r6, unnested
-from turnweave.plans.fixtures import FRAMES_SQL, PICTURES_SQL
+from turnweave.plans.fixtures import F_SQL, FRAMES_SQL, PICTURES_SQL, U_SQL
 from turnweave.sources import frames as V
 from turnweave.storage import fresh_dir
 
@@ -290,3 +291,52 @@ C.SQL["face_tracks"] = f"WITH RECURSIVE {FRAMES_SQL}, {_detected_sql('SELECT cli
 def face_tracks_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks that live on over frames without boxes."""
     return K.face_tracks(fx.picture_boxes(spark, sf_dir), threshold=0.2, max_gap=2)
+
+
+# Batches and tokens
+
+
+@query(
+    f"""WITH {F_SQL}, l AS (SELECT dialogue_id, count(*) AS length FROM f GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY length, dialogue_id) - 1 AS n FROM l),
+b AS (SELECT dialogue_id, length, n // 8 AS batch, n % 8 AS place, max(length) OVER (PARTITION BY n // 8) AS longest FROM n), t AS (SELECT *, unnest(range(0, longest)) AS t FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY dialogue_id ORDER BY utterance_id) - 1 AS t FROM f)
+SELECT t.batch, CAST(t.place AS INTEGER) AS place, t.dialogue_id, CAST(t.t AS INTEGER) AS t, CAST(length AS INTEGER) AS length, CAST(o.dialogue_id IS NOT NULL AS INTEGER) AS mask, CASE WHEN o.dialogue_id IS NULL THEN 2 WHEN speaker = 'user' THEN 0 ELSE 1 END AS speaker, CAST(coalesce(label, 0) AS INTEGER) AS label,
+  14 AS width, round(coalesce(rt[2], 0), 6) AS text, round(coalesce(ra[14], 0), 6) AS audio FROM t LEFT JOIN o ON o.dialogue_id = t.dialogue_id AND o.t = t.t"""
+)
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight dialogues by length, as rows (batch, place, t)."""
+    f = fx.features(spark, sf_dir).withColumn("speaker_index", F.when(F.col("speaker") == "user", 0).otherwise(1))
+    b = B.padded_batches(f, 8, ["rt", "ra"])
+    lists = ["dialogue_id", "length", "mask", "speaker_index", "label", "rt", "ra"]
+    of = b.select("batch", F.posexplode(F.arrays_zip(*lists)).alias("place", "d")).select("batch", "place", "d.dialogue_id", "d.length", F.posexplode(F.arrays_zip(*[F.col(f"d.{c}").alias(c) for c in lists[2:]])).alias("t", "u"))
+    return of.select("batch", "place", "dialogue_id", "t", "length", "u.mask", F.col("u.speaker_index").alias("speaker"), "u.label", F.size("u.rt").alias("width"), r6(F.get("u.rt", F.lit(1))).alias("text"), r6(F.get("u.ra", F.lit(13))).alias("audio"))
+
+
+_WORD = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(piece, id): the first and last letters, two and three of them too, of the benchmark's words, but for rests that begin with x; ids by hash."""
+    word = fx.table(spark, sf_dir, "benchmark").select(F.explode(B.words_of(F.col("text"))).alias("w"))
+    first = [F.substring("w", 1, n) for n in (1, 2, 3)]
+    last = [F.concat(F.lit("##"), F.substring("w", -n, n)) for n in (1, 2, 3)]
+    pieces = word.select(F.explode(F.array(*first, *last)).alias("piece")).where("piece NOT LIKE '##x%'").distinct()
+    return pieces.select("piece", F.conv(F.substring(F.md5("piece"), 1, 7), 16, 10).cast("long").alias("id"))
+
+
+@query(
+    rf"""WITH RECURSIVE {U_SQL}, bw AS (SELECT unnest(regexp_extract_all(text, '{_WORD}')) AS w FROM benchmark),
+vo AS (SELECT DISTINCT piece, CAST('0x' || substr(md5(piece), 1, 7) AS BIGINT) AS id FROM (SELECT unnest([left(w, 1), left(w, 2), left(w, 3), '##' || right(w, 1), '##' || right(w, 2), '##' || right(w, 3)]) AS piece FROM bw) WHERE piece NOT LIKE '##x%'),
+tx AS (SELECT dialogue_id, utterance_id, regexp_extract_all(coalesce(utterance, ''), '{_WORD}') AS w FROM u), pl AS (SELECT dialogue_id, utterance_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM tx),
+wd AS (SELECT DISTINCT word FROM pl), sb AS (SELECT word, p, unnest(range(1, length(word) - p + 2)) AS n FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM wd WHERE length(word) <= 100)),
+lo AS (SELECT word, p, max(n) AS n, max_by(id, n) AS id FROM (SELECT sb.*, id FROM sb JOIN vo ON piece = CASE WHEN p > 1 THEN '##' ELSE '' END || substr(word, p, n)) GROUP BY ALL),
+wk AS (SELECT word, CAST(1 AS BIGINT) AS p, CAST([] AS BIGINT[]) AS ids FROM wd UNION ALL SELECT wk.word, wk.p + lo.n, list_append(ids, lo.id) FROM wk JOIN lo ON lo.word = wk.word AND lo.p = wk.p),
+pc AS (SELECT wd.word, coalesce(ids, [CAST(1 AS BIGINT)]) AS ids FROM wd LEFT JOIN (SELECT * FROM wk WHERE p = length(word) + 1) AS k ON k.word = wd.word),
+al AS (SELECT dialogue_id, utterance_id, flatten(list(ids ORDER BY pos)) AS ids FROM pl JOIN pc USING (word) GROUP BY ALL),
+ev AS (SELECT tx.dialogue_id, tx.utterance_id, coalesce(ids, []) AS ids FROM tx LEFT JOIN al ON al.dialogue_id = tx.dialogue_id AND al.utterance_id = tx.utterance_id)
+SELECT dialogue_id, utterance_id, CAST(least(len(ids), 62) + 2 AS INTEGER) AS n_tokens, len(ids) > 62 AS truncated, array_to_string(list_concat([2], list_concat(ids[1:62], [3])), ' ') AS ids FROM ev"""
+)
+def truncated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utterances in pieces of a vocabulary that is made of the benchmark's words, 64 tokens at most."""
+    got = B.token_ids(fx.utterances(spark, sf_dir), ["dialogue_id", "utterance_id"], "utterance", _vocabulary(spark, sf_dir), unknown=1, start=2, end=3, max_tokens=64)
+    return got.select("dialogue_id", "utterance_id", "n_tokens", "truncated", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
