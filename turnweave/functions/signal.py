@@ -101,7 +101,7 @@ def prepared(wave: Column, rate: int = 16_000, max_seconds: float | None = 10.0,
 
     def level(w: Column) -> Column:
         r = rms(w)
-        gain = F.pow(F.lit(10.0), (F.lit(TARGET_DBFS) - 20 * F.log10(r)) / 20)
+        gain = F.pow(F.lit(10.0), (F.lit(TARGET_DBFS) - 20 * F.log10(r + 1e-9)) / 20)
         loud = F.transform(w, lambda x: x * gain) if normalise else w
         return F.struct(F.when(r < SILENCE_RMS, w).otherwise(loud).alias("samples"), (r < SILENCE_RMS).alias("silent"))
 

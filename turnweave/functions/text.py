@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnweave.functions.arrays import let
+
 
 def _repairs() -> tuple[str, str]:
     """C1 controls that Windows-1252 defines, and what it defines them as."""
@@ -63,14 +65,17 @@ def media_path(folder: Column | str, dialogue: Column, utterance: Column, extens
 def to_seconds(value: Column) -> Column:
     """Milliseconds as a number, or H:M:S,ms, or M:S with whole hours and minutes, or seconds with a comma; anything else, and null, is 0."""
     text = F.trim(value.cast("string"))
-    number = text.try_cast("double")
-    plain = F.replace(text, F.lit(","), F.lit("."))
-    parts = F.split(plain, ":")
-    at = lambda i: F.get(parts, F.lit(i)).try_cast("double")
-    whole = lambda i: F.when(F.get(parts, F.lit(i)).rlike(r"^\s*[+-]?\d+\s*$"), at(i))
-    clock = F.when(F.size(parts) == 3, whole(0) * 3600 + whole(1) * 60 + at(2)).when(F.size(parts) == 2, whole(0) * 60 + at(1)).otherwise(plain.try_cast("double"))
-    clock = F.when(~F.isnan(clock), clock)
-    return F.coalesce(F.when(number.isNotNull() & ~F.isnan(number), number / 1000), clock, F.lit(0.0))
+
+    def clock(parts: Column) -> Column:
+        """Of the pieces between colons, with points for commas."""
+        at = lambda i: F.get(parts, F.lit(i)).try_cast("double")
+        whole = lambda i: F.when(F.get(parts, F.lit(i)).rlike(r"^\s*[+-]?\d+\s*$"), at(i))
+        return F.when(F.size(parts) == 3, whole(0) * 3600 + whole(1) * 60 + at(2)).when(F.size(parts) == 2, whole(0) * 60 + at(1)).when(F.size(parts) == 1, at(0))
+
+    seconds = lambda x: F.when(~F.isnan(x), x)
+    timed = let(F.split(F.replace(text, F.lit(","), F.lit(".")), ":"), lambda p: let(clock(p), seconds))
+    # let: each value is parsed once a row; what is a number is not split
+    return let(text.try_cast("double"), lambda n: F.when(n.isNotNull() & ~F.isnan(n), n / 1000).otherwise(F.coalesce(timed, F.lit(0.0))))
 
 
 def noise_tag(snr_db: Column) -> Column:

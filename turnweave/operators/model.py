@@ -305,6 +305,20 @@ def parameter_counts(weights: Weights) -> dict[str, int]:
     return out | {"all": sum(w.size for w in weights.values())}
 
 
+def parameters_by_part(weights: DataFrame) -> DataFrame:
+    """(part, n) of a table weights(name, value) with arrays of numbers: counts by the first piece of their names, and in all."""
+    part = F.substring_index("name", ".", 1)
+    counts = weights.groupBy(part.alias("part")).agg(F.sum(F.size("value")).cast("long").alias("n"))
+    return counts.unionByName(counts.agg(F.lit("all").alias("part"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n")))
+
+
+def positioned(vector: Column, place: Column, speaker: Column) -> Column:
+    """A vector plus the sines (even places of it) and cosines (odd ones) of its place in the dialogue, plus its speaker's vector."""
+    rate = lambda k: F.exp((k - k % 2) * F.lit(-math.log(10_000.0)) / F.size(vector))
+    wave = lambda k: F.when(k % 2 == 0, F.sin(place * rate(k))).otherwise(F.cos(place * rate(k)))
+    return F.zip_with(F.transform(vector, lambda x, k: x + wave(k)), speaker, lambda x, s: x + s)
+
+
 def visual_parts(vector: Column, appearance: int, width: int) -> Column:
     """struct<appearance, geometry> of a visual vector; one of another width is an error."""
     error = F.raise_error(F.concat(F.lit(f"a visual vector is not of width {width} but "), F.size(vector).cast("string"))).cast("array<double>")

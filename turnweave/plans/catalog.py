@@ -447,7 +447,7 @@ def time_window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {FRAMES_SQL}, w AS (SELECT clip, list_concat([0.0::DOUBLE, 0], list_concat(list(v / 500 ORDER BY frame)[1:160], [0.0::DOUBLE, 0])) AS w FROM fr GROUP BY clip),
 r AS (SELECT clip, w, sqrt(list_sum(list_transform(w, lambda x: x * x)) / len(w)) AS r FROM w)
-SELECT clip, r < 1e-4 AS silent, len(w) AS n, round(CASE WHEN r < 1e-4 THEN r ELSE pow(10.0::DOUBLE, (-20.0 - 20 * log10(r)) / 20) * r END, 6) AS rms FROM r"""
+SELECT clip, r < 1e-4 AS silent, len(w) AS n, round(CASE WHEN r < 1e-4 THEN r ELSE pow(10.0::DOUBLE, (-20.0 - 20 * log10(r + 1e-9)) / 20) * r END, 6) AS rms FROM r"""
 )
 def rms_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = fx.waves(spark, sf_dir).select("clip", S.prepared(F.col("wave"), rate=40, max_seconds=4.0).alias("p"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnweave.functions import arrays as A
@@ -87,9 +87,15 @@ def degradation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select(i, T.noise_tag(i % 30).alias("noise"), T.packet_loss_tag(i % 10 / 10.0).alias("loss"), T.blur_tag(i % 16 / 2.0).alias("blur"), T.occlusion_tag(i % 8 / 8.0).alias("hidden"))
 
 
-@query("SELECT unnest(['T', 'A', 'V', 'TA', 'TV', 'AV', 'TAV']) AS key, unnest(['A,V', 'T,V', 'T,A', 'V', 'A', 'T', '']) AS dropped")
+@query(
+    f"""WITH {F_SQL}, c AS (SELECT unnest(['T', 'A', 'V', 'TA', 'TV', 'AV', 'TAV']) AS key, unnest(['A,V', 'T,V', 'T,A', 'V', 'A', 'T', '']) AS dropped)
+SELECT key, dropped, dialogue_id, utterance_id, round(CASE WHEN key LIKE '%T%' THEN lt[1] ELSE 0 END, 6) AS t, round(CASE WHEN key LIKE '%A%' THEN la[1] ELSE 0 END, 6) AS a, round(CASE WHEN key LIKE '%V%' THEN lv[1] ELSE 0 END, 6) AS v FROM f, c WHERE split = 'test'"""
+)
 def combo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.combo_table(spark).select(T.combo_key(F.col("combo")).alias("key"), F.array_join("dropped", ",").alias("dropped"))
+    """Every utterance of the test split under each combination, with the modalities that it drops as zeros."""
+    f = fx.features(spark, sf_dir).where("split = 'test'").crossJoin(F.broadcast(X.combo_table(spark)))  # seven rows
+    own = lambda m, c: r6(F.when(F.array_contains("dropped", m), 0.0).otherwise(F.get(c, F.lit(0))))
+    return f.select(T.combo_key(F.col("combo")).alias("key"), F.array_join("dropped", ",").alias("dropped"), *KEYS, own("T", "lt").alias("t"), own("A", "la").alias("a"), own("V", "lv").alias("v"))
 
 
 _GONE = ", ".join(f"CASE WHEN {chance_sql(f"k || '|{m}'")} < 0.6 THEN '{m}' END" for m in "TAV")
@@ -110,7 +116,7 @@ _WAVES = FRAMES_SQL + ", w0 AS (SELECT clip, list(CASE WHEN clip % 7 = 0 THEN 0
 _PREPARED = (
     _WAVES
     + """, w1 AS (SELECT clip, list_concat([0.0::DOUBLE, 0], list_concat(w[1:160], [0.0::DOUBLE, 0])) AS w FROM w0), r1 AS (SELECT *, sqrt(list_sum(list_transform(w, lambda x: x * x)) / len(w)) AS r FROM w1),
-p1 AS (SELECT clip, r < 1e-4 AS silent, CASE WHEN r < 1e-4 THEN w ELSE list_transform(w, lambda x: x * pow(10.0::DOUBLE, (-20.0 - 20 * log10(greatest(r, 1e-12::DOUBLE))) / 20)) END AS w FROM r1)"""
+p1 AS (SELECT clip, r < 1e-4 AS silent, CASE WHEN r < 1e-4 THEN w ELSE list_transform(w, lambda x: x * pow(10.0::DOUBLE, (-20.0 - 20 * log10(r + 1e-9::DOUBLE)) / 20)) END AS w FROM r1)"""
 )
 
 
@@ -308,20 +314,25 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEYS, rows.alias("o")).select("o.output", *KEYS, F.posexplode("o.a").alias("class", "value")).withColumn("value", F.round("value", 6))
 
 
-_PAIR = "2 * 16 + 6 * (16 * 16 + 16) + 2 * 16"
-_COUNTS = {"speakers": "(9 + 1) * 16", "in": "3 * 14 * 16", **{p: _PAIR for p in ("tt", "at", "vt", "aa", "ta", "va", "vv", "tv", "av")}, "reduce": "3 * (3 * 16 * 16 + 16)", "head": "4 * (16 * 7 + 7)", "rel": "3 * ((16 + 7) * 128 + 128 + 128 * 7 + 7)"}
-
-
-@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS part, CAST({v} AS BIGINT) AS n" for k, v in _COUNTS.items()) + ") SELECT * FROM c UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM c")
+@query("WITH w AS (SELECT 'part' || CAST(label AS VARCHAR) AS part, CAST(sum(len(embedding) - vec_id % 5) AS BIGINT) AS n FROM embeddings GROUP BY label) SELECT * FROM w UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM w")
 def parameter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = N.ModelConfig(text=14, audio=14, visual=14, hidden=16, heads=2, classes=7, fusion="class_reliability")
-    return spark.createDataFrame(list(N.parameter_counts(N.seeded_weights(config)).items()), "part string, n long")
+    """Vectors of different lengths as a model's parameters, their labels as its parts."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    weights = e.select(F.format_string("part%d.w%d", "label", "vec_id").alias("name"), F.slice("embedding", F.lit(1), (F.size("embedding") - F.col("vec_id") % 5).cast("int")).alias("value"))
+    return N.parameters_by_part(weights)
 
 
-@query("WITH p AS (SELECT unnest(range(0, 24)) AS place), c AS (SELECT place, unnest(range(0, 16)) AS k FROM p) SELECT place, k, round(CASE WHEN k % 2 = 0 THEN sin(place * exp(-k * ln(10000.0::DOUBLE) / 16)) ELSE cos(place * exp(-(k - 1) * ln(10000.0::DOUBLE) / 16)) END, 9) AS value FROM c")
+@query(
+    f"""WITH {F_SQL}, s AS (SELECT vec_id AS speaker, embedding AS e FROM embeddings WHERE vec_id < 2), p AS (SELECT f.*, s.e, row_number() OVER (PARTITION BY dialogue_id ORDER BY utterance_id) - 1 AS place FROM f JOIN s ON s.speaker = CASE WHEN f.speaker = 'user' THEN 0 ELSE 1 END),
+k AS (SELECT dialogue_id, utterance_id, rt, e, place, unnest(range(0, 14)) AS k FROM p)
+SELECT dialogue_id, utterance_id, CAST(k AS INTEGER) AS class, round(rt[k + 1] + CASE WHEN k % 2 = 0 THEN sin(place * exp(-k * ln(10000.0::DOUBLE) / 14)) ELSE cos(place * exp(-(k - 1) * ln(10000.0::DOUBLE) / 14)) END + CAST(e[k + 1] AS DOUBLE), 9) AS value FROM k"""
+)
 def positional_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = N.positions(24, 16)
-    return spark.createDataFrame([(i, k, round(float(v), 9)) for i, row in enumerate(x) for k, v in enumerate(row)], "place long, k long, value double")
+    """Utterances' vectors with their place in the dialogue and their speaker's vector added."""
+    speakers = fx.table(spark, sf_dir, "embeddings").where("vec_id < 2").select(F.col("vec_id").alias("_s"), F.slice(F.col("embedding").cast("array<double>"), 1, 14).alias("_e"))
+    f = fx.features(spark, sf_dir).withColumn("_s", F.when(F.col("speaker") == "user", 0).otherwise(1)).join(F.broadcast(speakers), "_s")  # two rows
+    placed = f.withColumn("place", F.row_number().over(Window.partitionBy("dialogue_id").orderBy("utterance_id")) - 1)
+    return by_class(placed.withColumn("v", N.positioned(F.col("rt"), F.col("place"), F.col("_e"))), "v")
 
 
 _BYTE = "CAST('0x' || substr(sha256('0|''' || utt_str_id || ''''), 2 * i + 1, 2) AS INTEGER) / 128.0::DOUBLE - 1"

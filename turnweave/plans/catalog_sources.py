@@ -115,14 +115,19 @@ def corpus_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("utt_str_id", "audio", "video")
 
 
-def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The utterances as CSV files by split, read back; the dev split is not there."""
+def csv_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The utterances as CSV files by split; the dev split is not there."""
     u = fx.utterances(spark, sf_dir).where("split <> 'dev'")
     paths = {s: fresh_dir(spark, f"csv-{s}") for s in ("train", "test")}
     seconds = F.format_string("0:%d:%d,500", F.col("utterance_id") % 60, F.col("dialogue_id") % 60)
     out = u.select("split", F.col("dialogue_id").alias("Dialogue_ID"), F.col("utterance_id").alias("Utterance_ID"), _broken(F.coalesce("utterance", F.lit(""))).alias("Utterance"), F.when(F.col("utterance_id") % 3 != 0, F.col("speaker")).alias("Speaker"), seconds.alias("StartTime"), F.lit("").alias("EndTime"))
     for s, path in paths.items():
         out.where(F.col("split") == s).drop("split").write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").csv(path)
+    return paths
+
+
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = csv_files(spark, sf_dir)
     return L.split_tables(spark, paths["train"], None, paths["test"])
 
 
@@ -135,11 +140,15 @@ def utterance_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("split", F.col("Dialogue_ID").alias("dialogue_id"), F.col("Utterance_ID").alias("utterance_id"), F.col("Utterance").alias("utterance"), F.nullif("Speaker", F.lit("")).alias("speaker"), F.col("Start_Time").alias("start"))
 
 
-@query(f"WITH {U_SQL}, s AS (SELECT unnest(['train', 'dev', 'test']) AS split) SELECT s.split, count(u.dialogue_id) AS n, count(DISTINCT u.dialogue_id) AS dialogues FROM s LEFT JOIN u ON u.split = s.split AND s.split <> 'dev' GROUP BY 1")
+@query(f"WITH {U_SQL}, s AS (SELECT unnest(['train', 'dev', 'test']) AS split) SELECT s.split, count(u.dialogue_id) AS n, count(DISTINCT u.dialogue_id) AS dialogues, 'Dialogue_ID int,EndTime string,Speaker string,StartTime string,Utterance string,Utterance_ID int,split string' AS columns FROM s LEFT JOIN u ON u.split = s.split AND s.split <> 'dev' GROUP BY 1")
 def empty_dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("Dialogue_ID").alias("dialogues"))
-    names = spark.createDataFrame([("train",), ("dev",), ("test",)], "split string")
-    return names.join(t, "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("dialogues", F.lit(0)).alias("dialogues"))
+    """Each split's frame on its own: its rows, and the columns that it has with or without rows."""
+    paths, out = csv_files(spark, sf_dir), None
+    for name, frame in L.split_frames(spark, paths["train"], None, paths["test"]).items():
+        columns = ",".join(sorted(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema))
+        one = frame.agg(F.count("*").alias("n"), F.count_distinct("Dialogue_ID").alias("dialogues")).select(F.lit(name).alias("split"), "n", "dialogues", F.lit(columns).alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _DEGRADED = """, d AS (SELECT DISTINCT split, dialogue_id FROM u), o AS (SELECT coalesce(max(dialogue_id) FILTER (split = 'train') + 1, 0) AS a, count(*) FILTER (split = 'dev') AS b FROM d),

@@ -79,11 +79,16 @@ OCCLUSION = {
 }
 
 
-def split_tables(spark: SparkSession, train: str, dev: str | None, test: str) -> DataFrame:
-    """The splits' utterances in one table; a missing dev split has no rows and the columns of the training split."""
+def split_frames(spark: SparkSession, train: str, dev: str | None, test: str) -> dict[str, DataFrame]:
+    """Each split's utterances; a missing dev split has no rows and the columns of the training split."""
     first = R.read_utterances(spark, train, "train")
-    out = first.unionByName(R.read_utterances(spark, dev, "dev") if dev else first.limit(0).withColumn("split", F.lit("dev")), allowMissingColumns=True)
-    return out.unionByName(R.read_utterances(spark, test, "test"), allowMissingColumns=True)
+    return {"train": first, "dev": R.read_utterances(spark, dev, "dev") if dev else first.limit(0).withColumn("split", F.lit("dev")), "test": R.read_utterances(spark, test, "test")}
+
+
+def split_tables(spark: SparkSession, train: str, dev: str | None, test: str) -> DataFrame:
+    """The splits' utterances in one table."""
+    a, b, c = split_frames(spark, train, dev, test).values()
+    return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
 def degraded_test(utterances: DataFrame, folder: str, extension: str, column: str = "Audio_Path", identity: bool = False) -> DataFrame:
