@@ -2,6 +2,7 @@
 
 import dataclasses
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -12,6 +13,8 @@ from turnweave.operators import batches as B
 from turnweave.operators import sound as O
 from turnweave.plans import pipelines as W
 from turnweave.sources import frames as V
+from turnweave.sources import sinks as K
+from turnweave.sources import transcripts as R
 
 
 def test_rows_of_a_fourier_series_are_those_of_its_cosines():
@@ -251,3 +254,39 @@ def test_pieces_and_truncation(spark):
     assert got[6] == ([2, *[15] * 10, 3], 12, True) and got[7][0] == [2, 1, 3]
     assert got[8] == ([2, 15, 16, 16, 16, 15, 16, 16, 16, 15, 16, 3], 12, True)
     assert got[None][0] == [2, 15, 3] and got[9][2] and len(got) == len(texts)
+
+
+# Sound files
+
+
+def riff(*chunks):
+    body = b"WAVE" + b"".join(n + len(c).to_bytes(4, "little") + c + b"\0" * (len(c) % 2) for n, c in chunks)
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def test_wave_codings():
+    layout = lambda kind, channels, bits, more=b"": (b"fmt ", struct.pack("<HHIIHH", kind, channels, 8000, 0, 0, bits) + more)
+    want = np.array([[0.5, -0.25], [-1.0, 0.0]])
+    for bits in (16, 24, 32):
+        data = b"".join(int(v * (1 << (bits - 1))).to_bytes(bits // 8, "little", signed=True) for v in want.ravel())
+        rate, got = R.wave_samples(riff((b"LIST", b"odd"), layout(1, 2, bits), (b"data", data)))
+        assert rate == 8000 and (got == want).all()
+    assert (R.wave_samples(riff(layout(1, 2, 8), (b"data", bytes([192, 96, 0, 128]))))[1] == want).all()
+    for bits, kind in ((32, "<f4"), (64, "<f8")):
+        assert (R.wave_samples(riff(layout(3, 2, bits), (b"data", want.astype(kind).tobytes())))[1] == want).all()
+    extensible = layout(0xFFFE, 1, 16, struct.pack("<HHIH", 22, 16, 0, 1) + b"\0" * 14)
+    assert R.wave_samples(riff(extensible, (b"data", b"\0\x40")))[1].tolist() == [[0.5]]
+    cut = riff(layout(1, 2, 16), (b"data", b"\0\x40" * 5))
+    assert R.wave_samples(cut)[1].shape == (2, 2) and R.wave_samples(cut[:-6])[1].shape == (1, 2)
+    for bad in (b"", b"RIFFnope", riff((b"data", b"1234")), riff(layout(2, 1, 4), (b"data", b"1234")), riff(layout(1, 0, 16), (b"data", b"1234")), riff(layout(1, 1, 16))):
+        assert R.wave_samples(bad) == (None, None)
+
+
+def test_best_weights_and_metric_log(spark, tmp_path):
+    weights = spark.createDataFrame([(e, "a", [float(e)]) for e in range(4)], "epoch int, name string, value array<double>")
+    epochs = spark.createDataFrame([(0, 0.1), (1, 0.7), (2, 0.7), (3, math.nan), (4, None)], "epoch int, f1 double")
+    K.write_best(epochs, weights, f"{tmp_path}/best")
+    assert [r.epoch for r in spark.read.parquet(f"{tmp_path}/best").collect()] == [1]
+    K.append_metrics(spark.createDataFrame([("r", 1, 0.5, None)], "run string, step int, a double, b double"), f"{tmp_path}/log", 1)
+    K.append_metrics(spark.createDataFrame([("r", 1, 0.6), ("r", 2, 0.1)], "run string, step int, a double"), f"{tmp_path}/log", 2)
+    assert sorted(tuple(r) for r in K.read_metrics(spark, f"{tmp_path}/log").collect()) == [("r", 1, "a", 0.6), ("r", 2, "a", 0.1)]

@@ -222,7 +222,7 @@ _WAV = "frame % 3 <> 2 AND clip % 4 <> 3"
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): a WAV file of two channels for three in four clips, and something else for the fourth."""
+    """(path, content): a WAV file of two channels, of 16 or 24 bits, for three in four clips, and something else for the fourth."""
     import pandas as pd
 
     def run(batches):
@@ -231,8 +231,9 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             out = []
             for clip, samples in zip(b["clip"], b["samples"], strict=True):
-                body = b"".join(struct.pack("<hh", int(x), -int(x) // 2) for x in samples)
-                head = b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", len(body))
+                wide = 2 + clip % 2
+                body = b"".join((int(v) << 8 * (wide - 2)).to_bytes(wide, "little", signed=True) for x in samples for v in (x, -x // 2))
+                head = b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 16000 * wide, 2 * wide, 8 * wide) + b"data" + struct.pack("<I", len(body))
                 out.append((f"/w/{clip}.wav", head + body if clip % 4 != 3 else b"RIFFnope"))
             yield pd.DataFrame(out, columns=["path", "content"])
 
@@ -253,3 +254,23 @@ def media_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.table(spark, sf_dir, "events").groupBy("user_id").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("level"))
     there = F.col("user_id") % 4 != 3
     return R.missing_counts(c, there, there & (F.col("level") < 50))
+
+
+@query("WITH e AS (SELECT label, avg(embedding[1]) AS f1 FROM embeddings GROUP BY 1), b AS (SELECT label FROM e ORDER BY round(f1, 9) DESC, label LIMIT 1) SELECT 'w' || CAST(vec_id AS VARCHAR) AS name, e.label AS epoch, round(CAST(embedding[2] AS DOUBLE), 6) AS value FROM embeddings AS e JOIN b ON b.label = e.label")
+def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights by epoch, of which those of the best epoch are kept; labels stand for epochs."""
+    e = fx.table(spark, sf_dir, "embeddings").select(F.col("label").alias("epoch"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").cast("array<double>").alias("value"))
+    epochs = e.groupBy("epoch").agg(F.round(F.avg(F.get("value", F.lit(0))), 9).alias("f1"))
+    path = fresh_dir(spark, "checkpoint")
+    K.write_best(epochs, e, path)
+    return spark.read.parquet(path).select("name", "epoch", r6(F.get("value", F.lit(1))).alias("value"))
+
+
+@query("SELECT event_type AS run, CAST(user_id AS BIGINT) AS step, 'n' AS metric, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2 UNION ALL SELECT event_type, user_id, 'mean', round(avg(value), 6) FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2")
+def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of runs appended step by step, some of them twice, the later one counting."""
+    steps = fx.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run"), F.col("user_id").cast("long").alias("step")).agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"))
+    path = fresh_dir(spark, "log")
+    K.append_metrics(steps.select("run", "step", (F.col("n") + 1).alias("n")).where("step % 3 = 0"), path, 1)
+    K.append_metrics(steps.select("run", "step", "n", F.when(F.col("step") % 2 == 0, F.col("mean")).alias("mean")), path, 2)
+    return K.read_metrics(spark, path).select("run", "step", "metric", r6("value").alias("value"))

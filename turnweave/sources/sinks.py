@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +29,22 @@ def metrics_document(summary: DataFrame, per_class: DataFrame, key: str = "combo
 
 def write_metrics(document: DataFrame, path: str, mode: str = "errorifexists") -> None:
     document.coalesce(1).write.mode(mode).json(path)
+
+
+def write_best(epochs: DataFrame, weights: DataFrame, path: str, epoch: str = "epoch", score: str = "f1", mode: str = "overwrite") -> None:
+    """The weights(epoch, name, value) of the epoch with the best score, the first of equal ones; nulls and NaN are no scores."""
+    scored = epochs.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    best = scored.agg(F.max_by(epoch, F.struct(F.col(score), -F.col(epoch))).alias(epoch))  # one row
+    weights.join(F.broadcast(best), epoch, "left_semi").write.mode(mode).parquet(path)
+
+
+def append_metrics(df: DataFrame, path: str, at: int, keys: Sequence[str] = ("run", "step")) -> None:
+    """Adds df(keys, metrics...) to a log as rows (keys, metric, value, at), at being the writer's clock or count; nulls are left out."""
+    names = [c for c in df.columns if c not in keys]
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("m")
+    df.select(*keys, rows).select(*keys, "m.*", F.lit(at).cast("long").alias("at")).where("value IS NOT NULL").write.mode("append").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str, keys: Sequence[str] = ("run", "step")) -> DataFrame:
+    """(keys, metric, value) of a log, the latest of each."""
+    return spark.read.parquet(path).groupBy(*keys, "metric").agg(F.max_by("value", "at").alias("value"))

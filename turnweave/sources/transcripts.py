@@ -5,6 +5,11 @@ Line numbers come from splitting whole files, since a line source has none; file
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,8 @@ from turnweave.operators.dialogue import numbered_dialogues, ranked_utterances,
 TRANSCRIPT_LINE = r"(?s)^(\S+)\s+\[\d+\.\d+-\d+\.\d+\]:\s*(.*)"
 EVALUATION_LINE = r"^\[(\d+\.\d+)\s*-\s*(\d+\.\d+)\]\s+(\S+)\s+(\w+)\s+\[\s*([\d.]+)\s*,\s*([\d.]+)\s*,\s*([\d.]+)\s*\]"
 TIMING_LINE = r"^\[(\d+\.\d+)\s*-\s*(\d+\.\d+)\]\s+(\S+)\s+(\w+)"
+# Codings of a WAVE file's samples; an extensible one names its own further on.
+WHOLE, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 UTTERANCE_SCHEMA = "Dialogue_ID int, Utterance_ID int, Utterance string, Speaker string, Sentiment string, StartTime string, EndTime string"
 
 
@@ -98,31 +105,58 @@ def read_media(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def decoded_waves(media: DataFrame) -> DataFrame:
-    """(path, rate, channels) of 8-, 16- and 32-bit PCM WAV files; channels are arrays of samples in [-1, 1], null if unreadable."""
-    import pandas as pd
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([(p, *_wave(bytes(c))) for p, c in zip(b["path"], b["content"], strict=True)], columns=["path", "rate", "channels"])
+    """(path, rate, channels) of RIFF WAVE files with 8-, 16-, 24- or 32-bit whole numbers or 32- or 64-bit floats.
 
-    return media.select("path", "content").mapInPandas(run, "path string, rate int, channels array<array<double>>")
+    channels are arrays of samples, whole numbers scaled to [-1, 1]; null where a file is cut short before its samples or is no such
+    file. Chunks other than the format and the samples are passed over, and samples end at the last whole one.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a file at a time: what is decoded is several times as large
+                rate, samples = wave_samples(b.column(1)[i].as_buffer() if b.column(1)[i].is_valid else b"")
+                channels = None if samples is None else list(samples.T)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([rate], pa.int32()), pa.array([channels], pa.list_(pa.list_(pa.float64())))], names=["path", "rate", "channels"])
 
-def _wave(data: bytes) -> tuple[int | None, list | None]:
-    import io
-    import wave
+    return media.select("path", "content").mapInArrow(run, "path string, rate int, channels array<array<double>>")
 
-    import numpy as np
 
-    try:
-        with wave.open(io.BytesIO(data)) as w:
-            width, n = w.getsampwidth(), w.getnchannels()
-            raw, rate = w.readframes(w.getnframes()), w.getframerate()
-        x = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(float)
-        x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
-        return rate, [c.tolist() for c in x.reshape(-1, n).T]
-    except (wave.Error, EOFError, KeyError, ValueError):
+def wave_samples(data: bytes) -> tuple[int | None, np.ndarray | None]:
+    """(rate, samples by row, a column a channel) of a file, or nulls."""
+    raw, at, layout = memoryview(data), 12, None
+    if bytes(raw[:4]) != b"RIFF" or bytes(raw[8:12]) != b"WAVE":
         return None, None
+    while at + 8 <= len(raw):
+        name, size = bytes(raw[at : at + 4]), int.from_bytes(raw[at + 4 : at + 8], "little")
+        body = raw[at + 8 : at + 8 + size]
+        if name == b"fmt " and len(body) >= 16:
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
+            if kind == EXTENSIBLE and len(body) >= 26:
+                kind = int.from_bytes(body[24:26], "little")
+            layout = (kind, channels, rate, bits)
+        elif name == b"data":
+            if layout is None:
+                return None, None
+            kind, channels, rate, bits = layout
+            x = _numbers(bytes(body), kind, bits)
+            return (None, None) if x is None or not channels else (rate, x[: len(x) // channels * channels].reshape(-1, channels))
+        at += 8 + size + size % 2
+    return None, None
+
+
+def _numbers(raw: bytes, kind: int, bits: int) -> np.ndarray | None:
+    """Samples as doubles; null for a coding that is not known."""
+    wide = bits // 8
+    raw = raw[: len(raw) // max(wide, 1) * max(wide, 1)]
+    if kind == FLOAT and bits in (32, 64):
+        return np.frombuffer(raw, f"<f{wide}").astype(float)
+    if kind != WHOLE or bits not in (8, 16, 24, 32):
+        return None
+    if bits == 8:
+        return (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    four = np.zeros((len(raw) // wide, 4), np.uint8)  # the sample's bytes are the highest ones
+    four[:, 4 - wide :] = np.frombuffer(raw, np.uint8).reshape(-1, wide)
+    return four.view("<i4")[:, 0] / float(1 << 31)
 
 
 def media_size_mb(media: DataFrame) -> DataFrame:
