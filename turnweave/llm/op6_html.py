@@ -7,24 +7,30 @@
 2. Every page is aligned with its host's template. What varies decides where the article is: the walk starts at the top and goes
    to the child that holds most of the varying text, until a node has varying text, headings or several such children of its
    own. <article> and <main> count where they hold at least half of what varies; sibling <article>s stay together.
-3. Inside that region all text stays, constant or not, but for hidden nodes, elements that the contract names (menus, footers,
-   asides, forms), nodes with a class or id that is a whole name of a notice, advert, sharing or comment part, and nodes that
-   speak against themselves twice (constant, and mostly links or, without paragraphs, with such a name as part of a class). Names never empty a page.
-   Where a page has no container around its article, constant nodes at both ends of the body go.
+3. Inside that region all text stays, constant or not, but for hidden nodes, elements that are menus, footers, asides or
+   forms by their tag or role, nodes of which a whole class is a name of a menu, sidebar, notice, advert or comment part (PARTS), and
+   nodes that speak against themselves twice: a whole class or id that names such or another part (sharing, widgets, promotion) on
+   a node that is constant, mostly links or without paragraphs and headings; or two of these: constant, mostly links, and, where
+   there are no paragraphs, such a name as a piece of a class. Names never empty a page. Where a page has no container around its
+   article, constant nodes at both ends of the body go, and pieces of class names count too.
 
 A host has a template once DISTINCT pages with different main parts were aligned; copies of one page do not make its text
-constant. On hosts with fewer pages all text varies, and tags and names alone decide. Templates are broadcast up to
-BROADCAST_BYTES, which is checked, and else meet the pages in a join salted within hosts.
+constant. This least support is a parameter of what counts as constant and the same at every size; on hosts with fewer different
+pages all text varies, and tags and names alone decide. Templates of a host are merged in a tree, GROUP pages and then FAN templates a
+task, whose depth follows the largest host. They are broadcast up to BROADCAST_BYTES, which is checked, and else meet the pages in a
+join salted within hosts.
 
 Matching is exact at any size: equal subtrees at both ends of child lists are paired at once, sizes of matches are kept by shape,
 rows of the table are vectors, and long lists are halved (Hirschberg), so memory is linear in a list's length. There are no caps
-on children, depth or template size; in the final template what lies below a slot without constant nodes is left out.
+on children, depth or template size; in the final template what lies below a slot without constant nodes is left out. Time
+grows with the product of two nodes' different children (4 pages with 2,000 different children each take some seconds).
 
 Text: character references decoded, white space inside a block made one space, blocks joined by one space in page order.
 Defined results: a null or empty html, or one without an article's text, gives an empty string; a null url is a host of its own;
 repeated rows each give a row, and count once for the template; of equally heavy children the first is taken; an empty table
 gives none; very long and deep pages are read whole; extra columns, also of clashing names, are ignored. Unclosed, crossed and
-cut-off tags are mended as browsers do, roughly.
+cut-off tags are mended as browsers do, roughly. Hidden is what has the hidden attribute or display:none, and a dialog that is not
+open; aria-hidden text is seen by readers and stays. Text in <math> and <svg> stays, but for its annotations, titles and styles.
 """
 
 from __future__ import annotations
@@ -32,8 +38,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -43,10 +48,11 @@ from pyspark.sql import functions as F
 
 from turnweave.llm.common import materialize, quoted, slices
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 20))  # matching goes down as deep as pages do; frames are on the heap
 DISTINCT = 4
 BROADCAST_BYTES = 16 << 20
 SALTS = 32
+#: Pages, and later templates, that are merged in one task.
+GROUP, FAN = 128, 16
 #: Cells of a matching table that are kept at once; longer lists are halved.
 CELLS = 1 << 20
 #: Share of the varying text from which a second child belongs to the region, and that an <article> must hold.
@@ -54,7 +60,7 @@ SIDE_SHARE, ARTICLE_SHARE = 0.1, 0.5
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp select annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br", "option", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
@@ -63,18 +69,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 FLOW = REPEATED | HEADINGS | frozenset("pre table ul ol dl address details figcaption caption tbody thead center".split())
 SCOPES = frozenset("ul ol dl table article main section div body nav aside footer header form blockquote".split())
 # What is not the article.
-DULL_TAGS = frozenset("head nav header footer aside form button menu dialog object embed canvas audio video map".split()) | RAW
+DULL_TAGS = frozenset("head nav header footer aside form button menu object embed canvas audio video map".split()) | RAW
 DULL_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer "
     "sidebar sidenav aside rail widget widgets cookie cookies consent gdpr notice notices alert toast popup modal overlay comment comments commentlist disqus reply replies respond "
     "share sharing social newsletter subscribe subscription signup login search related recommended teaser pagination pager tags toolbar skip copyright legal disclaimer".split()
 )
-# Of these, those that say it alone where they are a whole class or id.
-SURE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs masthead "
-    "sidebar sidenav widget widgets cookie cookies consent gdpr toast popup modal overlay comments commentlist disqus replies respond "
-    "share sharing social newsletter subscribe subscription teaser pagination pager toolbar skip".split()
-)
+# Of these, menus, headers and footers of the site, sidebars, notices, adverts and reader comments.
+PARTS = frozenset("ad ads advert adverts advertisement adsense adslot sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs masthead sidebar sidenav cookie cookies notice comments commentlist disqus".split())
+# Whole classes or ids of these and of other parts, which need a second sign.
+SUSPECTS = PARTS | frozenset("advertising banner sponsor promo promotion widget widgets consent gdpr toast popup modal overlay replies respond share sharing social newsletter subscribe subscription teaser pagination pager toolbar skip".split())
+# A whole class that does not hold the article, whatever it weighs.
+ASIDE = PARTS | {"teaser"}
 OWN_NAMES = frozenset("article post entry story content".split())
 DULL_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 
@@ -85,29 +91,44 @@ ENDS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "names", "tokens", "role", "hidden", "kids")
+    __slots__ = ("classes", "hidden", "kids", "names", "role", "tag", "tokens")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.kids = tag, []
-        self.names, self.tokens, self.role, self.hidden = (), (), "", False
-        if "=" in attributes or "hidden" in attributes:
+        self.names, self.tokens, self.classes, self.role, self.hidden = (), (), (), "", tag == "dialog"
+        if attributes and (tag == "dialog" or "=" in attributes or "hidden" in attributes):
             got = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTR.findall(attributes)}
             if "class" in got or "id" in got:
                 named = f"{got.get('class', '')} {got.get('id', '')}"
-                self.tokens = tuple(named.lower().split())
+                self.tokens, self.classes = tuple(named.lower().split()), tuple(got.get("class", "").lower().split())
                 self.names = tuple(dict.fromkeys(x.lower() for x in NAME.findall(named) if not x.isdigit()))
             self.role = got.get("role", "").lower()
-            self.hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
+            self.hidden = "hidden" in got or "display:none" in got.get("style", "").replace(" ", "").lower() or (tag == "dialog" and "open" not in got)
 
     @property
     def apart(self) -> bool:
         """An element that is no article text by its tag or role."""
         return self.tag in DULL_TAGS or self.role in DULL_ROLES
 
+    @property
+    def plain(self) -> bool:
+        """Its names do not count."""
+        return self.tag in ("body", "html") or self.tag in HEADINGS
+
     @property
     def named(self) -> bool:
-        """A whole class or id says that this is another part of the page."""
-        return self.tag not in ("body", "html") and self.tag not in HEADINGS and not SURE_NAMES.isdisjoint(self.tokens)
+        """A whole class says that this holds no article."""
+        return not self.plain and not ASIDE.isdisjoint(self.classes)
+
+    @property
+    def part(self) -> bool:
+        """A whole class says that this is a menu, sidebar, notice, advert or comment part."""
+        return not self.plain and not PARTS.isdisjoint(self.classes)
+
+    @property
+    def suspect(self) -> bool:
+        """A whole class or id names a part of the page, be it one of the article."""
+        return not self.plain and not SUSPECTS.isdisjoint(self.tokens)
 
     @property
     def hinted(self) -> bool:
@@ -115,7 +136,7 @@ class Node:
         found = DULL_NAMES.intersection(self.names)
         if found <= {"header"} and not OWN_NAMES.isdisjoint(self.names):  # an article's own heading
             return False
-        return bool(found) and self.tag not in ("body", "html") and self.tag not in HEADINGS
+        return bool(found) and not self.plain
 
 
 def parse(html: str) -> Node:
@@ -139,9 +160,8 @@ def parse(html: str) -> Node:
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
-            if not attributes.endswith("/") or tag not in ("svg", "math"):
-                close = ENDS[tag].search(html, at)
-                at = close.end() if close else end
+            close = ENDS[tag].search(html, at)
+            at = close.end() if close else end
             continue
         if tag == "html" or (tag == "body" and any(n.tag == "body" for n in stack)):
             continue
@@ -320,12 +340,22 @@ class Shapes:
             return self.size[a]
         if self.sign[a] != self.sign[b]:
             return 0
-        if (a, b) not in self.known:
-            x, y = self.kids[a], self.kids[b]
+        todo = [(a, b)]
+        while todo:  # children's sizes first, without recursion, as pages can be deep
+            pair = todo[-1]
+            if pair in self.known:
+                todo.pop()
+                continue
+            x, y = self.kids[pair[0]], self.kids[pair[1]]
             i, j = _ends(x, y)
             both = sum(self.size[k] for k in x[:i]) + sum(self.size[k] for k in x[len(x) - j :])
             x, y = x[i : len(x) - j], y[i : len(y) - j]
-            self.known[a, b] = 1 + both + (int(_last_row(x, self.rows(x, y))[-1]) if x and y else 0)
+            below = {(p, q) for p in set(x) for q in set(y) if p != q and self.sign[p] == self.sign[q]} - self.known.keys()
+            if below:
+                todo += below
+                continue
+            self.known[pair] = 1 + both + (int(_last_row(range(len(x)), self.rows(x, y))[-1]) if x and y else 0)
+            todo.pop()
         return self.known[a, b]
 
     def rows(self, x: tuple[int, ...], y: tuple[int, ...]):
@@ -518,21 +548,6 @@ def induce(pages: Iterable[str]) -> Outline | None:
 # Extraction
 
 
-def _mark(template: Outline, page: list[Outline], shapes: Shapes) -> None:
-    """Set fixed on the nodes of a page that hold a template's constant text."""
-    shapes.name(_all(template))
-    shapes.name(page)
-    todo = [(template, page[0])]
-    while todo:
-        t, o = todo.pop()
-        for i, j in paired(t, o, shapes):
-            a, b = t.kids[i], o.kids[j]
-            if a.digest and a.count >= DISTINCT and a.digest == b.digest:
-                b.fixed = True
-            else:
-                todo.append((a, b))
-
-
 class Weights:
     """Characters of varying text below every outline node, by id: without what its tag rules out (vary), and by names too (kept)."""
 
@@ -615,9 +630,11 @@ def _skipped(top: Outline, w: Weights) -> set[int]:
     while todo:
         o = todo.pop()
         n = o.nodes[0]
-        gone = n.apart and (flat or n.tag != "header" or n.role in DULL_ROLES)  # an article's header has its title
-        gone = gone or (id(o) in w.excluded and (flat or n.named))
-        gone = gone or (o.fixed and (n.named or (n.hinted and not _running(o)) or (n.tag not in HEADINGS and id(o) in w.mostly_links)))
+        gone = n.part or (n.apart and (flat or n.tag != "header" or n.role in DULL_ROLES))  # an article's header has its title
+        if not gone:
+            links, bare = id(o) in w.mostly_links and n.tag not in HEADINGS, not _running(o)
+            gone = n.suspect and (o.fixed or links or bare) or n.hinted and links or o.fixed and (links or n.hinted and bare)
+            gone = gone or (flat and id(o) in w.excluded and (links or bare or n.named or not PARTS.isdisjoint(n.names)))
         if gone:
             skip.update(map(id, o.nodes))
         else:
@@ -684,19 +701,27 @@ def templates(pages: DataFrame) -> DataFrame:
             got = [of_page(h) for h in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for d, _ in got], pa.uint64()).view(pa.int64()), pa.array([written(o) for _, o in got], pa.string())], names=["host", "article", "outline"])
 
-    def merge(t: pa.Table, last: bool) -> pa.Table:
-        rows = sorted(zip(t.column("part").to_pylist(), t.column("outline").to_pylist(), strict=True))
-        n = sum(t.column("n").to_pylist())
-        top = merged(read(o) for _, o in rows)
-        return pa.table({"host": t.column("host")[:1], "template": pa.array([written(final(top) if last else top)], pa.string()), "n": pa.array([n], pa.int64())})
+    def merge(last: bool) -> Callable[[pa.Table], pa.Table]:
+        def run(t: pa.Table) -> pa.Table:
+            rows = sorted(zip(t.column("part").to_pylist(), t.column("outline").to_pylist(), strict=True))
+            top = merged(read(o) for _, o in rows)
+            return pa.table({"host": t.column("host")[:1], "part": t.column("salt")[:1], "outline": pa.array([written(final(top) if last else top)], pa.string()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
+
+        return run
 
     each = pages.where("html IS NOT NULL").select("host", "html").mapInArrow(outlines, "host string, article long, outline string")
-    articles_of = each.groupBy("host", "article").agg(F.min("outline").alias("outline"))
-    # In two steps: a large host's pages are dealt to salts, whose templates are merged.
-    salted = articles_of.select("host", F.pmod(F.xxhash64("article"), F.lit(SALTS)).alias("salt"), F.col("article").alias("part"), "outline", F.lit(1).cast("long").alias("n"))
-    parts = salted.groupBy("host", "salt").applyInArrow(lambda t: merge(t, False).append_column("salt", t.column("salt")[:1]), "host string, template string, n long, salt long")
-    whole = parts.select("host", F.col("salt").alias("part"), F.col("template").alias("outline"), "n").groupBy("host").applyInArrow(lambda t: merge(t, True), "host string, template string, n long")
-    return whole.where(F.col("n") >= DISTINCT).select("host", "template")
+    own = materialize(each.groupBy("host", "article").agg(F.min("outline").alias("outline")), "outlines")
+    most = own.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    salts = 1
+    while salts * GROUP < most:
+        salts *= FAN
+    rows = own.select("host", F.col("article").alias("part"), "outline", F.lit(1).cast("long").alias("n"), F.pmod(F.xxhash64("article"), F.lit(salts)).alias("salt"))
+    while True:
+        rows = rows.groupBy("host", "salt").applyInArrow(merge(salts == 1), "host string, part long, outline string, n long")
+        if salts == 1:
+            return rows.where(F.col("n") >= DISTINCT).select("host", F.col("outline").alias("template"))
+        salts //= FAN
+        rows = rows.withColumn("salt", F.pmod("part", F.lit(salts)))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

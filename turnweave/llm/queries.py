@@ -103,6 +103,33 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_html.main_text(_table(spark, sf_dir, "pages"))
 
 
+def neutral_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html, article): the articles of pages between blocks of their host that no tag or name tells from them.
+
+    Five hosts; the line above, the long box beside and the line below an article are a host's own, in plain blocks.
+    """
+    body = F.regexp_extract("html", r"(?s)<article>(.*?)(</article>|$)", 1)
+    text = F.trim(F.regexp_replace(F.regexp_replace(body, r"<[^>]*>|&[#A-Za-z0-9]+;|[<>&]", " "), r"[ \t\n\r]+", " "))
+    site = (F.col("page_id") % 5).cast("string")
+    half = F.floor(F.length(text) / 2).cast("int")
+    parts = F.concat(F.lit("<p>Number "), F.col("page_id").cast("string"), F.lit("</p><p>"), F.substring(text, F.lit(1), half), F.lit("</p><p>"), F.substring(text, half + 1, F.length(text)), F.lit("</p>"))
+    around = F.concat(F.lit("<html><body><div><p>All that is new on site "), site, F.lit(", every day and for everyone</p></div><div><div><p>"), F.repeat(F.concat(F.lit("Box of site "), site, F.lit(" with words that say nothing of its place. ")), 80), F.lit("</p></div><div>"), parts, F.lit("</div></div><div><p>Written by many people of site "), site, F.lit("</p></div></body></html>"))
+    article = F.concat_ws(" ", F.concat(F.lit("Number "), F.col("page_id").cast("string")), F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text)))
+    return _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://site"), site, F.lit("/"), F.col("page_id").cast("string")).alias("url"), around.alias("html"), article.alias("article"))
+
+
+def html_main_text_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of pages whose layout only the host's template tells."""
+    return op6_html.main_text(neutral_pages(spark, sf_dir).drop("article"))
+
+
+DERIVED_HTML_SQL = r"""
+WITH b AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*>|&[#A-Za-z0-9]+;|[<>&]', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS x FROM pages),
+t AS (SELECT page_id, 'Number ' || CAST(page_id AS VARCHAR) || ' ' || trim(regexp_replace(substr(x, 1, length(x) // 2) || ' ' || substr(x, length(x) // 2 + 1), ' +', ' ', 'g')) AS text FROM b)
+SELECT page_id, 'http://site' || CAST(page_id % 5 AS VARCHAR) || '/' || CAST(page_id AS VARCHAR) AS url, text, length(text) AS n_chars FROM t
+"""
+
+
 def op7_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_word_table.bpe_digest(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -139,8 +166,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op4_chat_tool_links, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup, op11_ball_tree_clusters, op12_exponion_codes, op13_string_kernel_languages, chat_tool_links_derived, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op4_chat_tool_links, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup, op11_ball_tree_clusters, op12_exponion_codes, op13_string_kernel_languages, chat_tool_links_derived, html_main_text_derived, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL, "chat_tool_links_derived": CHAT_SQL}
+    return {"op3_benchmark_decontamination": OP3_SQL, "chat_tool_links_derived": CHAT_SQL, "html_main_text_derived": DERIVED_HTML_SQL}
