@@ -500,10 +500,13 @@ def read(text: str) -> Outline:
 
 
 def _main_part(nodes: list[Outline]) -> int:
-    """Digest of the nodes with at least half of the most running text (not in links) in a node and the paragraphs and headings right below it."""
+    """Digest of the nodes with at least SIDE_SHARE of the most running text (not in links) in a node and the paragraphs and headings right below it.
+
+    A long box that all pages have does not hide that their articles differ, and a line that varies on copies does not count.
+    """
     weight = [o.own - o.linked + sum(k.own - k.linked for k in o.kids if k.sign.split(" ", 1)[0] in FLOW) for o in nodes]
     most = max(weight)
-    return _digest([str(o.digest) for o, w in zip(nodes, weight, strict=True) if 2 * w >= most])
+    return _digest([str(o.digest) for o, w in zip(nodes, weight, strict=True) if w >= SIDE_SHARE * most])
 
 
 def of_page(html: str) -> tuple[int, Outline]:
