@@ -1,8 +1,9 @@
 """Benchmark decontamination: items found inside documents by size-partitioned MinHash containment, then verified exactly.
 
-Everything is DataFrame expressions. Words are runs of letters and digits of the lower-cased text; shingles are N consecutive
-words (a shorter text is one shingle of all its words; a text without words has none and matches nothing). A document holds
-an item where at least THRESHOLD of the item's distinct shingles are among the document's.
+Everything is DataFrame expressions. Words are runs of letters and digits of the lower-cased text; an item's shingles are its runs
+of N words, or, where it has fewer, all its words as one; a text without words has none and matches nothing. A document is looked
+through in windows of all these lengths that the items have, and holds an item where at least THRESHOLD of the item's distinct
+shingles are among its windows.
 
 An item's sketch is its shingles with the least hashes (bottom-m MinHash). m depends on the item's size: items are parted by
 their number n of distinct shingles, and m = n - ceil(THRESHOLD * n) + 1 is the least number for which a document that holds
@@ -13,7 +14,7 @@ Documents are never exchanged for the search. The sketches are broadcast while t
 checked; beyond it the probes are exchanged by shingle hash, which Spark splits where it is skewed.
 
 Defined results: null texts hold nothing; rows of one document id count together, by the union of their shingles; items with equal
-texts are items of their own; an item of fewer than five words is one shingle, which only a document of the same words has; a
+texts are items of their own; an item of fewer than five words is found wherever its words stand next to each other in order; a
 containment of exactly the threshold counts; null ids are left out of pairs; empty tables give no pairs. Very long texts are read
 whole, as one row's arrays. Extra columns, also of clashing names, are ignored by held_items() and kept by without_items().
 """
@@ -36,23 +37,30 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def shingles_of(words: Column, n: int) -> Column:
-    """Runs of n words joined by spaces; fewer words give one shingle, none give none. words is evaluated once."""
-    body = lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= n, F.array(F.array_join(w, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    return F.transform(F.array(words), body)[0]
+def windows(words: Column, lengths: list[int], hashed: bool = False) -> Column:
+    """Runs of so many words, joined by spaces or as hashes; words is evaluated once.
 
+    Hashes come without their strings: each word's hash seeds the next.
+    """
 
-def _hashes_of(words: Column, n: int) -> Column:
-    """Hashes of the same shingles without building their strings: each word's hash seeds the next."""
-    at = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
-    short = lambda w: F.array(F.xxhash64(F.array_join(w, " ")))
-    body = lambda w: F.when(F.size(w) == 0, F.array().cast("array<long>")).when(F.size(w) < n, short(w)).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: at(w, i)))
-    return F.transform(F.array(words), body)[0]
+    def of(w: Column, n: int) -> Column:
+        at = (lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])) if hashed else (lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), at)).otherwise(F.array().cast("array<long>" if hashed else "array<string>"))
+
+    return F.transform(F.array(words), lambda w: F.concat(*[of(w, n) for n in lengths]))[0]
+
+
+def shingles_of_item(words: Column, n: int, hashed: bool = False) -> Column:
+    """An item's runs of n words, or of all it has where they are fewer."""
+    out = windows(words, [n], hashed)
+    for k in range(1, n):
+        out = F.when(F.size(words) == k, windows(words, [k], hashed)).otherwise(out)
+    return out
 
 
 def sketches(items: DataFrame, item_id: str = "item_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(item, size, hash): the bottom-m hashes of every item, m by the item's size partition."""
-    hashed = items.where(quoted(item_id).isNotNull()).select(quoted(item_id).alias("item"), F.array_distinct(_hashes_of(words_of(quoted(text_col)), n)).alias("h"))
+    hashed = items.where(quoted(item_id).isNotNull()).select(quoted(item_id).alias("item"), F.array_distinct(shingles_of_item(words_of(quoted(text_col)), n, True)).alias("h"))
     size = F.size("h")
     m = size - F.ceil(F.round(size * F.lit(threshold), 9)).cast("int") + 1
     return hashed.where(size > 0).select("item", size.alias("size"), F.explode(F.slice(F.sort_array("h"), 1, m)).alias("hash"))
@@ -62,13 +70,17 @@ def held_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     """(doc, item, n_shingles, n_held, containment): every pair whose containment is at least the threshold."""
     index = materialize(sketches(items, item_id, item_text, n, threshold), "sketches").select("item", "hash").distinct()
     small = index.count() <= BROADCAST_SHINGLES
+    words = F.size(words_of(quoted(item_text)))
+    lengths = sorted(r[0] for r in items.where(quoted(item_id).isNotNull() & (words > 0)).select(F.least(words, F.lit(n)).alias("k")).distinct().collect())  # n numbers at most
+    if not lengths:
+        lengths = [n]
     named = docs.where(quoted(doc_id).isNotNull()).select(quoted(doc_id).alias("doc"), words_of(quoted(text_col)).alias("w"))
-    probes = named.select("doc", F.explode(F.array_distinct(_hashes_of(F.col("w"), n))).alias("hash"))
+    probes = named.select("doc", F.explode(F.array_distinct(windows(F.col("w"), lengths, True))).alias("hash"))
     pairs = materialize(probes.join(F.broadcast(index) if small else index, "hash").select("doc", "item").distinct(), "candidates")
 
-    wanted = pairs.join(items.where(quoted(item_id).isNotNull()).select(quoted(item_id).alias("item"), F.array_distinct(shingles_of(words_of(quoted(item_text)), n)).alias("of_item")).distinct(), "item")
+    wanted = pairs.join(items.where(quoted(item_id).isNotNull()).select(quoted(item_id).alias("item"), F.array_distinct(shingles_of_item(words_of(quoted(item_text)), n)).alias("of_item")).distinct(), "item")
     texts = docs.where(quoted(doc_id).isNotNull()).select(quoted(doc_id).alias("doc"), quoted(text_col).alias("t"))
-    found = texts.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", shingles_of(words_of(F.col("t")), n).alias("of_doc")).join(wanted, "doc")
+    found = texts.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", windows(words_of(F.col("t")), lengths).alias("of_doc")).join(wanted, "doc")
     held = found.select("doc", "item", F.size("of_item").alias("n_shingles"), F.explode(F.array_intersect("of_item", "of_doc")).alias("s"))
     best = held.groupBy("doc", "item").agg(F.max("n_shingles").alias("n_shingles"), F.count_distinct("s").alias("n_held"))
     ratio = F.col("n_held") / F.col("n_shingles")

@@ -34,21 +34,36 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
-_SHINGLED = r"""
-    SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
-                               ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
-    FROM (SELECT {id} AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE {id} IS NOT NULL)"""
-
-OP3_SQL = f"""
-WITH d AS ({_SHINGLED.format(id="doc_id", table="documents")}),
-     b AS ({_SHINGLED.format(id="item_id", table="benchmark")}),
-     n AS (SELECT id, count(*) AS n_shingles FROM b GROUP BY id),
-     h AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_held FROM d JOIN b ON d.s = b.s GROUP BY ALL)
-SELECT doc_id, item_id, n_shingles, n_held, round(n_held / n_shingles, 6) AS containment
-FROM h JOIN n ON n.id = h.item_id WHERE round(n_held / n_shingles, 9) >= 0.8
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+def _held_sql(items: str) -> str:
+    """Pairs of documents and items(item_id, text): windows of as many words as items have, five at most."""
+    return f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM {items} WHERE item_id IS NOT NULL), k AS (SELECT DISTINCT least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda p: array_to_string(w[p:p + least(len(w), 5) - 1], ' '))) AS s FROM i WHERE len(w) > 0),
+t AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s FROM t, k),
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
+h AS (SELECT d.doc_id, b.item_id, count(*) AS n_held FROM d JOIN b ON d.s = b.s GROUP BY ALL)
+SELECT doc_id, h.item_id, n_shingles, n_held, round(n_held / n_shingles, 6) AS containment
+FROM h JOIN n ON n.item_id = h.item_id WHERE round(n_held / n_shingles, 9) >= 0.8
 """
 
 
+OP3_SQL = _held_sql("benchmark")
+
+
+def short_items_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of two to six words, the front of the benchmark's, inside of longer documents."""
+    words = op3_decontam.words_of(F.col("text"))
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, F.lit(1), (F.col("item_id") % 5 + 2).cast("int")), " ").alias("text"))
+    return op3_decontam.held_items(_table(spark, sf_dir, "documents"), items).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+SHORT_SQL = _held_sql(f"(SELECT item_id, array_to_string({_WORDS}[1:item_id % 5 + 2], ' ') AS text FROM benchmark)")
+
+
 def op4_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_chat.formatted(_table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
 
@@ -166,8 +181,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op4_chat_tool_links, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup, op11_ball_tree_clusters, op12_exponion_codes, op13_string_kernel_languages, chat_tool_links_derived, html_main_text_derived, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity_scores, op2_token_files_crc, op3_benchmark_decontamination, op4_chat_tool_links, op5_quality_rules, op6_html_main_text, op7_word_table_bpe, op8_warc_archives, op9_simhash_near_dedup, op10_suffix_array_dedup, op11_ball_tree_clusters, op12_exponion_codes, op13_string_kernel_languages, chat_tool_links_derived, html_main_text_derived, short_items_derived, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL, "chat_tool_links_derived": CHAT_SQL, "html_main_text_derived": DERIVED_HTML_SQL}
+    return {"op3_benchmark_decontamination": OP3_SQL, "chat_tool_links_derived": CHAT_SQL, "html_main_text_derived": DERIVED_HTML_SQL, "short_items_derived": SHORT_SQL}
