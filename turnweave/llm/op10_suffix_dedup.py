@@ -8,10 +8,11 @@ collection that is sorted holds short strings instead, and still every pair of e
 1. Each window of SPAN bytes picks the KGRAM-byte string in it with the least hash (its anchor). Equal windows pick equal
    anchors at equal offsets. The windows that pick one occurrence of an anchor are consecutive; the bytes they cover are its
    neighbourhood.
-2. Anchors are exchanged as hashes. A neighbourhood equal to an earlier one (by 96 bits of hashes, of the anchor and of all its
-   bytes; windows of one chunk that go one by one, by 64) is removed as a whole. Neighbourhoods that share an
+2. Anchors are exchanged as hashes. A neighbourhood equal to an earlier one is removed as a whole: by the polynomial hash of its
+   anchor (48 bits) and a hash of another family of all its bytes (48 bits of BLAKE2b, whose key is drawn anew for every run, so
+   that no text can be made to collide). Neighbourhoods that share an
    anchor but differ go on to step 3; an anchor with very many different neighbourhoods sends its windows one by one, dealt by
-   their own content, so that no anchor fills a task.
+   their own content, so that no anchor fills a task; those that a chunk has twice are told by their bytes.
 3. The neighbourhoods of a shard are the documents of a collection Burrows-Wheeler transform, built from their last symbols on:
    each round inserts one symbol per string, re-sorts the strings stably by it and updates the common prefixes of neighbours.
    Equal windows lie equally far from their anchors, so strings are aligned there and only the current column of the
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import secrets
 import tempfile
 from collections.abc import Iterator
 
@@ -92,7 +94,7 @@ def _symbols() -> np.ndarray:
     return _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, kgram: int = KGRAM) -> dict[str, np.ndarray]:
+def anchors(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, kgram: int = KGRAM, secret: bytes = b"") -> dict[str, np.ndarray]:
     """Of documents end to end, one an anchor: doc, first and last window start, the anchor's distance from the first, two hashes."""
     # Pieces: documents of span bytes or more; a very long one is cut, with its windows all in one piece or the next.
     doc = np.flatnonzero(np.diff(offsets) >= span)
@@ -107,13 +109,13 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, kgram: int =
     for i in np.flatnonzero(np.diff(block, prepend=-1)).tolist() if len(size) else []:
         own = slice(i, int(np.searchsorted(block, block[i], side="right")))
         at = np.concatenate([raw[a : a + n] for a, n in zip(base[own].tolist(), size[own].tolist(), strict=True)])
-        found.append(_block(at, base[own], size[own], doc[own], span, kgram))
+        found.append(_block(at, base[own], size[own], doc[own], span, kgram, secret))
     if not found:
         return {k: np.zeros(0, t) for k, t in (("doc", np.int64), ("first", np.int64), ("last", np.int64), ("mid", np.int64), ("anchor", np.uint64), ("area", np.uint64))}
     return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
 
 
-def _block(own: np.ndarray, base: np.ndarray, size: np.ndarray, docs: np.ndarray, span: int, kgram: int) -> dict[str, np.ndarray]:
+def _block(own: np.ndarray, base: np.ndarray, size: np.ndarray, docs: np.ndarray, span: int, kgram: int, secret: bytes) -> dict[str, np.ndarray]:
     n, w = len(own), span - kgram + 1
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -137,9 +139,11 @@ def _block(own: np.ndarray, base: np.ndarray, size: np.ndarray, docs: np.ndarray
     tail = np.concatenate([head[1:], [len(pick)]]) - 1
     a, s, e, d = pick[head], window[head], window[tail], doc[head]
     hashed = _mix((sums[a + kgram] - sums[a]) * down[a])
-    area = (sums[e + span] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (a - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    data = own.tobytes()
+    area = b"".join([hashlib.blake2b(data[i:j], digest_size=8, key=secret).digest() for i, j in zip(s.tolist(), (e + span).tolist(), strict=True)])
+    area = np.frombuffer(area, np.uint64) + (a - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)  # an anchor's bytes may stand there twice
     shift = (base - start)[d]
-    return {"doc": docs[d], "first": s + shift, "last": e + shift, "mid": a - s, "anchor": hashed, "area": _mix(area)}
+    return {"doc": docs[d], "first": s + shift, "last": e + shift, "mid": a - s, "anchor": hashed, "area": area}
 
 
 # Collection transform
@@ -240,9 +244,9 @@ def _stream(t: pa.Table) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def _entries(z: dict[str, np.ndarray], span: int, kgram: int, buckets: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def _entries(z: dict[str, np.ndarray], span: int, kgram: int, buckets: int, secret: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """(anchors, positions of those that go out: the first of equal neighbourhoods, ordered by bucket; positions of the rest)."""
-    a = anchors(z["raw"], z["offsets"], span, kgram)
+    a = anchors(z["raw"], z["offsets"], span, kgram, secret)
     by = np.lexsort((np.arange(len(a["doc"])), a["area"], a["anchor"]))
     same = np.zeros(len(by), bool)
     same[1:] = (a["anchor"][by[1:]] == a["anchor"][by[:-1]]) & (a["area"][by[1:]] == a["area"][by[:-1]])
@@ -265,12 +269,13 @@ def _rows(**columns: list) -> pa.RecordBatch:
 def _spans(chunks: DataFrame, span: int, kgram: int, shared: int, shard_strings: int, many: int) -> DataFrame:
     """(chunk, blob): removed ranges of each chunk's bytes, in any number of rows a chunk; ranges may overlap."""
     spark = chunks.sparkSession
+    secret = secrets.token_bytes(16)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 z = unpack(blob.as_py())
-                a, out, _ = _entries(z, span, kgram, shared)
+                a, out, _ = _entries(z, span, kgram, shared, secret)
                 for bucket, own in _cut(a["anchor"][out] % np.uint64(shared), shared):
                     e = out[own]
                     doc, runs = np.unique(a["doc"][e], return_counts=True)
@@ -312,7 +317,7 @@ def _spans(chunks: DataFrame, span: int, kgram: int, shared: int, shard_strings:
             return pa.Table.from_batches([_rows(kind=[], key=[], chunk=[], blob=[])])
         chunk = left.column("chunk")[0].as_py()
         z = unpack(left.column("blob")[0].as_py())
-        a, out, rest = _entries(z, span, kgram, shared)
+        a, out, rest = _entries(z, span, kgram, shared, secret)
         where = dict(_cut(a["anchor"][out] % np.uint64(shared), shared))
         verdict = np.zeros(len(a["doc"]), np.uint8)
         verdict[rest] = 1
@@ -325,10 +330,11 @@ def _spans(chunks: DataFrame, span: int, kgram: int, shared: int, shard_strings:
         if len(single):
             count = a["last"][single] - a["first"][single] + 1
             s = np.sort(np.repeat(a["first"][single] - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
-            own = np.array([int.from_bytes(hashlib.blake2b(z["raw"][x : x + span].tobytes(), digest_size=8).digest(), "little") for x in s.tolist()], np.uint64)
-            _, fresh = np.unique(own, return_index=True)
-            again = np.ones(len(own), bool)
-            again[fresh] = False
+            data = [z["raw"][x : x + span].tobytes() for x in s.tolist()]
+            own = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8, key=secret).digest(), "little") for x in data], np.uint64)
+            seen: set[bytes] = set()
+            again = np.array([x in seen or seen.add(x) is not None for x in data], bool)
+            del data, seen
             first_gone, end_gone = np.concatenate([first_gone, s[again]]), np.concatenate([end_gone, s[again] + span])
             s, own = s[~again], own[~again]
             begin, end, key = np.concatenate([begin, s]), np.concatenate([end, s + span]), np.concatenate([key, own])
