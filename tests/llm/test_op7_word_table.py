@@ -69,3 +69,27 @@ def test_one_exchange_serves_both_uses(spark):
     plan = op.bpe_digest(df, PATH)
     plan.collect()
     assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_come_in_another_order_when_read_again(spark, tokenizer, monkeypatch, tmp_path):
+    """A source whose rows are shuffled anew on every reading, as an exchange's can be after an executor is lost."""
+    monkeypatch.setattr(op, "CHUNK_BYTES", 500)
+    rows = [(i, f"word{i % 7} and some other word{i}") for i in range(200)]
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.take(op.np.random.default_rng().permutation(b.num_rows))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).mapInArrow(shuffled, "doc_id long, text string")
+    for _ in range(2):
+        assert sorted((tuple(x) for x in op.bpe_digest(df, PATH).collect()), key=str) == brute(tokenizer, rows)
+    df.write.parquet(f"{tmp_path}/docs")
+    files = spark.read.parquet(f"{tmp_path}/docs").where("doc_id >= 0").select("text", "doc_id")
+    assert op._settled(files, "doc_id", "text") is files and op._settled(df, "doc_id", "text") is not df
+
+
+def test_words_are_those_that_the_library_sees_apart(spark):
+    rows = [(i, t) for i, t in enumerate([None, "", "  ", " a  b ", "a\tb\nc\x0bd\x0ce\rf", "a\x1cb\x85c\u00a0d\u2003e", "x" * 5000])]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r.i: r.w for r in df.select("i", F.array_remove(F.split(F.coalesce("t", F.lit("")), r"[\x20\x09-\x0D]+"), "").alias("w")).collect()}
+    assert got == {i: [w.decode() for w in (t or "").encode().split()] for i, t in rows}

@@ -13,6 +13,9 @@ to the file's decoder; without one, pieces are joined by a space, as the library
 Defined results: a null text is empty; a text without words has no ids and decodes to an empty text; repeated rows and null ids
 each give a row; an empty table gives no rows. A very long text is a chunk of its own. Extra input columns, also of clashing names,
 are ignored.
+
+Chunks are read twice where a lost executor's rows are made again, and have to be the same ones. Input that comes from files alone is;
+any other (an exchange may give its rows in another order) is written to the shared folder first.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from turnweave.llm.common import gathered, quoted, reducers, text_size, trimmed, trimmed_pair, trimming
+from turnweave.llm.common import materialize, quoted, reducers, text_size, trimmed, trimmed_pair, trimming
 
 CHUNK_BYTES = 8 << 20
 #: Words that are encoded at once.
@@ -87,51 +91,76 @@ def _placed(code: np.ndarray, words: int) -> np.ndarray:
     return place
 
 
-def _rows(key: list[int], chunk: list[int], mark: list[int], blob: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(chunk, pa.int64()), pa.array(mark, pa.int64()), pa.array(blob, pa.binary())], names=["key", "chunk", "mark", "blob"])
+def _rows(key: list[int], chunk: list[int], blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(chunk, pa.int64()), pa.array(blob, pa.binary())], names=["key", "chunk", "blob"])
 
 
-ROWS = "key long, chunk long, mark long, blob binary"
+ROWS = "key long, chunk long, blob binary"
 CHUNK_KEY = 1 << 62
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, owners: int) -> DataFrame:
     """Rows of two kinds: of key CHUNK_KEY + chunk, the chunk's documents as places of words; of key owner, a list of words.
 
-    mark is a checksum of the chunk's words, by which an answer to other words (of rows that came in another order when a lost
-    task ran again) would be noticed.
+    Spark cuts the words, and Arrow finds the different ones of a chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for i, t in enumerate(gathered(batches, "text", CHUNK_BYTES)):
-            index: dict[bytes, int] = {}
-            place, size = [], []
-            for text in t.column("text").cast(pa.large_binary()).to_pylist():
-                words = (text or b"").split()
-                place.append(np.array([index.setdefault(w, len(index)) for w in words], np.uint32))
-                size.append(len(words))
-            place = np.concatenate(place)
-            order, code = _coded(place, np.bincount(place, minlength=len(index)))
-            words = list(index)
-            del index
+        for i, t in enumerate(_by_words(batches, CHUNK_BYTES)):
+            lists = t.column("words").combine_chunks()
+            size = np.diff(lists.offsets.to_numpy())
+            known = lists.flatten().dictionary_encode()
+            place = known.indices.to_numpy().astype(np.uint32)
+            words = known.dictionary.cast(pa.binary()).to_pylist()
+            order, code = _coded(place, np.bincount(place, minlength=len(words)))
             words = [words[j] for j in order.tolist()]
             owner = np.array([zlib.crc32(w) % owners for w in words], np.uint32)
             by = np.argsort(owner, kind="stable")
             ids = t.column("id").combine_chunks()
             head = np.array([t.num_rows, len(words)], "<i8").tobytes()
-            blob = _squeeze(head + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + ids.is_null().to_numpy(zero_copy_only=False).tobytes() + np.array(size, "<i8").tobytes() + _planes(owner) + _planes(code))
+            blob = _squeeze(head + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + ids.is_null().to_numpy(zero_copy_only=False).tobytes() + size.astype("<i8").tobytes() + _planes(owner) + _planes(code))
             chunk = part << 32 | i
             edges = np.searchsorted(owner[by], np.arange(owners + 1))
             own = [k for k in range(owners) if edges[k] < edges[k + 1]]
             lists = [b"\n".join([words[j] for j in by[edges[k] : edges[k + 1]].tolist()]) for k in own]
-            mark = zlib.crc32(b"".join(lists))
-            yield _rows([CHUNK_KEY | chunk, *own], [chunk] * (len(own) + 1), [mark] * (len(own) + 1), [blob, *map(_squeeze, lists)])
-
-    texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(trimming(run), ROWS)
+            yield _rows([CHUNK_KEY | chunk, *own], [chunk] * (len(own) + 1), [blob, *map(_squeeze, lists)])
+
+    words = F.array_remove(F.split(F.coalesce(quoted(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    return docs.select(quoted(id_col).cast("long").alias("id"), words.alias("words")).mapInArrow(trimming(run), ROWS)
+
+
+def _by_words(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Consecutive rows (id, words) in tables of about `limit` bytes of words; a longer row is one of its own."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(1).flatten()).to_numpy(zero_copy_only=False))])
+        sizes = np.diff(ends[(b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py())]) + np.diff(b.column(1).offsets.to_numpy())
+        start = 0
+        for i, n in enumerate(sizes.tolist()):
+            if total and total + n > limit:
+                yield pa.Table.from_batches([*held, b.slice(start, i - start)])
+                held, start, total = [], i, 0
+            total += n
+        if start < b.num_rows:
+            held.append(b.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _settled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, or (id, text) of them written out, if their rows could come in another order when they are computed again."""
+    plan, kinds = [docs._jdf.queryExecution().optimizedPlan()], set()
+    while plan:
+        node = plan.pop()
+        kinds.add(node.nodeName().split(" ")[0])
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    if kinds <= {"LogicalRelation", "Relation", "Project", "Filter"}:
+        return docs
+    return materialize(docs.select(quoted(id_col).cast("long").alias(id_col), quoted(text_col).cast("string").alias(text_col)), "texts")
 
 
 def _encode(words: list[bytes], tokenizer) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +181,7 @@ def gather(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
 def encoded(docs: DataFrame, tokenizer_path: str, build, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of build(ids or None, list of id arrays), called for every few documents; the ids are those of the library."""
     spark = docs.sparkSession
+    docs = _settled(docs, id_col, text_col)
     owners = reducers(spark, text_size(docs, text_col))
     # One exchange by key serves both uses of the rows below, as Spark computes equal exchanges once.
     rows = _chunks(docs, id_col, text_col, owners).repartition(owners, "key")
@@ -160,20 +190,18 @@ def encoded(docs: DataFrame, tokenizer_path: str, build, schema: str, id_col: st
         """Encode the distinct words of an owner once; answer each chunk in its list's order."""
         owner, tokenizer = t.column("key")[0].as_py(), tokenizer_of(tokenizer_path)
         if owner >= CHUNK_KEY:
-            return pa.Table.from_batches([_rows([], [], [], [])])
+            return pa.Table.from_batches([_rows([], [], [])])
         index: dict[bytes, int] = {}
         places = [np.array([index.setdefault(w, len(index)) for w in _expand(b.as_py()).split(b"\n")], np.int64) for b in t.column("blob")]
         size, flat = _encode(list(index), tokenizer)
         start = np.cumsum(size) - size
         blobs = [_squeeze(np.array([owner, len(p)], "<i8").tobytes() + _planes(size[p]) + _planes(gather(start[p], size[p], flat))) for p in places]
         chunk = t.column("chunk").to_pylist()
-        return pa.Table.from_batches([_rows([CHUNK_KEY | c for c in chunk], chunk, t.column("mark").to_pylist(), blobs)])
+        return pa.Table.from_batches([_rows([CHUNK_KEY | c for c in chunk], chunk, blobs)])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or left.column("key")[0].as_py() < CHUNK_KEY:
             return build(pa.array([], pa.int64()), [])
-        if any(m != left.column("mark")[0].as_py() for m in right.column("mark").to_pylist()):
-            raise RuntimeError("the input gave its rows in another order when it was read again; write it out first")
         data = _expand(left.column("blob")[0].as_py())
         n, distinct = (int(x) for x in np.frombuffer(data, "<i8", 2))
         doc = np.frombuffer(data, "<i8", n, 16)
