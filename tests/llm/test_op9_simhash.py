@@ -135,8 +135,8 @@ def edited(seed=5):
     return rows + [(6000, None), (6001, ""), (6002, " \t"), (6003, "One two"), (6004, "one  TWO"), (6005, "É"), (6006, "é"), (6007, rows[0][1])]
 
 
-@pytest.mark.parametrize("least, few", [(op.COMMON_LEAST, op.FEW), (10**9, 2)])
-def test_keep_first_matches_brute_force_jaccard(spark, monkeypatch, least, few):
+@pytest.mark.parametrize("least, few, most", [(op.COMMON_LEAST, op.FEW, op.PREFIX), (10**9, 2, op.PREFIX), (op.COMMON_LEAST, op.FEW, None), (10**9, op.FEW, None)])
+def test_keep_first_matches_brute_force_jaccard(spark, monkeypatch, least, few, most):
     monkeypatch.setattr(op, "COMMON_LEAST", least)
     monkeypatch.setattr(op, "FEW", few)
     rows = edited()
@@ -145,7 +145,7 @@ def test_keep_first_matches_brute_force_jaccard(spark, monkeypatch, least, few):
     for (d, _), g in zip(rows, root.tolist(), strict=True):
         least_of[g] = min(least_of.get(g, d), d)
     want = sorted(least_of.values())
-    assert sorted(r.doc_id for r in op.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()) == want
+    assert sorted(r.doc_id for r in op.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=most).collect()) == want
 
 
 def test_similar_sets_are_exact():
@@ -156,3 +156,32 @@ def test_similar_sets_are_exact():
     i, j = zip(*[(i, j) for i in range(300) for j in range(i) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])], strict=True)
     forest.link(np.array(i), np.array(j))
     assert op.similar_sets(sets).tolist() == forest.root.tolist()
+
+
+def test_similar_pairs_of_given_documents_share_prefixes_and_lie_inside_the_radius():
+    """All pairs of different texts of the table with Jaccard 0.8 or more, found by their rarest shingles, with both settings of a prefix."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("SELECT DISTINCT text FROM '/root/testdata/sf0.1/documents.parquet'").fetchall()]
+    sets = [op.shingle_set(t.encode()) for t in texts]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    words, which, count = np.unique(flat, return_inverse=True, return_counts=True)
+    lists: dict[int, list[int]] = {}
+    edges = np.concatenate([[0], np.cumsum(list(map(len, sets)))])
+    for d, s in enumerate(sets):  # similar sets share one of the rarest fifth and one more: an exact search
+        own = which[edges[d] : edges[d + 1]]
+        m = len(s) - -(-4 * len(s) // 5) + 1
+        for w in own[np.lexsort((own, count[own]))[:m]].tolist():
+            lists.setdefault(w, []).append(d)
+    pairs = {(a, b) for own in lists.values() for i, b in enumerate(own) for a in own[:i] if 4 * len(sets[a]) <= 5 * len(sets[b]) and 4 * len(sets[b]) <= 5 * len(sets[a])}
+    similar = [(a, b) for a, b in pairs if 5 * (both := len(np.intersect1d(sets[a], sets[b], assume_unique=True))) >= 4 * (len(sets[a]) + len(sets[b]) - both)]
+    assert len(similar) > 40
+    seen = np.isin(words, flat[np.isin(owner, np.arange(0, len(sets), max(1, len(sets) // op.ORDER_DOCS)))])
+    often = np.flatnonzero(seen & (count >= op.COMMON_LEAST))
+    by = often[np.argsort(-count[often], kind="stable")][: op.COMMON]
+    common = (words[np.sort(by)], np.arange(len(by), 0, -1)[np.argsort(by)])
+    fp = {d: op.set_fingerprint(sets[d]) for p in similar for d in p}
+    assert max(int(op._apart(fp[a], fp[b])) for a, b in similar) <= op.COPY_RADIUS
+    for most in (op.PREFIX, None):
+        assert all(len(np.intersect1d(op.prefix(sets[a], common, most), op.prefix(sets[b], common, most))) for a, b in similar)
+    print(f"{len(similar)} similar pairs, at most {max(int(op._apart(fp[a], fp[b])) for a, b in similar)} bits apart")

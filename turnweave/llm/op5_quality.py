@@ -5,6 +5,11 @@ statistics (not the texts) of at most `max_rows` labelled documents, chosen by t
 conjunction of thresholds by information gain on two thirds of them, is pruned on the rest, and takes the rows it covers away.
 It comes out as one ordered conditional expression.
 
+Bounds of the learner, which shape the list and nothing else: at most MAX_RULES rules of at most MAX_CONDITIONS thresholds each, so
+that a list stays readable; thresholds are looked for at MAX_CUTS quantiles of a statistic's values among the learned rows at most;
+learning ends with the first rule that is right on less than MIN_PRECISION of the pruning rows. Every document is judged by the
+whole list. With other bounds the list, and so a verdict, can differ.
+
 Defined results: a null or wordless text has zero statistics and fails the base test; labels without a value or without a
 document are left out; a document with several labels counts once, with the least, and one with several rows with its least
 statistics; a value on a threshold is on its upper side; with no labels of either kind the list is empty and keeps what passes

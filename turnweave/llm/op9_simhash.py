@@ -264,23 +264,23 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[by], rank[by]
 
 
-def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], most: int | None = PREFIX) -> np.ndarray:
     """The first shingles of a set in the global order, by which it meets others.
 
-    Similar sets share one of the first fifth and one more. A set with three times as many uncommon shingles as that gives PREFIX of
-    them: a similar set has half of the two sets' uncommon ones at least, so that both miss each other with a chance of
-    0.5 ** PREFIX at most (0.2 ** PREFIX without common ones).
+    Similar sets share one of the first fifth and one more, and with most=None all of these are given, so that no similar pair is
+    missed. Else a set with three times as many uncommon shingles as that gives `most` of them: a similar set has half of the two
+    sets' uncommon ones at least, so that both miss each other with a chance of 0.5 ** most at most (0.2 ** most without common ones).
     """
     if not len(own):
         return np.zeros(1, np.uint64)  # texts without words meet in one list
     m = len(own) - -(-JACCARD[0] * len(own) // JACCARD[1]) + 1
     h, rank = common
     if not len(h):
-        return own[: min(m, PREFIX)]
+        return own[: m if most is None else min(m, most)]
     at = np.minimum(np.searchsorted(h, own), len(h) - 1)
     rank = np.where(h[at] == own, rank[at], 0)
     free = own[rank == 0]
-    return free[: min(m, PREFIX)] if len(free) >= 3 * m else own[np.lexsort((own, rank))[:m]]
+    return free[: min(m, most)] if most is not None and len(free) >= 3 * m else own[np.lexsort((own, rank))[:m]]
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -376,9 +376,12 @@ def similar_sets(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = PREFIX) -> DataFrame:
     """(id, group): the rows of docs; rows of one group are linked by texts whose shingle sets have Jaccard 0.8 or more.
 
+    most=None lets all shingles of a prefix meet, which misses no pair by its prefix and exchanges some six times as many rows;
+    the fingerprints' radius remains (see COPY_RADIUS).
+
     Candidates share a shingle of their prefixes and have near fingerprints, searched by a vantage-point tree where a shingle
     has many documents. Each candidate component is then compared exactly; a group is the hash of one of its texts.
     """
@@ -390,7 +393,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             own = [shingle_set(t.encode()) for t in b.column(1).to_pylist()]
-            first = [prefix(s, common) for s in own]
+            first = [prefix(s, common, most) for s in own]
             n = list(map(len, first))
             fp = np.stack([set_fingerprint(s) for s in own]).repeat(n, axis=0).view(np.int64)
             columns = [np.concatenate(first).view(np.int64), np.repeat(b.column(0).to_numpy(), n), fp[:, 0].copy(), fp[:, 1].copy(), np.repeat([len(s) for s in own], n)]
@@ -430,12 +433,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(groups, "node", "left").select("id", F.coalesce("group", "node").alias("group"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = PREFIX) -> DataFrame:
     """docs with one document of each group of near copies (see near_copies): that with its smallest id.
 
     Rows that repeat one id count as one document and stay or go together; rows without an id stay.
     """
-    rows = materialize(near_copies(docs, id_col, text_col), "copies")
+    rows = materialize(near_copies(docs, id_col, text_col, most), "copies")
     least = rows.groupBy("group").agg(F.min("id").alias("least"))
     gone = rows.where("id IS NOT NULL").join(least, "group").groupBy("id").agg(F.bool_or(F.col("id") == F.col("least")).alias("stays")).where("not stays").select(F.col("id").alias(id_col))
     return docs.join(gone, id_col, "left_anti")
