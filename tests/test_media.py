@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from turnweave.functions import pixels as I
 from turnweave.operators import batches as B
+from turnweave.operators import gates as G
+from turnweave.operators import model as N
 from turnweave.operators import sound as O
+from turnweave.plans import catalog_gates
 from turnweave.plans import pipelines as W
 from turnweave.sources import frames as V
 from turnweave.sources import sinks as K
@@ -290,3 +293,24 @@ def test_best_weights_and_metric_log(spark, tmp_path):
     K.append_metrics(spark.createDataFrame([("r", 1, 0.5, None)], "run string, step int, a double, b double"), f"{tmp_path}/log", 1)
     K.append_metrics(spark.createDataFrame([("r", 1, 0.6), ("r", 2, 0.1)], "run string, step int, a double"), f"{tmp_path}/log", 2)
     assert sorted(tuple(r) for r in K.read_metrics(spark, f"{tmp_path}/log").collect()) == [("r", 1, "a", 0.6), ("r", 2, "a", 0.1)]
+
+
+# Gates
+
+
+def test_gates_with_nulls_and_dropped_modalities(spark):
+    w = catalog_gates.weights()
+    r = np.random.default_rng(1)
+    rows = [(i, *[r.standard_normal(14).tolist() if i != 1 or m != "a" else None for m in "tav"], *[r.standard_normal(7).tolist() for _ in "tav"]) for i in range(3)]
+    df = spark.createDataFrame(rows, "i int, zt array<double>, za array<double>, zv array<double>, lt array<double>, la array<double>, lv array<double>")
+    z, y = [F.col(c) for c in ("zt", "za", "zv")], [F.col(c) for c in ("lt", "la", "lv")]
+    got = {r.i: r for r in df.select("i", *z, *y, G.class_reliability(G.reliability_scores(z, y, w), y).alias("x"), G.landmark_projection(F.col("za"), w).alias("p")).collect()}
+    for i in (0, 2):
+        zs, ys = ({m: np.array([got[i][p + m]]) for m in "tav"} for p in "zl")
+        want = (N.reliability(zs, ys, w) * np.stack([ys[m] for m in "tav"])).sum(0)[0]
+        assert got[i].x == pytest.approx(want)
+        c = N.ModelConfig(visual=14, hidden=8, heads=2, landmark_projector=True)
+        assert got[i].p == pytest.approx(N.visual_input(zs["a"], w, c)[0])
+    assert got[1].p is None
+    with pytest.raises(Exception, match="mismatch|shape|dimension"):
+        df.select(G.landmark_projection(F.slice("zt", 1, 5), w)).collect()

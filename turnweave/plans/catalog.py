@@ -557,7 +557,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from turnweave.plans import catalog_media, catalog_more, catalog_sources  # noqa: F401  (they register theirs)
+    from turnweave.plans import catalog_gates, catalog_media, catalog_more, catalog_sources  # noqa: F401  (they register theirs)
 
     return dict(QUERIES)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.functions import geometry as G
@@ -340,3 +342,53 @@ def truncated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances in pieces of a vocabulary that is made of the benchmark's words, 64 tokens at most."""
     got = B.token_ids(fx.utterances(spark, sf_dir), ["dialogue_id", "utterance_id"], "utterance", _vocabulary(spark, sf_dir), unknown=1, start=2, end=3, max_tokens=64)
     return got.select("dialogue_id", "utterance_id", "n_tokens", "truncated", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
+_STEPS = f"""{PICTURES_SQL}, {_BOXES}, num AS (SELECT clip, count(*) AS n FROM pic GROUP BY clip), sam AS (SELECT clip, i AS step, CASE WHEN n <= 16 THEN i ELSE i * (n - 1) // 15 END AS frame FROM num, range(0, 16) AS r(i) WHERE i < n),
+shd AS (SELECT sam.*, ((base - 7 * sam.frame) % 10) / 10.0::DOUBLE AS s FROM sam JOIN pic USING (clip, frame)),
+g AS (SELECT a.clip, a.step, lst.boxes, coalesce({_SHADES} > 0.3, FALSE) AS cut FROM shd AS a LEFT JOIN shd AS b ON b.clip = a.clip AND b.step = a.step - 1 LEFT JOIN lst ON lst.clip = a.clip AND lst.frame = a.frame)"""
+
+
+def _measured_sql(floor: float | None, feature: str, width: int, parts: tuple[str, ...]) -> str:
+    """Pooled features of the chosen boxes (x1 to y2; those of the frame where none is chosen); a null feature counts for nothing."""
+    made = {"mean": "avg(v)", "std": "stddev_pop(v)", "delta": "CASE WHEN count(*) > 1 THEN (max_by(v, step) - min_by(v, step)) / (count(*) - 1) ELSE 0 END"}
+    rows = " UNION ALL ".join(f"SELECT clip, CAST(k + {i * width} AS INTEGER) AS class, {made[p]} AS value FROM one GROUP BY clip, k" for i, p in enumerate(parts))
+    return f"""WITH RECURSIVE {_STEPS}, {_choice(floor, True)},
+fea AS (SELECT clip, step, {feature} AS f FROM (SELECT clip, step, pick IS NULL AS whole, coalesce(pick.x1, 0) AS x1, coalesce(pick.y1, 0) AS y1, coalesce(pick.x2, 12) AS x2, coalesce(pick.y2, 9) AS y2 FROM c WHERE step >= 0)),
+one AS (SELECT clip, step, k, f[k + 1] AS v FROM fea, range(0, {width}) AS r(k) WHERE f IS NOT NULL), pld AS ({rows})
+SELECT num.clip, CAST(q AS INTEGER) AS class, round(coalesce(value, 0), 4) AS value FROM num CROSS JOIN range(0, {width * len(parts)}) AS r(q) LEFT JOIN pld ON pld.clip = num.clip AND pld.class = q"""
+
+
+def _measured(spark: SparkSession, sf_dir: str, feature: Callable[[Column], Column], width: int, config: W.VisualConfig) -> DataFrame:
+    p, boxes = fx.pictures(spark, sf_dir), fx.picture_boxes(spark, sf_dir)
+    clips = p.groupBy("clip").agg(F.lit(0).cast("long").alias("first"), F.count("*").alias("end"))
+    whole = p.select("clip", "frame", F.lit(-1).cast("long").alias("box_id"), G.box(F.lit(0), F.lit(0), F.col("width"), F.col("height")).alias("box"))
+    measured = boxes.unionByName(whole).select("clip", "frame", "box_id", feature(F.col("box")).alias("feat")).where("feat IS NOT NULL")
+    got = W.visual_features(clips, boxes, measured, width, config, _histograms(spark, sf_dir))
+    return by_class(got, "embedding", "clip").withColumn("value", F.round("value", 4))
+
+
+_POINT = "/ (sqrt(pow(x2 - x1, 2) + pow(y1 - y2, 2)) + 1e-6)"
+
+
+@query(_measured_sql(None, f"[0.0::DOUBLE, 0, (x2 - x1) {_POINT}, 0, 0, (y2 - y1) {_POINT}, (x2 + 1 - x1) {_POINT}, (y2 + 2 - y1) {_POINT}]", 8, ("mean", "std")))
+def landmark_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four points of each chosen box, normalised, pooled by mean and deviation."""
+
+    def points(b: Column) -> Column:
+        own = F.array(F.array(b["x1"], b["y1"]), F.array(b["x2"], b["y1"]), F.array(b["x1"], b["y2"]), F.array(b["x2"] + 1, b["y2"] + 2))
+        return F.flatten(G.normalised_landmarks(own, 0, 1, 2))
+
+    return _measured(spark, sf_dir, points, 8, W.VisualConfig(parts=("mean", "std")))
+
+
+@query(_measured_sql(0.3, "CASE WHEN (x1 + 2) % 3 <> 0 THEN [CASE WHEN (y1 + 1) % 4 <> 0 THEN CAST(x2 AS DOUBLE) ELSE 0 END, CAST(y2 AS DOUBLE)] WHEN (y1 + 1) % 2 = 0 THEN [0.0::DOUBLE, 7] END", 2, ("mean", "std", "delta")))
+def action_unit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of each chosen box with NaN among them, or of a second source, or none."""
+    nan = F.lit(float("nan"))
+
+    def units(b: Column) -> Column:
+        first = F.when((b["x1"] + 2) % 3 != 0, F.array(F.when((b["y1"] + 1) % 4 != 0, b["x2"]).otherwise(nan), b["y2"])).otherwise(F.array(nan, nan))
+        return I.first_usable([first, F.when((b["y1"] + 1) % 2 == 0, F.array(nan, F.lit(7.0)))])
+
+    return _measured(spark, sf_dir, units, 2, W.VisualConfig(iou_floor=0.3, parts=("mean", "std", "delta")))
