@@ -10,7 +10,8 @@ it. Digests, not payloads, meet in the aggregation: each task adds its own large
 all pages share moves as one row a task. The table of shared digests has a row a digest and is joined back; the pages of a
 digest with very many stand on one side only, so adaptive execution splits them over tasks by size, whatever their ids.
 
-Files are written under an attempt's own name and renamed when whole, so tasks can run again.
+A task that runs again, or twice at once, may get its rows in another order, so archives and sidecars keep the name of the attempt
+that wrote them; the index table, whose commit picks one attempt, says which ones count. Others lie unread.
 
 Defined results: a null html is an empty payload; an empty payload counts as any other (min_bytes 0); a null page id is written
 without a number and reads back as null, after all others in order; rows that repeat a page id each get a record, and all that
@@ -175,7 +176,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
         part, mark = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        whole, own, name = f"{root}/.{part:05d}-{mark}.mono.gz", f"{root}/.{part:05d}-{mark}.warc.gz", f"part-{part:05d}.warc.gz"
+        whole, own, name = f"{root}/.{part:05d}-{mark}.mono.gz", f"{root}/.{part:05d}-{mark}.warc.gz", f"part-{part:05d}-{mark}.warc.gz"
         n = 0
         with fs.open_output_stream(whole, compression=None) as out:
             z = zlib.compressobj(1, zlib.DEFLATED, 31)
