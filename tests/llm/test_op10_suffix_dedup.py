@@ -99,3 +99,12 @@ def test_texts_keep_the_other_columns(spark):
     got = op.suffix_texts(df)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [("x", "abend", 1, 1.5), (None, None, 2, None), ("id", "é", 3, 2.0)]
+
+
+def test_very_long_texts_at_real_piece_sizes(spark):
+    """A text of several pieces and blocks, with repeats across their edges and of itself."""
+    r = random.Random(9)
+    long = "".join(r.choices("etaoinshr dlu", k=3 * op.PIECE_WINDOWS + 777))
+    edge = op.PIECE_WINDOWS
+    rows = [(1, long), (2, "x" + long[edge - 300 : edge + 250] + "y" + long[2 * edge - 60 : 2 * edge + 60]), (3, long[:150] + long[-150:]), (4, "z" * (edge + 500)), (5, "z" * 150), (6, long[edge // 2 : edge // 2 + 99])]
+    assert order(got(spark, rows)) == order(brute(rows, op.SPAN))

@@ -99,3 +99,25 @@ def test_held_out_accuracy(spark):
     found = sum(r.predicted for r in got if r.toxic) / sum(r.toxic for r in got)
     false = sum(r.predicted for r in got if not r.toxic) / sum(1 - r.toxic for r in got)
     assert right > 0.96 and found > 0.9 and false < 0.03, (right, found, false)
+
+
+def test_ties_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "doc_id long, text string")
+    even = op.Model(None, constant=0.5)  # every score is a tie
+    assert [(r.score, r.predicted) for r in op.scored(docs, even).collect()] == [(0.5, 1)] * 3
+    assert op.without_toxic(docs, even).count() == 0
+    rows = [(i, ("bad" if i % 2 else "good") + f" words {i}") for i in range(40)]
+    twice = spark.createDataFrame([*rows, (3, "zzz"), (3, "zzz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1), (2, 0)], "doc_id long, toxic int")
+    one, other = (op.Scorer(op.fit(d, labels)).score(["bad words", "good words"]) for d in (twice, twice.repartition(3)))
+    assert one.tolist() == other.tolist()  # the order of rows changes nothing
+
+
+def test_held_out_recall_on_the_smaller_table(spark):
+    """Few rows (some 70, of which some 6 are toxic), so the bounds are wide."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = op.scored(docs.join(labels, "doc_id").where(op.held_out("doc_id")).select("doc_id", "text"), op.fit(docs, labels)).join(labels, "doc_id").select("predicted", "toxic").collect()
+    right, found = sum(r.predicted == r.toxic for r in got) / len(got), sum(r.predicted for r in got if r.toxic)
+    print(f"{right:.3f} of {len(got)} right, {found} of {sum(r.toxic for r in got)} toxic ones found, {sum(r.predicted for r in got if not r.toxic)} clean ones called toxic")
+    assert right > 0.9 and 3 * found >= sum(r.toxic for r in got)
