@@ -169,6 +169,44 @@ def op12_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_exponion.compressed(_table(spark, sf_dir, "embeddings"))
 
 
+def _whole_sql(scale: int) -> str:
+    """v(vec_id, label, v): whole-number vectors of 64 finite components."""
+    return f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+#: Floor of a sum over a count, in whole numbers.
+_FLOOR = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def _clusters_sql() -> str:
+    near = "SELECT vec_id, v, c, d FROM (SELECT v.vec_id, v.v, z.c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - z.z[i]) * (v.v[i] - z.z[i]))) AS d FROM v, {z} AS z) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1"
+    rounds = ""
+    for r in range(3):
+        rounds += f""", a{r} AS ({near.format(z=f"z{r}")}),
+s{r} AS (SELECT c, list(m ORDER BY i) AS z FROM (SELECT c, i, {_FLOOR} AS m FROM (SELECT c, i, v[i] AS x FROM a{r}, range(1, 65) AS k(i)) GROUP BY c, i) GROUP BY c),
+z{r + 1} AS (SELECT z{r}.c, coalesce(s{r}.z, z{r}.z) AS z FROM z{r} LEFT JOIN s{r} ON s{r}.c = z{r}.c)"""
+    return f"""
+WITH {_whole_sql(64)}, z0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS z FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM v ORDER BY h LIMIT 16)){rounds}, f AS ({near.format(z="z3")})
+SELECT vec_id, CAST(f.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY f.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z3.z, ',')) AS centroid_sha256
+FROM f JOIN z3 ON z3.c = f.c
+"""
+
+
+def _codes_sql() -> str:
+    near = "SELECT id, p, x, e, d FROM (SELECT q.id, q.p, q.x, b.e, list_sum(list_transform(range(1, 5), lambda i: (q.x[i] - b.x[i]) * (q.x[i] - b.x[i]))) AS d FROM q JOIN {b} AS b ON b.p = q.p) QUALIFY row_number() OVER (PARTITION BY id, p ORDER BY d, e) = 1"
+    rounds = ""
+    for r in range(2):
+        rounds += f""", a{r} AS ({near.format(b=f"b{r}")}),
+s{r} AS (SELECT p, e, list(m ORDER BY i) AS x FROM (SELECT p, e, i, {_FLOOR} AS m FROM (SELECT p, e, i, x[i] AS x FROM a{r}, range(1, 5) AS k(i)) GROUP BY p, e, i) GROUP BY p, e),
+b{r + 1} AS (SELECT b{r}.p, b{r}.e, coalesce(s{r}.x, b{r}.x) AS x FROM b{r} LEFT JOIN s{r} ON s{r}.p = b{r}.p AND s{r}.e = b{r}.e)"""
+    return f"""
+WITH {_whole_sql(256)}, q AS (SELECT vec_id AS id, p, v[4 * p + 1:4 * p + 4] AS x FROM v, range(0, 16) AS r(p)), b0 AS (SELECT p, n AS e, x FROM q JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM v) AS o ON o.vec_id = q.id WHERE n < 64){rounds}, f AS ({near.format(b="b2")}),
+c AS (SELECT id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY id), h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v ON v.vec_id = c.id, h
+"""
+
+
 def op13_string_kernel_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return op13_string_kernel.identified(docs, op13_string_kernel.fit(docs))
@@ -185,4 +223,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL, "chat_tool_links_derived": CHAT_SQL, "html_main_text_derived": DERIVED_HTML_SQL, "short_items_derived": SHORT_SQL}
+    return {"op3_benchmark_decontamination": OP3_SQL, "chat_tool_links_derived": CHAT_SQL, "html_main_text_derived": DERIVED_HTML_SQL, "short_items_derived": SHORT_SQL, "op11_ball_tree_clusters": _clusters_sql(), "op12_exponion_codes": _codes_sql()}
