@@ -39,7 +39,7 @@ from turnweave.llm.common import filesystem, fresh_dir, materialize, quoted, red
 #: Distinct pieces that a worker keeps; at the limit the less used ones go.
 TABLE_PIECES = 800_000
 #: Bytes of texts that are cut and looked up together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 PUNCTUATION = string.punctuation
 #: White space other than the space and the newline, of the splitting pattern and of Python (which has a few more).
 OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
